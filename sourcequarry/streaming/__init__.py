@@ -1,0 +1 @@
+"""Empty on purpose: every input here is a finite corpus, so no streaming operator is needed."""
