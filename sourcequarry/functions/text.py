@@ -2,8 +2,7 @@
 
 from pyspark.sql import Column, functions as F
 
-# Fixed values.
-TRUNCATED = "... TRUNCATED ..."
+# Fixed value.
 RESPONSE_RULE = "=" * 80
 
 
@@ -11,7 +10,7 @@ def _col(value: Column | str) -> Column:
     return F.col(value) if isinstance(value, str) else value
 
 
-def _half(value: Column) -> Column:
+def half(value: Column) -> Column:
     return F.shiftright(value, 1)
 
 
@@ -53,7 +52,7 @@ def truncate_middle(text: Column | str, max_length: int = 4000, mode: str = "int
     s = _col(text)
     n = F.length(s)
     excess = n - max_length
-    start = F.lit(max_length // 2) - _half(excess)
+    start = F.lit(max_length // 2) - half(excess)
     if mode == "reference":
         kept_before = F.when(start >= 0, start).otherwise(F.greatest(n + start, F.lit(0)))
         end = start + excess
@@ -69,64 +68,7 @@ def truncate_middle(text: Column | str, max_length: int = 4000, mode: str = "int
     return F.when(n <= max_length, s).otherwise(shortened)
 
 
-def around_cuts(n: Column, at: Column, target_length: Column, max_chars: int) -> dict[str, Column]:
-    """Where a text of ``n`` characters is cut to keep a target at offset ``at``.
-
-    Kept are [0, head_end), [mid_start, mid_end) and [tail_start, n). What is removed is
-    shared between the two sides in proportion to their sizes.
-    """
-    target_end = at + target_length
-    after = n - target_end
-    remove = n - max_chars
-    remove_before = F.rint(at.cast("double") / n * remove).cast("long")
-    remove_after = remove - remove_before
-    zero = F.lit(0).cast("long")
-    middle_of_after = target_end + _half(after)
-    return {
-        "head_end": F.when(at > 0, F.greatest(zero, _half(at) - _half(remove_before))).otherwise(zero),
-        "mid_start": F.when(at > 0, F.least(at, _half(at) + _half(remove_before))).otherwise(zero),
-        "mid_end": F.when(after > 0, F.greatest(target_end, middle_of_after - _half(remove_after))).otherwise(n),
-        "tail_start": F.when(after > 0, F.least(n, middle_of_after + _half(remove_after))).otherwise(n),
-    }
-
-
-def join_kept(head: Column, middle: Column, tail: Column, clean_cut_edges: bool = True) -> Column:
-    """Put the kept pieces together, cut back to whole lines unless told otherwise."""
-    newline = F.lit("\n")
-    if clean_cut_edges:
-        head = F.substring(head, F.lit(1), _last_newline(head))
-        first = F.instr(middle, "\n")
-        middle = F.when(first > 0, F.substring(middle, first, _last_newline(middle) - first + 1)).otherwise(middle)
-        first_in_tail = F.position(newline, tail)
-        tail = F.when(first_in_tail > 0, F.substring(tail, first_in_tail, F.length(tail))).otherwise(F.lit(""))
-    return strip(F.concat(
-        head, F.when(head != "", F.lit(TRUNCATED)).otherwise(F.lit("")),
-        middle,
-        F.when(tail != "", F.lit(TRUNCATED)).otherwise(F.lit("")), tail,
-    ))
-
-
-def truncate_around(
-    text: Column | str, target: Column | str, max_chars: int = 600, clean_cut_edges: bool = True
-) -> Column:
-    """Shorten a text to about ``max_chars`` but keep ``target`` and what is next to it.
-    A long text without the target ends the job."""
-    s, t = _col(text), _col(target)
-    n = F.length(s).cast("long")
-    at = (F.position(t, s) - 1).cast("long")
-    cut = around_cuts(n, at, F.length(t).cast("long"), max_chars)
-    piece = lambda start, end: F.substring(s, (start + 1).cast("int"), (end - start).cast("int"))
-    shortened = join_kept(
-        piece(F.lit(0), cut["head_end"]),
-        piece(cut["mid_start"], cut["mid_end"]),
-        piece(cut["tail_start"], n),
-        clean_cut_edges,
-    )
-    missing = F.raise_error(F.concat(F.lit("target not found in string: "), t))
-    return F.when(n <= max_chars, s).when(at < 0, missing).otherwise(shortened)
-
-
-def _last_newline(text: Column) -> Column:
+def last_newline(text: Column) -> Column:
     """1-based position of the last newline, 0 without one."""
     after = F.substring_index(text, "\n", -1)
     return F.when(F.contains(text, F.lit("\n")), F.length(text) - F.length(after)).otherwise(F.lit(0))
@@ -137,13 +79,13 @@ def _last_newline(text: Column) -> Column:
 def format_list(items: Column | str) -> Column:
     """Sorted and comma-joined; ``None`` when empty or missing."""
     a = _col(items)
-    return F.when(F.size(a) > 0, F.array_join(F.array_sort(a.cast("array<string>")), ", ")).otherwise(F.lit("None"))
+    return F.when(F.size(a) > 0, F.array_join(F.sort_array(a.cast("array<string>")), ", ")).otherwise(F.lit("None"))
 
 
 def format_pairs(pairs: Column | str, key: str = "key", value: str = "value") -> Column:
     """``key: value`` of an array of structs, sorted by key; ``None`` when empty or missing."""
     a = _col(pairs)
-    ordered = F.array_sort(F.transform(a, lambda p: F.struct(p[key].alias("k"), p[value].alias("v"))))
+    ordered = F.sort_array(F.transform(a, lambda p: F.struct(p[key].alias("k"), p[value].alias("v"))))
     texts = F.transform(ordered, lambda p: F.concat(p["k"].cast("string"), F.lit(": "), p["v"].cast("string")))
     return F.when(F.size(a) > 0, F.array_join(texts, ", ")).otherwise(F.lit("None"))
 

@@ -21,6 +21,7 @@ cloudpickle.register_pickle_by_value(sys.modules[__name__])
 
 MODES = ("intended", "reference")
 ON_ERROR = ("row", "fail", "sanitize")
+FILES_AT_A_TIME = 256
 RECORDS = ("docstring", "entities", "scopes", "imports", "node_map")
 
 
@@ -51,16 +52,19 @@ def extract_facts(
     fields = {f.name: f for f in schema.MODULE_FACTS.fields}
     out_schema = T.StructType([fields[name] for name in keys + wanted])
     arrow_types = {name: to_arrow_type(fields[name].dataType) for name in wanted}
-    options = dict(mode=mode, on_error=on_error, include_async=include_async, with_scopes="scopes" in records)
+    options = dict(records=set(records), mode=mode, on_error=on_error, include_async=include_async)
 
     def read_batches(batches):
         for batch in batches:
-            readings = [
-                module_reader.read_module(text or "", **options) for text in batch.column("raw_code").to_pylist()
-            ]
-            columns = [batch.column(name) for name in keys]
-            columns += [pa.array([getattr(r, name) for r in readings], arrow_types[name]) for name in wanted]
-            yield pa.RecordBatch.from_arrays(columns, names=keys + wanted)
+            for first in range(0, batch.num_rows, FILES_AT_A_TIME):
+                files = batch.slice(first, FILES_AT_A_TIME)
+                with module_reader.quiet_and_quick():
+                    readings = [
+                        module_reader.read_module(text or "", **options) for text in files.column("raw_code").to_pylist()
+                    ]
+                    columns = [files.column(name) for name in keys]
+                    columns += [pa.array([getattr(r, name) for r in readings], arrow_types[name]) for name in wanted]
+                yield pa.RecordBatch.from_arrays(columns, names=keys + wanted)
 
     files = source_files.select("repo_id", "rel_path", F.col("content").alias("raw_code"))
     return files.mapInArrow(read_batches, out_schema)

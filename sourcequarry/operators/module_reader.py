@@ -5,7 +5,9 @@ together. The loop keeps its own stack, so deep nesting does not exhaust Python'
 """
 
 import ast
+import gc
 import warnings
+from contextlib import contextmanager
 from dataclasses import dataclass, field
 
 MODULE_SCOPE = "<module>"
@@ -56,11 +58,12 @@ class ModuleReading:
     node_map: list = field(default_factory=list)
 
 
-def read_module(source: str, *, mode: str, on_error: str, include_async: bool, with_scopes: bool) -> ModuleReading:
+def read_module(source: str, *, records: set, mode: str, on_error: str, include_async: bool) -> ModuleReading:
+    """Read the chosen ``records`` of one source text; the others stay empty."""
     reading = ModuleReading()
     try:
         tree = _parse(source)
-        _collect(tree, reading, mode, include_async, with_scopes)
+        _collect(tree, reading, records, mode, include_async)
     except UNREADABLE as problem:
         if on_error == "fail":
             raise
@@ -69,26 +72,39 @@ def read_module(source: str, *, mode: str, on_error: str, include_async: bool, w
             try:
                 tree, reading.n_lines_removed = _parse_what_is_left(source)
                 readable = ModuleReading()
-                _collect(tree, readable, mode, include_async, with_scopes=False)
+                _collect(tree, readable, {"node_map"}, mode, include_async)
                 reading.node_map = readable.node_map
             except UNREADABLE:
                 pass
     return reading
 
 
+@contextmanager
+def quiet_and_quick():
+    """For many readings in a row: no warnings about the sources, and no garbage collection
+    in between (trees hold no cycles)."""
+    collecting = gc.isenabled()
+    gc.disable()
+    try:
+        with warnings.catch_warnings():
+            warnings.simplefilter("ignore")
+            yield
+    finally:
+        if collecting:
+            gc.enable()
+
+
 def _message(problem):
     return encodable(str(problem) if isinstance(problem, SyntaxError) else f"{type(problem).__name__}: {problem}")
 
 
 def _parse(source):
-    with warnings.catch_warnings():
-        warnings.simplefilter("ignore")
-        try:
-            return ast.parse(source)
-        except SyntaxError as problem:
-            if F_STRING_BACKSLASH not in str(problem):
-                raise
-            return ast.parse(source.replace("\\", ""))
+    try:
+        return ast.parse(source)
+    except SyntaxError as problem:
+        if F_STRING_BACKSLASH not in str(problem):
+            raise
+        return ast.parse(source.replace("\\", ""))
 
 
 def _parse_what_is_left(source):
@@ -134,21 +150,29 @@ def _docstring(node):
     return encodable(ast.get_docstring(node))
 
 
-_fields_of = {}
+_all_fields, _statement_fields = {}, {}
+
+# Fields that never hold a node of interest.
+PLAIN_FIELDS = {"ctx", "op", "ops", "names", "kwd_attrs", "attr", "arg", "id", "module", "level", "kind", "rest", "simple",
+                "is_async", "conversion", "type_comment", "type_ignores"}
 
 
 def _child_fields(kind, statements_only):
     """Fields that can lead to names or definitions, last first (the stack reverses them)."""
-    key = (kind, statements_only)
-    if key not in _fields_of:
-        keep = [f for f in kind._fields if f in STATEMENT_FIELDS or
-                not (statements_only or f in ("ctx", "op", "ops", "names", "type_comment", "type_ignores"))]
-        _fields_of[key] = tuple(reversed(keep))
-    return _fields_of[key]
-
-
-def _collect(tree, reading, mode, include_async, with_scopes):
-    reading.docstring = _docstring(tree)
+    known = _statement_fields if statements_only else _all_fields
+    fields = known.get(kind)
+    if fields is None:
+        keep = [f for f in kind._fields if (f in STATEMENT_FIELDS if statements_only else f not in PLAIN_FIELDS)]
+        fields = known[kind] = tuple(reversed(keep))
+    return fields
+
+
+def _collect(tree, reading, records, mode, include_async):
+    if "docstring" in records:
+        reading.docstring = _docstring(tree)
+        if len(records) == 1:
+            return
+    with_scopes = "scopes" in records
     module = Scope(MODULE_SCOPE)
     scopes = {MODULE_SCOPE: module}
     definitions, found = [], []
@@ -159,12 +183,6 @@ def _collect(tree, reading, mode, include_async, with_scopes):
     while pending:
         node, scope, owner, depth = pending.pop()
         kind = node.__class__
-        if kind is ast.Name:
-            (scope.reads_from if isinstance(node.ctx, ast.Load) else
-             scope.writes_to if isinstance(node.ctx, ast.Store) else set()).add(node.id)
-            continue
-        if kind is ast.Constant:
-            continue
         if kind is Definition:              # everything inside it is done
             node.ordinal = len(definitions)
             definitions.append(node)
@@ -211,16 +229,22 @@ def _collect(tree, reading, mode, include_async, with_scopes):
 
         for name in _child_fields(kind, not with_scopes):
             value = getattr(node, name, None)
-            if isinstance(value, list):
-                for item in reversed(value):
-                    if isinstance(item, ast.AST):
-                        pending.append((item, scope, owner, depth + 1))
-            elif isinstance(value, ast.AST):
-                pending.append((value, scope, owner, depth + 1))
+            for child in reversed(value) if value.__class__ is list else (value,):
+                child_kind = child.__class__
+                if child_kind is ast.Name:          # most nodes are names or constants
+                    use = child.ctx.__class__
+                    if use is ast.Load:
+                        scope.reads_from.add(child.id)
+                    elif use is ast.Store:
+                        scope.writes_to.add(child.id)
+                elif child_kind is not ast.Constant and isinstance(child, ast.AST):
+                    pending.append((child, scope, owner, depth + 1))
 
     position = {name: at for at, name in enumerate(scopes)}
-    reading.scopes = [s.row() for s in scopes.values()]
-    reading.entities = _entity_rows(definitions, position, mode)
+    if with_scopes:
+        reading.scopes = [s.row() for s in scopes.values()]
+    if "entities" in records:
+        reading.entities = _entity_rows(definitions, position, mode)
     # `found` is in depth-first order; a stable sort by depth makes it breadth-first.
     found.sort(key=lambda entry: entry[0])
     reading.node_map = [(node_type, at, name) for at, (_, node_type, names) in enumerate(found) for name in names]

@@ -5,6 +5,7 @@ from pyspark.sql import Column, DataFrame, functions as F
 from sourcequarry.functions import text
 from sourcequarry.operators import tree, views
 from sourcequarry.operators.views import FILE
+from sourcequarry.schema import SCOPE
 from sourcequarry.sources.templates import TEMPLATES
 
 # Fixed values.
@@ -27,99 +28,116 @@ def prompt_context(
     anchor = "first_match" if mode == "reference" else "own_line"
     read = facts.where(F.col("error").isNull())
     excerpts = tree.tree_excerpts(files, max_chars=max_chars, anchor=anchor)
-    overview = text.truncate_middle(views.node_map_text("node_map"), max_chars, mode)
-    return read.withColumn("overview", overview).join(excerpts, FILE)
+    overview = read.withColumn("overview", views.node_map_text("node_map"))
+    bounded = overview.withColumn("overview", text.truncate_middle("overview", max_chars, mode))
+    return bounded.join(excerpts, FILE)
 
 
 def render_prompts(context: DataFrame, templates: dict[str, str] = TEMPLATES, mode: str = "intended") -> DataFrame:
     """All prompts of all files: ``PROMPT_KEY``, ``ordinal``, ``prompt`` and its hash.
 
-    A file's prompts are filled in inside its row and then unfolded; nothing is joined.
+    What an entity needs is picked inside its file's row, then rows are unfolded and the
+    templates filled in by compiled expressions; nothing is joined.
     """
-    filled = F.concat(_module_prompt(templates, mode), _entity_prompts(templates, mode))
+    shared = ["rel_path", "tree_excerpt", "overview"]
     with_lines = context.withColumn("lines", text.source_lines("raw_code", mode))
-    rows = with_lines.select(*FILE, F.inline(filled))
-    return rows.withColumn("prompt_hash", text.query_hash("prompt"))
+    subjects = F.concat(_module_subject(mode), _entity_subjects(mode))
+    rows = with_lines.select("repo_id", *shared, F.inline(subjects))
+    prompt = F.when(F.col("entity_type") == "module", _filled(templates["module"], _module_values(mode)))
+    prompt = prompt.when(F.col("entity_type") == "class", _filled(templates["class"], _class_values(mode)))
+    prompt = prompt.when(F.col("entity_type") == "method", _filled(templates["method"], _function_values(mode)))
+    prompt = prompt.otherwise(_filled(templates["function"], _function_values(mode)))
+    return rows.select(*PROMPT_KEY, "ordinal", prompt.alias("prompt")).withColumn(
+        "prompt_hash", text.query_hash("prompt"))
 
 
-def _shared() -> dict[str, Column]:
-    return {
-        "human_readable_tree": F.col("tree_excerpt"), "path": F.col("rel_path"), "node_map": F.col("overview"),
-    }
+# What the templates of all entity types draw on, as (name, type).
+_SUBJECT = [
+    ("entity_type", "string"), ("owner_class", "string"), ("name", "string"), ("ordinal", "int"), ("code", "string"),
+    ("found", SCOPE.simpleString()), ("decorators", "array<string>"), ("contains", "array<string>"),
+    ("direct_imports", "array<string>"), ("from_imports", "array<string>"),
+    ("classes", "array<string>"), ("functions", "array<string>"),
+]
 
 
-def _row(entity_type: Column, owner: Column, name: Column, ordinal: Column, prompt: Column) -> Column:
-    return F.struct(
-        entity_type.alias("entity_type"), owner.alias("owner_class"), name.alias("name"),
-        ordinal.alias("ordinal"), prompt.alias("prompt"))
+def _subject(**values: Column) -> Column:
+    return F.struct(*[
+        values[name].alias(name) if name in values else F.lit(None).cast(kind).alias(name) for name, kind in _SUBJECT])
 
 
-def _module_prompt(templates: dict[str, str], mode: str) -> Column:
-    none = F.lit("None")
-    shown = {name: none for name in ("direct_imports", "from_imports", "classes", "functions", "constants")}
-    if mode == "intended":
-        def imported(import_type: str) -> Column:
-            of_type = F.filter("imports", lambda i: i["import_type"] == import_type)
-            return text.format_list(F.array_distinct(F.transform(of_type, lambda i: i["target"])))
+def _names(entities: Column | str, wanted) -> Column:
+    return F.transform(F.filter(entities, wanted), lambda e: e["name"])
+
+
+def _targets(import_type: str) -> Column:
+    of_type = F.filter("imports", lambda i: i["import_type"] == import_type)
+    return F.array_distinct(F.transform(of_type, lambda i: i["target"]))
 
-        def defined(entity_type: str) -> Column:
-            of_type = F.filter("entities", lambda e: e["is_latest"] & (e["entity_type"] == entity_type))
-            return text.format_list(F.transform(of_type, lambda e: e["name"]))
 
-        shown |= {
-            "direct_imports": imported("direct"), "from_imports": imported("from"),
-            "classes": defined("class"), "functions": defined("function"),
+def _module_subject(mode: str) -> Column:
+    values = {
+        "entity_type": F.lit("module"), "name": text.file_name("rel_path"), "ordinal": F.lit(-1),
+        "code": text.truncate_middle("raw_code", MODULE_CODE_CHARS, mode),
+    }
+    if mode == "intended":
+        values["direct_imports"] = _targets("direct")
+        values["from_imports"] = _targets("from")
+        values["classes"] = _names("entities", lambda e: e["is_latest"] & (e["entity_type"] == "class"))
+        values["functions"] = _names("entities", lambda e: e["is_latest"] & (e["entity_type"] == "function"))
+    return F.array(_subject(**values))
+
+
+def _entity_subjects(mode: str) -> Column:
+    def subject(e: Column) -> Column:
+        values = {
+            "code": text.node_source("lines", e["lineno"], e["end_lineno"]),
+            "found": F.get("scopes", e["scope_ix"]), "decorators": e["decorators"],
+            **{name: e[name] for name in ("entity_type", "owner_class", "name", "ordinal")},
         }
-    code = text.truncate_middle("raw_code", MODULE_CODE_CHARS, mode)
-    prompt = text.fill_template(templates["module"], _shared() | shown | {"raw_code": code})
-    no_text = F.lit(None).cast("string")
-    return F.array(_row(F.lit("module"), no_text, text.file_name("rel_path"), F.lit(-1), prompt))
+        if mode == "intended":
+            values["contains"] = F.when(e["entity_type"] == "class", _names(
+                "entities", lambda m: m["is_latest"] & (m["owner_class"] == e["name"]) & (m["entity_type"] == "method")))
+        return _subject(**values)
+
+    return F.transform(F.filter("entities", lambda e: e["is_latest"]), subject)
 
 
-def _entity_prompts(templates: dict[str, str], mode: str) -> Column:
-    latest = F.filter("entities", lambda e: e["is_latest"])
+def _filled(template: str, values: dict[str, Column]) -> Column:
+    shared = {
+        "human_readable_tree": F.col("tree_excerpt"), "path": F.col("rel_path"), "node_map": F.col("overview"),
+        "raw_code": F.col("code"),
+    }
+    return text.fill_template(template, shared | values)
 
-    def row(e: Column) -> Column:
-        found = F.get("scopes", e["scope_ix"])
-        code = {"raw_code": text.node_source("lines", e["lineno"], e["end_lineno"])}
-        return _row(e["entity_type"], e["owner_class"], e["name"], e["ordinal"], F.when(
-            e["entity_type"] == "class",
-            text.fill_template(templates["class"], _shared() | code | _class_values(e, found, mode)),
-        ).when(
-            e["entity_type"] == "method",
-            text.fill_template(templates["method"], _shared() | code | _function_values(found, mode)),
-        ).otherwise(
-            text.fill_template(templates["function"], _shared() | code | _function_values(found, mode)),
-        ))
 
-    return F.transform(latest, row)
+def _module_values(mode: str) -> dict[str, Column]:
+    listed = ("direct_imports", "from_imports", "classes", "functions")
+    return {name: text.format_list(name) for name in listed} | {"constants": F.lit("None")}
 
 
-def _class_values(e: Column, found: Column, mode: str) -> dict[str, Column]:
+def _class_values(mode: str) -> dict[str, Column]:
     if mode == "reference":
         none = F.lit("None")
         return {"defined_in": F.lit("module"), "inherits": none, "decorators": none, "contains": none, "imports": none}
-    methods = F.filter("entities", lambda m: m["is_latest"] & (m["owner_class"] == e["name"])
-                       & (m["entity_type"] == "method"))
     return {
-        "defined_in": found["defined_in"],
-        "inherits": text.format_list(found["inherits_from"]),
-        "decorators": text.format_list(e["decorators"]),
-        "contains": text.format_list(F.transform(methods, lambda m: m["name"])),
-        "imports": text.format_list(found["imports"]),
+        "defined_in": F.col("found.defined_in"),
+        "inherits": text.format_list("found.inherits_from"),
+        "decorators": text.format_list("decorators"),
+        "contains": text.format_list("contains"),
+        "imports": text.format_list("found.imports"),
     }
 
 
-def _function_values(found: Column, mode: str) -> dict[str, Column]:
-    defined_in = found["defined_in"]
+def _function_values(mode: str) -> dict[str, Column]:
+    defined_in = F.col("found.defined_in")
     return {
         "defined_in": text.parent_scope(defined_in) if mode == "reference" else defined_in,
-        "calls": text.format_list(found["calls"]),
-        "reads": text.format_list(found["reads_from"]),
-        "writes": text.format_list(found["writes_to"]),
-        "raises": text.format_list(found["raises"]),
-        "catches": text.format_list(found["catches"]),
-        "type_hints": text.format_pairs(found["type_hints"], "param", "annotation"),
+        "calls": text.format_list("found.calls"),
+        "reads": text.format_list("found.reads_from"),
+        "writes": text.format_list("found.writes_to"),
+        "raises": text.format_list("found.raises"),
+        "catches": text.format_list("found.catches"),
+        "type_hints": text.format_pairs("found.type_hints", "param", "annotation"),
     }
 
 

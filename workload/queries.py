@@ -6,7 +6,7 @@ from pyspark import cloudpickle
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from sourcequarry.functions import text
-from sourcequarry.operators import cache, extract, inference, prompts, report, rollups, tree, views
+from sourcequarry.operators import cache, excerpt, extract, inference, prompts, report, rollups, tree, views
 from sourcequarry.operators.views import FILE
 from sourcequarry.plans import corpus
 from sourcequarry.runtime import materialize, new_table_path
@@ -119,7 +119,8 @@ def node_map_limited(spark, sf_dir):
 @query
 def node_map(spark, sf_dir):
     facts = _facts(spark, sf_dir, "node_map")
-    return facts.select(*FILE, text.truncate_middle(views.node_map_text("node_map"), 600).alias("node_map"))
+    texts = facts.select(*FILE, views.node_map_text("node_map").alias("node_map"))
+    return texts.select(*FILE, text.truncate_middle("node_map", 600).alias("node_map"))
 
 
 @query
@@ -521,8 +522,10 @@ def truncate_middle(spark, sf_dir):
 @query
 def truncate_around(spark, sf_dir):
     target = F.substring("text", F.floor(F.length("text") / 2).cast("int") + 1, F.lit(20))
-    return _documents(spark, sf_dir, shortened=text.truncate_around("text", target, 600),
-                      uncleaned=text.truncate_around("text", target, 600, clean_cut_edges=False))
+    rows = inputs.table(spark, sf_dir, "documents").select("doc_id", "text", target.alias("target"))
+    rows = excerpt.truncate_around(rows, "shortened", "text", "target", 600)
+    rows = excerpt.truncate_around(rows, "uncleaned", "text", "target", 600, clean_cut_edges=False)
+    return rows.select("doc_id", "shortened", "uncleaned")
 
 
 @query
