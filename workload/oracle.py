@@ -33,7 +33,7 @@ MODULES = """src AS (
 
 # One row per definition of a step function: the i-th, with name step_j.
 STEPS = """stp AS (
-  SELECT src.*, i, (i * c) % 3 AS j, 'step_' || ((i * c) % 3) AS name, 'part_' || ((k * i) % 1000) AS part
+  SELECT src.*, (i * c) % 3 AS j, 'step_' || ((i * c) % 3) AS name, 'part_' || ((k * i) % 1000) AS part
   FROM (SELECT *, unnest(range(1, n + 1)) AS i FROM src) AS src)"""
 
 # One row per step function: the last definition of its name.
@@ -152,15 +152,15 @@ TREE_LINES = """lin AS (
 
 def around(whole: str, target: str, limit: int, name: str, source: str, keep: str, clean: bool = True) -> list[str]:
     """CTEs that shorten ``whole`` around ``target``; the last is called ``name``."""
-    place = f"""{name}_a AS (SELECT {keep}, {whole} AS w, length({whole}) AS n, strpos({whole}, {target}) - 1 AS at,
+    place = f"""{name}_a AS (SELECT {keep}, {whole} AS w, length({whole}) AS n, strpos({whole}, {target}) - 1 AS pos,
   length({target}) AS tl FROM {source})"""
-    parts = f"""{name}_b AS (SELECT *, n - (at + tl) AS ca, n - {limit} AS q,
-  CAST(round_even(at / n * (n - {limit}), 0) AS BIGINT) AS rb FROM {name}_a)"""
+    parts = f"""{name}_b AS (SELECT *, n - (pos + tl) AS ca, n - {limit} AS q,
+  CAST(round_even(pos / n * (n - {limit}), 0) AS BIGINT) AS rb FROM {name}_a)"""
     cuts = f"""{name}_c AS (SELECT *,
-  CASE WHEN at > 0 THEN greatest(0, at // 2 - rb // 2) ELSE 0 END AS su,
-  CASE WHEN at > 0 THEN least(at, at // 2 + rb // 2) ELSE 0 END AS eu,
-  CASE WHEN ca > 0 THEN greatest(at + tl, at + tl + ca // 2 - (q - rb) // 2) ELSE n END AS sl,
-  CASE WHEN ca > 0 THEN least(n, at + tl + ca // 2 + (q - rb) // 2) ELSE n END AS el FROM {name}_b)"""
+  CASE WHEN pos > 0 THEN greatest(0, pos // 2 - rb // 2) ELSE 0 END AS su,
+  CASE WHEN pos > 0 THEN least(pos, pos // 2 + rb // 2) ELSE 0 END AS eu,
+  CASE WHEN ca > 0 THEN greatest(pos + tl, pos + tl + ca // 2 - (q - rb) // 2) ELSE n END AS sl,
+  CASE WHEN ca > 0 THEN least(n, pos + tl + ca // 2 + (q - rb) // 2) ELSE n END AS el FROM {name}_b)"""
     pieces = f"""{name}_d AS (SELECT *, substring(w, 1, su) AS h, substring(w, eu + 1, greatest(sl - eu, 0)) AS m,
   substring(w, el + 1) AS t FROM {name}_c)"""
     if clean:
@@ -297,7 +297,7 @@ def _source_statements() -> dict[str, str]:
         "node_map": with_ctes(src) + f"SELECT {on}, {NODE_TEXT} AS node_map FROM src",
         "sanitized_node_map": with_ctes(src) + f"""SELECT {on}, CASE WHEN k % 97 = 0 THEN 1 ELSE 0 END AS n_lines_removed, k % 97 = 0 AS is_broken,
   {NODE_TEXT} AS node_map FROM src""",
-        "parse_errors": with_ctes(src) + f"""SELECT {on}, '''('' was never closed (<unknown>, line ' || (13 + 8 * n) || ')' AS error
+        "parse_errors": with_ctes(src) + f"""SELECT {on}, 'invalid syntax (<unknown>, line ' || (13 + 8 * n) || ')' AS error
   FROM src WHERE k % 97 = 0""",
         "scopes": with_ctes(*fct) + f"SELECT DISTINCT {on}, scope, defined_in FROM fct WHERE defined_in IS NOT NULL",
         "imports": with_ctes(src) + f"""SELECT {on}, unnest([{{'import_type': 'direct', 'target': 'os', 'ordinal': 0}},
@@ -316,8 +316,8 @@ def _source_statements() -> dict[str, str]:
         "entity_relationships": with_ctes(*ent, FACTS, SETS) + f"""SELECT ent.repo_id, ent.rel_path, entity_type, qualname, defined_in, {', '.join(KINDS)}
   FROM ent JOIN st ON st.repo_id = ent.repo_id AND st.rel_path = ent.rel_path AND st.scope = ent.qualname""",
         "dependency_graph": with_ctes(src, edge) + "SELECT * FROM edg",
-        "dependency_sets": with_ctes(src, edge) + f"""SELECT {on}, coalesce(string_agg(dst_path, '|' ORDER BY dst_path), '') AS dependencies
-  FROM src LEFT JOIN edg ON edg.repo_id = src.repo_id AND edg.src_path = src.rel_path GROUP BY {on.replace('repo_id', 'src.repo_id')}""",
+        "dependency_sets": with_ctes(src, edge) + f"""SELECT src.repo_id, rel_path, coalesce(string_agg(dst_path, '|' ORDER BY dst_path), '') AS dependencies
+  FROM src LEFT JOIN edg ON edg.repo_id = src.repo_id AND edg.src_path = src.rel_path GROUP BY src.repo_id, rel_path""",
         "module_statistics": with_ctes(src, stp) + f"""SELECT repo_id, count(*) AS total_modules, count(*) AS total_classes,
   CAST(sum(n_steps) AS BIGINT) AS total_functions, 2 * count(*) AS total_methods, CAST(sum(13 + 8 * n) AS BIGINT) AS total_lines
   FROM src JOIN {steps_per_module} USING (k) GROUP BY repo_id""",
