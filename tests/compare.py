@@ -33,6 +33,10 @@ def difference(spark_frame: pd.DataFrame, sql_frame: pd.DataFrame) -> str | None
         return f"columns {list(a.columns)} != {list(b.columns)}"
     if len(a) != len(b):
         return f"rows {len(a)} != {len(b)}"
+    kinds = {c: (spark_frame[c].dtype, sql_frame[c].dtype) for c in a.columns}
+    other = {c: k for c, k in kinds.items() if k[0].kind != k[1].kind or k[0].kind in "iu" and k[0] != k[1]}
+    if other and len(a):
+        return f"types {other}"
     unequal = (a != b).any(axis=1)
     if unequal.any():
         at = unequal.idxmax()
