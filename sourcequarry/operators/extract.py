@@ -33,13 +33,15 @@ def extract_facts(
     mode: str = "intended",
     on_error: str = "row",
     include_async: bool = False,
+    carry: Sequence[str] = (),
 ) -> DataFrame:
     """One row per source file, with the chosen ``records`` as nested columns.
 
     ``mode="reference"`` keeps the gaps of the original behaviour (no methods, no default
     values, relationship lookup by bare name). A file that does not parse gives a row with
     ``error`` and empty records (``on_error="row"``), ends the job (``"fail"``), or also
-    gets a node map from its readable lines (``"sanitize"``).
+    gets a node map from its readable lines (``"sanitize"``). Columns named in ``carry``
+    pass through unread.
     """
     if mode not in MODES or on_error not in ON_ERROR:
         raise ValueError(f"mode must be one of {MODES} and on_error one of {ON_ERROR}")
@@ -48,8 +50,9 @@ def extract_facts(
         raise ValueError(f"unknown records: {sorted(unknown)}")
 
     wanted = ["error", "n_lines_removed", *(r for r in RECORDS if r in records)]
-    keys = ["repo_id", "rel_path", *(["raw_code"] if with_source else [])]
-    fields = {f.name: f for f in schema.MODULE_FACTS.fields}
+    keys = ["repo_id", "rel_path", *carry, *(["raw_code"] if with_source else [])]
+    files = source_files.select("repo_id", "rel_path", *carry, F.col("content").alias("raw_code"))
+    fields = {f.name: f for f in [*files.schema.fields, *schema.MODULE_FACTS.fields]}
     out_schema = T.StructType([fields[name] for name in keys + wanted])
     arrow_types = {name: to_arrow_type(fields[name].dataType) for name in wanted}
     options = dict(records=set(records), mode=mode, on_error=on_error, include_async=include_async)
@@ -57,14 +60,13 @@ def extract_facts(
     def read_batches(batches):
         for batch in batches:
             for first in range(0, batch.num_rows, FILES_AT_A_TIME):
-                files = batch.slice(first, FILES_AT_A_TIME)
+                part = batch.slice(first, FILES_AT_A_TIME)
                 with module_reader.quiet_and_quick():
                     readings = [
-                        module_reader.read_module(text or "", **options) for text in files.column("raw_code").to_pylist()
+                        module_reader.read_module(text, **options) for text in part.column("raw_code").to_pylist()
                     ]
-                    columns = [files.column(name) for name in keys]
+                    columns = [part.column(name) for name in keys]
                     columns += [pa.array([getattr(r, name) for r in readings], arrow_types[name]) for name in wanted]
                 yield pa.RecordBatch.from_arrays(columns, names=keys + wanted)
 
-    files = source_files.select("repo_id", "rel_path", F.col("content").alias("raw_code"))
     return files.mapInArrow(read_batches, out_schema)

@@ -58,10 +58,12 @@ class ModuleReading:
     node_map: list = field(default_factory=list)
 
 
-def read_module(source: str, *, records: set, mode: str, on_error: str, include_async: bool) -> ModuleReading:
+def read_module(source: str | None, *, records: set, mode: str, on_error: str, include_async: bool) -> ModuleReading:
     """Read the chosen ``records`` of one source text; the others stay empty."""
     reading = ModuleReading()
     try:
+        if source is None:
+            raise ValueError("content is missing or not UTF-8")
         tree = _parse(source)
         _collect(tree, reading, records, mode, include_async)
     except UNREADABLE as problem:

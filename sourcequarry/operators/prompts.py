@@ -20,17 +20,29 @@ MODULE_CODE_CHARS = 4000
 PROMPT_KEY = [*FILE, "entity_type", "owner_class", "name"]
 
 
-def prompt_context(
-    facts: DataFrame, files: DataFrame, max_chars: int = OVERVIEW_CHARS, mode: str = "intended"
+def with_tree_excerpts(
+    files: DataFrame, max_chars: int = OVERVIEW_CHARS, mode: str = "intended", partitions: int | None = None
 ) -> DataFrame:
-    """Facts with what all prompts of a file share: its node map text and the excerpt of
-    its repository's tree. Both are made once per file and are bounded in size."""
+    """Source files with the excerpt of their repository's tree, in ``partitions`` tasks
+    where given (the join's own shuffle makes them; reading is heavy per byte, so more
+    tasks than sizes alone suggest can pay).
+
+    Keys are unique on both sides, so a shuffle by file is even; hashing the short
+    excerpts saves sorting the texts. Where ``files`` is a table bucketed by file, only
+    the excerpts move.
+    """
     anchor = "first_match" if mode == "reference" else "own_line"
-    read = facts.where(F.col("error").isNull())
     excerpts = tree.tree_excerpts(files, max_chars=max_chars, anchor=anchor)
+    placed = files.repartition(partitions, *FILE) if partitions else files
+    return placed.join(excerpts.hint("shuffle_hash"), FILE)
+
+
+def prompt_context(facts: DataFrame, max_chars: int = OVERVIEW_CHARS, mode: str = "intended") -> DataFrame:
+    """Facts, extracted with ``tree_excerpt`` carried along, plus the file's node map text.
+    Both are made once per file and are bounded in size."""
+    read = facts.where(F.col("error").isNull())
     overview = read.withColumn("overview", views.node_map_text("node_map"))
-    bounded = overview.withColumn("overview", text.truncate_middle("overview", max_chars, mode))
-    return bounded.join(excerpts, FILE)
+    return overview.withColumn("overview", text.truncate_middle("overview", max_chars, mode))
 
 
 def render_prompts(context: DataFrame, templates: dict[str, str] = TEMPLATES, mode: str = "intended") -> DataFrame:

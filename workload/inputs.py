@@ -13,9 +13,11 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 def spread(rows: DataFrame, key: str) -> DataFrame:
     """Even work for every core, however few files or row groups the table has. Only the
     narrow input columns move; what is built from them is built afterwards."""
-    session = rows.sparkSession
-    tasks = max(2 * session.sparkContext.defaultParallelism, int(session.conf.get("spark.sql.shuffle.partitions")))
-    return rows.repartition(tasks, key)
+    return rows.repartition(tasks(rows.sparkSession), key)
+
+
+def tasks(spark: SparkSession) -> int:
+    return max(2 * spark.sparkContext.defaultParallelism, int(spark.conf.get("spark.sql.shuffle.partitions")))
 
 
 def _text(*parts) -> Column:

@@ -261,15 +261,16 @@ def file_tree(spark, sf_dir):
 
 # --- prompts --------------------------------------------------------------------------
 
-def _context(spark, sf_dir, mode="intended"):
-    facts = _facts(spark, sf_dir, *extract.RECORDS, with_source=True, mode=mode)
-    return prompts.prompt_context(facts, inputs.source_files(spark, sf_dir), mode=mode)
+def _context(spark, sf_dir, *records, mode="intended"):
+    files = prompts.with_tree_excerpts(
+        inputs.source_files(spark, sf_dir), mode=mode, partitions=inputs.tasks(spark))
+    facts = extract.extract_facts(files, records=records or extract.RECORDS, mode=mode, carry=["tree_excerpt"])
+    return prompts.prompt_context(facts, mode=mode)
 
 
 @query
 def prompt_context(spark, sf_dir):
-    facts = _facts(spark, sf_dir, "node_map")
-    return prompts.prompt_context(facts, inputs.source_files(spark, sf_dir)).select(*FILE, "overview", "tree_excerpt")
+    return _context(spark, sf_dir, "node_map").select(*FILE, "overview", "tree_excerpt")
 
 
 @query
@@ -284,7 +285,7 @@ def render_prompts(spark, sf_dir):
 
 @query
 def render_prompts_reference(spark, sf_dir):
-    rows = prompts.render_prompts(_context(spark, sf_dir, "reference"), mode="reference")
+    rows = prompts.render_prompts(_context(spark, sf_dir, mode="reference"), mode="reference")
     return rows.select(*prompts.PROMPT_KEY, "prompt_hash")
 
 
@@ -388,7 +389,8 @@ def cache_clear_all(spark, sf_dir):
     log = inputs.cache_log(spark, sf_dir)
     removed = cache.cache_clear(cache.cache_current(log), ts=_deleted_at())
     left = cache.cache_current(log.unionByName(removed))
-    return removed.agg(F.count(F.lit(1)).alias("n_removed")).crossJoin(left.agg(F.count(F.lit(1)).alias("n_left")))
+    counted = removed.select(F.lit(1).alias("removed")).unionByName(left.select(F.lit(0).alias("removed")))
+    return counted.agg(F.count_if(F.col("removed") == 1).alias("n_removed"), F.count_if(F.col("removed") == 0).alias("n_left"))
 
 
 @query
@@ -441,7 +443,8 @@ def export_interactions(spark, sf_dir):
 
 def _analysis(spark, sf_dir) -> corpus.CorpusAnalysis:
     return corpus.analyze_corpus(
-        inputs.source_files(spark, sf_dir), new_table_path(spark, "cache"), inputs.stub_model)
+        inputs.source_files(spark, sf_dir), new_table_path(spark, "cache"), inputs.stub_model,
+        partitions=inputs.tasks(spark))
 
 
 @query
