@@ -54,12 +54,12 @@ def cache_put(entries: DataFrame, on_invalid: str = "fail") -> DataFrame:
 
 def cache_current(log: DataFrame) -> DataFrame:
     """The valid entry per hash: the last write wins. Writes of one hash are reduced per
-    task before the shuffle."""
-    last = F.max_by(F.struct("prompt_b64", "response_b64", "ts", "metadata", "seq", "op"), F.struct("ts", "seq", "op"))
-    rows = log.groupBy("query_hash").agg(last.alias("last")).where(F.col("last.op") == "put")
-    return rows.select(
-        "query_hash", *[F.col(f"last.{c}").alias(c) for c in ("prompt_b64", "response_b64", "ts", "metadata", "seq")],
-        F.substring("query_hash", 1, 2).alias("hash_prefix"))
+    task before the shuffle; columns nobody asks for are not carried along."""
+    order = F.struct("ts", "seq", "op")
+    columns = ("prompt_b64", "response_b64", "ts", "metadata", "seq")
+    rows = log.groupBy("query_hash").agg(*[F.max_by(c, order).alias(c) for c in (*columns, "op")])
+    return rows.where(F.col("op") == "put").select(
+        "query_hash", *columns, F.substring("query_hash", 1, 2).alias("hash_prefix"))
 
 
 def cache_get(log: DataFrame, prompt: str) -> DataFrame:
@@ -76,10 +76,12 @@ def cache_lookup(requests: DataFrame, current: DataFrame, spread_by: list[str])
     return found.withColumn("cache_hit", F.col("response").isNotNull())
 
 
-def cache_misses(requests: DataFrame, current: DataFrame) -> DataFrame:
-    """One row per request hash without a usable answer."""
+def cache_misses(requests: DataFrame, current: DataFrame, spread_by: list[str]) -> DataFrame:
+    """One row per request hash without a usable answer. Hashes are compared first, so
+    only the texts of misses move."""
     usable = current.where(text.decode_base64("response_b64").isNotNull()).select("query_hash")
-    return requests.dropDuplicates(["query_hash"]).join(usable, "query_hash", "left_anti")
+    missing = requests.select("query_hash").distinct().join(usable, "query_hash", "left_anti")
+    return join_to_unique(requests, missing, ["query_hash"], "left_semi", spread_by).dropDuplicates(["query_hash"])
 
 
 def _tombstones(current: DataFrame, ts: Column | None) -> DataFrame:

@@ -104,7 +104,7 @@ def test_lookup_and_misses(spark, entries):
     asked = asked.withColumn("query_hash", F.sha2("prompt", 256))
     found = {r.id: (r.response, r.cache_hit) for r in cache.cache_lookup(asked, current, ["id"]).collect()}
     assert found == {1: ("r", True), 2: ("r", True), 3: (None, False), 4: (None, False), 5: (None, False)}
-    assert sorted(r.prompt for r in cache.cache_misses(asked, current).collect()) == ["broken", "new"]
+    assert sorted(r.prompt for r in cache.cache_misses(asked, current, ["id"]).collect()) == ["broken", "new"]
 
 
 def test_storage_round_trip_and_compaction(spark, entries, tmp_path):

@@ -1,7 +1,5 @@
 """Every registered query: ``(spark, sf_dir) -> DataFrame`` with flat, named columns."""
 
-import sys
-
 from pyspark import cloudpickle
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
@@ -362,7 +360,7 @@ def cache_lookup(spark, sf_dir):
 @query
 def cache_misses(spark, sf_dir):
     current = cache.cache_current(inputs.cache_log(spark, sf_dir))
-    return cache.cache_misses(inputs.cache_requests(spark, sf_dir), current).select("query_hash", "prompt")
+    return cache.cache_misses(inputs.cache_requests(spark, sf_dir), current, ["event_id"]).select("query_hash", "prompt")
 
 
 @query
