@@ -154,6 +154,9 @@ def _docstring(node):
 
 _all_fields, _statement_fields = {}, {}
 
+# Nodes with nothing of interest inside.
+LEAVES = {ast.Constant, ast.Pass, ast.Break, ast.Continue, ast.Global, ast.Nonlocal}
+
 # Fields that never hold a node of interest.
 PLAIN_FIELDS = {"ctx", "op", "ops", "names", "kwd_attrs", "attr", "arg", "id", "module", "level", "kind", "rest", "simple",
                 "is_async", "conversion", "type_comment", "type_ignores"}
@@ -161,12 +164,8 @@ PLAIN_FIELDS = {"ctx", "op", "ops", "names", "kwd_attrs", "attr", "arg", "id", "
 
 def _child_fields(kind, statements_only):
     """Fields that can lead to names or definitions, last first (the stack reverses them)."""
-    known = _statement_fields if statements_only else _all_fields
-    fields = known.get(kind)
-    if fields is None:
-        keep = [f for f in kind._fields if (f in STATEMENT_FIELDS if statements_only else f not in PLAIN_FIELDS)]
-        fields = known[kind] = tuple(reversed(keep))
-    return fields
+    keep = [f for f in kind._fields if (f in STATEMENT_FIELDS if statements_only else f not in PLAIN_FIELDS)]
+    return tuple(reversed(keep))
 
 
 def _collect(tree, reading, records, mode, include_async):
@@ -181,6 +180,7 @@ def _collect(tree, reading, records, mode, include_async):
     function_kinds = (ast.FunctionDef, ast.AsyncFunctionDef) if include_async else (ast.FunctionDef,)
     methods_count = mode == "intended"
 
+    known_fields = _all_fields if with_scopes else _statement_fields
     pending = [(tree, module, None, 0)]
     while pending:
         node, scope, owner, depth = pending.pop()
@@ -229,8 +229,14 @@ def _collect(tree, reading, records, mode, include_async):
             if isinstance(node.type, ast.Name):
                 scope.catches.add(node.type.id)
 
-        for name in _child_fields(kind, not with_scopes):
+        fields = known_fields.get(kind)
+        if fields is None:
+            fields = known_fields[kind] = _child_fields(kind, not with_scopes)
+        depth += 1
+        for name in fields:
             value = getattr(node, name, None)
+            if value is None or value == []:
+                continue
             for child in reversed(value) if value.__class__ is list else (value,):
                 child_kind = child.__class__
                 if child_kind is ast.Name:          # most nodes are names or constants
@@ -239,8 +245,11 @@ def _collect(tree, reading, records, mode, include_async):
                         scope.reads_from.add(child.id)
                     elif use is ast.Store:
                         scope.writes_to.add(child.id)
-                elif child_kind is not ast.Constant and isinstance(child, ast.AST):
-                    pending.append((child, scope, owner, depth + 1))
+                elif child_kind is ast.arg:         # most have nothing but a name
+                    if child.annotation is not None:
+                        pending.append((child, scope, owner, depth))
+                elif child_kind not in LEAVES and isinstance(child, ast.AST):
+                    pending.append((child, scope, owner, depth))
 
     position = {name: at for at, name in enumerate(scopes)}
     if with_scopes:
