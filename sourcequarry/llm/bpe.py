@@ -16,14 +16,15 @@ give equal rows; an empty table stays empty; columns of the input that carry a r
 replaced, all others stay. Ids are packed as little-endian unsigned 32-bit integers.
 """
 
+import functools
 import json
+import re
 import unicodedata
 from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
 import pyarrow.fs
-import regex
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 FILE_BYTES = 64 << 20
@@ -31,6 +32,24 @@ FILE_BYTES = 64 << 20
 CACHED_WORDS = 400_000
 
 
+#: White space, as the vocabulary's pattern means it.
+SPACES = r"\t-\r \x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000"
+
+
+@functools.cache
+def _class(kind: str) -> str:
+    """All characters of a general category, as ranges of a character class."""
+    ranges, start = [], None
+    for c in range(0x110001):
+        inside = c < 0x110000 and unicodedata.category(chr(c))[0] == kind
+        if inside and start is None:
+            start = c
+        elif not inside and start is not None:
+            ranges.append(f"\\U{start:08x}-\\U{c - 1:08x}")
+            start = None
+    return "".join(ranges)
+
+
 def _byte_symbols() -> list[str]:
     """A printable character for each byte: itself if it is printable Latin-1, else the next
     one from U+0100 on."""
@@ -59,8 +78,9 @@ class Tokenizer:
         symbols = _byte_symbols()
         self.inner = [self.vocab[s] for s in symbols]
         self.last = [self.vocab[s + self.suffix] for s in symbols]
-        self.words = regex.compile(splits[0])
-        self.specials = regex.compile("(" + "|".join(map(regex.escape, self.special)) + ")") if self.special else None
+        self.words = re.compile(splits[0].replace(r"[\p{L}]", f"[{_class('L')}]").replace(r"[\p{N}]", f"[{_class('N')}]")
+                                .replace(r"[^\s\p{L}\p{N}]", f"[^{_class('L')}{_class('N')}{SPACES}]"))
+        self.specials = re.compile("(" + "|".join(map(re.escape, self.special)) + ")") if self.special else None
         self.cache = _Words(self)
 
     def encode(self, text: str | None) -> bytes:
