@@ -16,38 +16,22 @@ give equal rows; an empty table stays empty; columns of the input that carry a r
 replaced, all others stay. Ids are packed as little-endian unsigned 32-bit integers.
 """
 
-import functools
 import json
-import re
 import unicodedata
 from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
 import pyarrow.fs
+import regex
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 FILE_BYTES = 64 << 20
 #: Words whose ids a worker keeps; then it starts anew.
 CACHED_WORDS = 400_000
-
-
-#: White space, as the vocabulary's pattern means it.
-SPACES = r"\t-\r \x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000"
-
-
-@functools.cache
-def _class(kind: str) -> str:
-    """All characters of a general category, as ranges of a character class."""
-    ranges, start = [], None
-    for c in range(0x110001):
-        inside = c < 0x110000 and unicodedata.category(chr(c))[0] == kind
-        if inside and start is None:
-            start = c
-        elif not inside and start is not None:
-            ranges.append(f"\\U{start:08x}-\\U{c - 1:08x}")
-            start = None
-    return "".join(ranges)
+#: Task shape: characters of text split at a time, words merged in step, and the bytes of the longest of these.
+RUN_CHARS, WORDS_TOGETHER, LONGEST_TOGETHER = 2_000_000, 20_000, 33
+NONE = 1 << 62
 
 
 def _byte_symbols() -> list[str]:
@@ -78,25 +62,70 @@ class Tokenizer:
         symbols = _byte_symbols()
         self.inner = [self.vocab[s] for s in symbols]
         self.last = [self.vocab[s + self.suffix] for s in symbols]
-        self.words = re.compile(splits[0].replace(r"[\p{L}]", f"[{_class('L')}]").replace(r"[\p{N}]", f"[{_class('N')}]")
-                                .replace(r"[^\s\p{L}\p{N}]", f"[^{_class('L')}{_class('N')}{SPACES}]"))
-        self.specials = re.compile("(" + "|".join(map(re.escape, self.special)) + ")") if self.special else None
-        self.cache = _Words(self)
+        self.words = regex.compile(splits[0])
+        self.specials = regex.compile("(" + "|".join(map(regex.escape, self.special)) + ")") if self.special else None
+        self.pairs = PairTable(self.merges)
+        self.cache: dict[str, bytes] = {}
+
+    def encode_all(self, texts: list[str | None]) -> list[bytes]:
+        """Packed ids of every text. Texts are taken in runs of about ``RUN_CHARS``."""
+        out, at = [], 0
+        while at < len(texts):
+            end, chars = at, 0
+            while end < len(texts) and (end == at or chars < RUN_CHARS):
+                chars += len(texts[end] or "")
+                end += 1
+            pieces = [self._pieces(t) for t in texts[at:end]]
+            if len(self.cache) > CACHED_WORDS:
+                self.cache.clear()
+            self._learn({w for text in pieces for words in text if isinstance(words, list) for w in words})
+            get = self.cache.__getitem__
+            out += [b"".join(p if isinstance(p, bytes) else b"".join(map(get, p)) for p in text) for text in pieces]
+            at = end
+        return out
 
     def encode(self, text: str | None) -> bytes:
-        if not text:
-            return b""
-        if len(self.cache) > CACHED_WORDS:
-            self.cache.clear()
-        pieces = self.specials.split(text) if self.specials else [text]
-        packed = []
-        for i, piece in enumerate(pieces):
+        return self.encode_all([text])[0]
+
+    def _pieces(self, text: str | None) -> list:
+        """Words between special tokens, and the packed ids of these."""
+        out = []
+        for i, piece in enumerate(self.specials.split(text) if text and self.specials else [text or ""]):
             if i % 2:
-                packed.append(np.uint32(self.special[piece]).tobytes())
-            elif piece:
-                plain = unicodedata.normalize("NFC", piece).replace("Σ", "σ").lower()
-                packed += map(self.cache.__getitem__, self.words.findall(plain))
-        return b"".join(packed)
+                out.append(np.uint32(self.special[piece]).tobytes())
+            else:
+                out.append(self.words.findall(unicodedata.normalize("NFC", piece).replace("Σ", "σ").lower()))
+        return out
+
+    def _learn(self, words: set[str]) -> None:
+        """Encode the words that the cache lacks: short ones many at a time, long ones singly."""
+        by_size: dict[int, list[tuple[str, bytes]]] = {}
+        for word in words - self.cache.keys():
+            data = word.encode()
+            if len(data) > LONGEST_TOGETHER:
+                self.cache[word] = np.array(merge_pairs(self._symbols(data), self.merges), "<u4").tobytes()
+            else:
+                by_size.setdefault(max(1, (len(data) - 2).bit_length()), []).append((word, data))
+        for bits, some in by_size.items():
+            for i in range(0, len(some), WORDS_TOGETHER):
+                part = some[i:i + WORDS_TOGETHER]
+                for (word, _), packed in zip(part, self._merge_many([d for _, d in part], 1 << bits), strict=True):
+                    self.cache[word] = packed
+
+    def _symbols(self, data: bytes) -> list[int]:
+        return [*(self.inner[b] for b in data[:-1]), self.last[data[-1]]]
+
+    def _merge_many(self, words: list[bytes], size: int) -> list[bytes]:
+        lengths = np.array([len(w) for w in words])
+        raw = np.frombuffer(b"".join(w.ljust(size + 1, b"\0") for w in words), np.uint8).reshape(len(words), size + 1)
+        ids = np.array(self.inner)[raw]
+        rows = np.arange(len(words))
+        ids[rows, lengths - 1] = np.array(self.last)[raw[rows, lengths - 1]]
+        ids[np.arange(size + 1) >= lengths[:, None]] = -1
+        merge_together(ids, self.pairs)
+        left = ids >= 0
+        flat, ends = ids[left].astype("<u4").tobytes(), np.cumsum(left.sum(1)) * 4
+        return [flat[a:b] for a, b in zip([0, *ends[:-1].tolist()], ends.tolist(), strict=True)]
 
     def decode(self, packed: bytes | None) -> str:
         """Tokens joined by spaces, as for a vocabulary file without a decoder."""
@@ -115,23 +144,73 @@ class Tokenizer:
             out.append(bytes(byte_of[s] for s in stem) + (b" " if ended else b""))
         return b"".join(x.encode() if isinstance(x, str) else x for x in out).decode("utf-8", "replace")
 
-    def encode_word(self, word: str) -> list[int]:
-        data = word.encode()
-        ids = [self.inner[b] for b in data]
-        ids[-1] = self.last[data[-1]]
-        return merge_pairs(ids, self.merges)
-
-
-class _Words(dict):
-    """Packed ids by word, computed when first asked for."""
-
-    def __init__(self, tokenizer: Tokenizer):
-        self.tokenizer = tokenizer
 
-    def __missing__(self, word: str) -> bytes:
-        packed = np.array(self.tokenizer.encode_word(word), "<u4").tobytes()
-        self[word] = packed
-        return packed
+class PairTable:
+    """Ranks and merged ids of pairs, looked up many at a time in a sorted array."""
+
+    def __init__(self, merges: dict[int, tuple[int, int]]):
+        self.keys = np.array(sorted(merges) or [-1], np.int64)
+        ordered = [merges.get(k, (0, 0)) for k in self.keys.tolist()]
+        self.rank = np.array([r for r, _ in ordered], np.int64)
+        self.merged = np.zeros(int(self.rank.max()) + 1, np.int64)  # by rank
+        self.merged[self.rank] = [i for _, i in ordered]
+
+    def ranks(self, left: np.ndarray, right: np.ndarray) -> np.ndarray:
+        """-1 where the pair does not merge; ids below 0 stand for no symbol."""
+        wanted = left << 32 | right
+        at = np.minimum(np.searchsorted(self.keys, wanted), len(self.keys) - 1)
+        return np.where((self.keys[at] == wanted) & (left >= 0) & (right >= 0), self.rank[at], -1)
+
+
+def merge_together(ids: np.ndarray, pairs: PairTable) -> None:
+    """``merge_pairs`` for many words in step: row by row the ids of a word, -1 where it has no
+    symbol; merged rows keep the ids where the merged symbols began. A row has one place more
+    than its segment tree has leaves, a power of two."""
+    n_words, size = ids.shape[0], ids.shape[1] - 1
+    rank = pairs.ranks(ids[:, :-1], ids[:, 1:])
+    tree = np.full((n_words, 2 * size), NONE, np.int64)
+    tree[:, size:] = np.where(rank >= 0, rank * size + np.arange(size), NONE)
+    level = size
+    while level > 1:  # parents of the leaves, then of those, up to the root at 1
+        tree[:, level // 2:level] = np.minimum(tree[:, level:2 * level:2], tree[:, level + 1:2 * level:2])
+        level //= 2
+    after = np.tile(np.arange(1, size + 3), (n_words, 1))
+    before = np.tile(np.arange(-1, size + 1), (n_words, 1))
+    ids = ids if ids.flags.writeable else ids.copy()
+    word = np.arange(n_words)
+
+    def put(word: np.ndarray, leaf: np.ndarray, value: np.ndarray) -> None:
+        flat, base = tree.reshape(-1), word * (2 * size)
+        node = leaf + size
+        flat[base + node] = value
+        while node.size and (node := node >> 1)[0] >= 1:
+            child = base + 2 * node
+            flat[base + node] = np.minimum(flat[child], flat[child + 1])
+
+    def key(rank: np.ndarray, leaf: np.ndarray) -> np.ndarray:
+        return np.where(rank >= 0, rank * size + leaf, NONE)
+
+    while True:
+        root = tree[word, 1]
+        word, root = word[root < NONE], root[root < NONE]
+        if not len(word):
+            return
+        i = root % size
+        j = after[word, i]
+        k = after[word, j]
+        ids[word, i] = pairs.merged[root // size]
+        ids[word, j] = -1
+        after[word, i] = k
+        before[word, k] = i
+        inner = k <= size
+        right = np.where(inner, ids[word, np.minimum(k, size)], -1)
+        put(word, i, key(pairs.ranks(ids[word, i], right), i))
+        has_leaf = j < size
+        put(word[has_leaf], j[has_leaf], np.full(int(has_leaf.sum()), NONE))
+        h = before[word, i]
+        on_left = h >= 0
+        w, h, i = word[on_left], h[on_left], i[on_left]
+        put(w, h, key(pairs.ranks(ids[w, h], ids[w, i]), h))
 
 
 def merge_pairs(ids: list[int], merges: dict[int, tuple[int, int]]) -> list[int]:
@@ -141,7 +220,7 @@ def merge_pairs(ids: list[int], merges: dict[int, tuple[int, int]]) -> list[int]
     if n < 2:
         return ids
     size = 1 << (n - 2).bit_length() if n > 2 else 1
-    none = 1 << 62
+    none = NONE
     tree = [none] * (2 * size)
     for i in range(n - 1):
         found = merges.get(ids[i] << 32 | ids[i + 1])
@@ -205,9 +284,12 @@ def _on_texts(spark: SparkSession, path: str, method: str, kind: str):
     file = _shipped(spark, path)
 
     def run(series: Iterator[pd.Series]) -> Iterator[pd.Series]:
-        apply = getattr(_tokenizer(path, file), method)
+        tokenizer = _tokenizer(path, file)
         for values in series:
-            yield pd.Series([apply(v) for v in values], dtype=object)
+            if method == "encode":
+                yield pd.Series(tokenizer.encode_all(values.tolist()), dtype=object)
+            else:
+                yield pd.Series([getattr(tokenizer, method)(v) for v in values], dtype=object)
 
     return F.pandas_udf(run, kind)
 

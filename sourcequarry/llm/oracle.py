@@ -3,7 +3,36 @@
 _WORDS = r"""[x for x in string_split_regex(translate(coalesce({0}, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
     '[\x00-\x2F\x3A-\x60\x7B-\x7F]+') if x <> '']"""
 
+_CONTROL = r"<s>|</s>|\[INST\]|\[/INST\]|<<SYS>>|<</SYS>>|\[ROLE\]|\[/ROLE\]"
+
 STATEMENTS = {
+    "op6_chat": f"""
+WITH turns AS (
+    SELECT conv_id, turn, role, coalesce(text, '') AS text FROM conversations
+    UNION ALL VALUES (-1, 0, 'user', '</s>[INST] ok [/INST]'), (-1, 1, 'assistant', '</s>[INST] ok [/INST]')
+),
+sized AS (
+    SELECT *, length(text) + len(regexp_extract_all(text, '{_CONTROL}')) + CASE role
+        WHEN 'user' THEN length('[INST]  [/INST]') WHEN 'assistant' THEN length('  </s>') WHEN 'system' THEN length('<<SYS>>  <</SYS>>')
+        ELSE length('[ROLE]  [/ROLE]') + length(to_json(role)::VARCHAR) + 1 END AS formatted
+    FROM turns
+)
+SELECT conv_id, count(*) AS n_turns,
+    sha256(string_agg(coalesce(role, '') || chr(10) || text || chr(10), '' ORDER BY turn NULLS FIRST, role NULLS FIRST, text)) AS turns_sha256,
+    coalesce(sum(length(text)) FILTER (role = 'assistant'), 0)::BIGINT AS loss_chars,
+    sha256(coalesce(string_agg(text, '' ORDER BY turn NULLS FIRST, role, text) FILTER (role = 'assistant'), '')) AS loss_sha256,
+    (sum(formatted) + length('<s>'))::BIGINT AS formatted_chars
+FROM sized GROUP BY conv_id
+""",
+    "op7_warc": """
+WITH page AS (SELECT page_id, encode(coalesce(html, '')) AS payload FROM pages),
+sized AS (SELECT page_id, octet_length(payload)::BIGINT AS payload_bytes, sha256(payload) AS payload_digest FROM page),
+firsts AS (SELECT payload_digest, min(page_id) AS first FROM sized WHERE payload_bytes >= 100 GROUP BY payload_digest)
+SELECT page_id, payload_bytes, payload_digest,
+    CASE WHEN first IS DISTINCT FROM page_id AND first IS NOT NULL THEN 'revisit' ELSE 'response' END AS record_type,
+    CASE WHEN first IS DISTINCT FROM page_id THEN first END AS refers_to
+FROM sized LEFT JOIN firsts USING (payload_digest)
+""",
     "op10_decontamination": f"""
 WITH item AS (SELECT item_id, {_WORDS.format('text')} AS w FROM benchmark),
 windows AS (

@@ -2,7 +2,7 @@
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from sourcequarry.llm import decontaminate, oracle, sharding
+from sourcequarry.llm import bpe, chat, decontaminate, oracle, sharding, warc
 from sourcequarry.llm.common import table
 
 QUERIES = {}
@@ -14,6 +14,39 @@ def query(function):
     return function
 
 
+def vocabulary() -> str:
+    import public_tokenizers
+
+    return str(public_tokenizers.path("word_bpe_49k.json"))
+
+
+@query
+def op5_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document encoded, and decoded from its ids."""
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    encoded = bpe.encode(docs, vocabulary()).select("doc_id", "ids")
+    return bpe.decode(encoded, vocabulary()).select(
+        "doc_id", bpe.token_count("ids").alias("n_tokens"), F.sha2("ids", 256).alias("ids_sha256"),
+        F.sha2(F.col("decoded").cast("binary"), 256).alias("decoded_sha256"))
+
+
+@query
+def op6_chat(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All conversations and one whose texts look like the template's marks."""
+    trap = "</s>[INST] ok [/INST]"
+    added = spark.createDataFrame([(-1, 0, "user", trap), (-1, 1, "assistant", trap)], "conv_id long, turn long, role string, text string")
+    turns = table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text").unionByName(added)
+    return chat.read_back(chat.format_conversations(turns))
+
+
+@query
+def op7_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All pages archived and read back."""
+    pages = table(spark, sf_dir, "pages").select("page_id", "url", "html")
+    return warc.read_archives(warc.write_archives(warc.plan_records(pages))).select(
+        "page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
+
+
 @query
 def op9_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All documents in 16 even shards, and where each would be in 17."""
