@@ -2,8 +2,9 @@
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from sourcequarry.llm import bpe, chat, decontaminate, oracle, sharding, warc
+from sourcequarry.llm import bpe, chat, decontaminate, license_scan, oracle, sharding, vector_file, warc
 from sourcequarry.llm.common import table
+from sourcequarry.runtime import materialize
 
 QUERIES = {}
 ORACLE_SQL = oracle.STATEMENTS
@@ -14,6 +15,27 @@ def query(function):
     return function
 
 
+@query
+def op2_licenses(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Licence phrases and template spans of every document."""
+    spans = license_scan.scan_licenses(table(spark, sf_dir, "documents").select("doc_id", "text"))
+    base = F.filter("license_spans", lambda s: s["phrase"])
+    starts = F.transform(base, lambda s: s["first"])
+    listed = lambda some: F.array_join(F.array_sort(F.array_distinct(F.transform(some, lambda s: s["label"]))), ",")
+    return spans.select(
+        "doc_id", "n_words", F.size(base).cast("long").alias("n_base"), F.array_min(starts).alias("first_word"),
+        F.array_max(starts).alias("last_word"), listed(base).alias("base_labels"), listed(F.col("license_spans")).alias("labels"),
+        F.coalesce(F.array_max(F.transform("license_spans", lambda s: s["cover"])), F.lit(0.0)).alias("score"))
+
+
+@query
+def op3_top_k(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The 20 nearest of all vectors for each twentieth vector."""
+    scaled = F.transform("embedding", lambda x: x.cast("double") * 64)
+    vectors = materialize(vector_file.integer_vectors(table(spark, sf_dir, "embeddings"), scaled), "vectors")
+    return vector_file.exact_top_k(vectors, vectors.where(F.col("vec_id") % 20 == 0), k=20)
+
+
 def vocabulary() -> str:
     import public_tokenizers
 
