@@ -20,10 +20,17 @@ def connect(sf_dir: str) -> duckdb.DuckDBPyConnection:
     return con
 
 
+def plain(df) -> pd.DataFrame:
+    """Rows as a frame whose whole numbers stay whole beside nulls."""
+    frame = df.toPandas()
+    whole = [c for c, kind in df.dtypes if kind == "bigint" and frame[c].isna().any()]
+    return frame.astype(dict.fromkeys(whole, "Int64"))
+
+
 def normalized(frame: pd.DataFrame) -> pd.DataFrame:
     """Columns by name, rows in order, values as plain text."""
     frame = frame[sorted(frame.columns)]
-    text = frame.map(lambda v: "<null>" if v is None or v is pd.NaT or v != v else str(v))
+    text = frame.map(lambda v: "<null>" if v is None or v is pd.NaT or v is pd.NA or v != v else str(v))
     return text.sort_values(list(text.columns)).reset_index(drop=True)
 
 
@@ -58,7 +65,7 @@ def main(sf_dir: str, *names: str) -> int:
             continue
         start = time.time()
         try:
-            ours = run(spark, sf_dir).toPandas()
+            ours = plain(run(spark, sf_dir))
             took = time.time() - start
             wrong = difference(ours, con.execute(sql[name]).df()) if name in sql else "no SQL"
         except Exception as problem:  # noqa: BLE001
