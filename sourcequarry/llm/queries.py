@@ -2,7 +2,7 @@
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from sourcequarry.llm import bpe, chat, decontaminate, license_scan, oracle, sharding, vector_file, warc
+from sourcequarry.llm import bpe, chat, decontaminate, license_scan, oracle, sharding, simhash, vector_file, warc
 from sourcequarry.llm.common import table
 from sourcequarry.runtime import materialize
 
@@ -36,6 +36,14 @@ def op3_top_k(spark: SparkSession, sf_dir: str) -> DataFrame:
     return vector_file.exact_top_k(vectors, vectors.where(F.col("vec_id") % 20 == 0), k=20)
 
 
+@query
+def op4_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Fingerprints of three-word shingles, linked at two bits or fewer."""
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    return simhash.near_duplicates(docs, n_words=3, bits=64, radius=2).select(
+        "doc_id", F.lower(F.hex("fingerprint")).alias("fingerprint"), "component_id")
+
+
 def vocabulary() -> str:
     import public_tokenizers
 
