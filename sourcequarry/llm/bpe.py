@@ -18,13 +18,14 @@ replaced, all others stay. Ids are packed as little-endian unsigned 32-bit integ
 
 import json
 import unicodedata
-from collections.abc import Iterator
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
 import pyarrow.fs
 import regex
-from pyspark.sql import Column, DataFrame, SparkSession, functions as F
+from pyspark.sql import Column, DataFrame, SparkSession, functions as F, types as T
+
+from sourcequarry.llm.common import with_computed
 
 FILE_BYTES = 64 << 20
 #: Words whose ids a worker keeps; then it starts anew.
@@ -280,29 +281,18 @@ def _shipped(spark: SparkSession, path: str):
         return spark.sparkContext.broadcast(f.read().decode())
 
 
-def _on_texts(spark: SparkSession, path: str, method: str, kind: str):
-    file = _shipped(spark, path)
-
-    def run(series: Iterator[pd.Series]) -> Iterator[pd.Series]:
-        tokenizer = _tokenizer(path, file)
-        for values in series:
-            if method == "encode":
-                yield pd.Series(tokenizer.encode_all(values.tolist()), dtype=object)
-            else:
-                yield pd.Series([getattr(tokenizer, method)(v) for v in values], dtype=object)
-
-    return F.pandas_udf(run, kind)
-
-
-def encode(docs: DataFrame, vocabulary: str, text: str = "text", ids: str = "ids") -> DataFrame:
+def encode(docs: DataFrame, vocabulary: str, text: str = "text", ids: str = "ids", drop_text: bool = False) -> DataFrame:
     """``docs`` with the packed ids of their whole texts."""
-    return docs.withColumn(ids, _on_texts(docs.sparkSession, vocabulary, "encode", "binary")(text))
+    file = _shipped(docs.sparkSession, vocabulary)
+    return with_computed(docs, text, ids, T.BinaryType(), pa.binary(),
+                         lambda texts: _tokenizer(vocabulary, file).encode_all(texts), drop_source=drop_text)
 
 
 def decode(encoded: DataFrame, vocabulary: str, ids: str = "ids", decoded: str = "decoded", as_text: bool = False) -> DataFrame:
     """``encoded`` with its tokens joined by spaces, or as readable text."""
-    method = "decode_text" if as_text else "decode"
-    return encoded.withColumn(decoded, _on_texts(encoded.sparkSession, vocabulary, method, "string")(ids))
+    file, method = _shipped(encoded.sparkSession, vocabulary), "decode_text" if as_text else "decode"
+    return with_computed(encoded, ids, decoded, T.StringType(), pa.string(),
+                         lambda packed: list(map(getattr(_tokenizer(vocabulary, file), method), packed)))
 
 
 def token_count(ids: str | Column = "ids") -> Column:

@@ -1,6 +1,9 @@
 """Small helpers of the operators."""
 
-from pyspark.sql import Column, DataFrame, functions as F
+from collections.abc import Callable, Iterator
+
+import pyarrow as pa
+from pyspark.sql import Column, DataFrame, functions as F, types as T
 
 #: Words of ASCII letters and digits and of every character outside ASCII.
 SEPARATORS = r"[\x00-\x2F\x3A-\x60\x7B-\x7F]+"
@@ -32,3 +35,28 @@ def words_of(text: Column) -> Column:
 
 def table(spark, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+
+
+def slices(batch: pa.RecordBatch, n_bytes: int = 4 << 20) -> Iterator[pa.RecordBatch]:
+    """A batch in runs of rows of about ``n_bytes``, so that what is made of them stays small."""
+    rows = max(1, int(batch.num_rows * n_bytes / max(1, batch.nbytes)))
+    for start in range(0, batch.num_rows, rows):
+        yield batch.slice(start, rows)
+
+
+def with_computed(
+    df: DataFrame, source: str, name: str, kind: T.DataType, arrow_kind: pa.DataType,
+    compute: Callable[[list], list], drop_source: bool = False,
+) -> DataFrame:
+    """``df`` with a column that Python computes from another one, a run of rows at a time."""
+    kept = [c for c in df.columns if c.lower() != name.lower() and not (drop_source and c == source)]
+    rows = df.select(*kept, F.col(source).alias(fresh(df, "source")[0]))
+    schema = T.StructType([*[rows.schema[c] for c in kept], T.StructField(name, kind)])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for part in slices(batch):
+                values = pa.array(compute(part.column(len(kept)).to_pylist()), arrow_kind)
+                yield pa.record_batch([*part.columns[:len(kept)], values], names=[*kept, name])
+
+    return rows.mapInArrow(run, schema)

@@ -54,7 +54,7 @@ def vocabulary() -> str:
 def op5_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every document encoded, and decoded from its ids."""
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
-    encoded = bpe.encode(docs, vocabulary()).select("doc_id", "ids")
+    encoded = bpe.encode(docs, vocabulary(), drop_text=True)
     return bpe.decode(encoded, vocabulary()).select(
         "doc_id", bpe.token_count("ids").alias("n_tokens"), F.sha2("ids", 256).alias("ids_sha256"),
         F.sha2(F.col("decoded").cast("binary"), 256).alias("decoded_sha256"))
