@@ -45,6 +45,27 @@ SELECT page_id, payload_bytes, payload_digest,
     CASE WHEN first IS DISTINCT FROM page_id AND first IS NOT NULL THEN 'revisit' ELSE 'response' END AS record_type,
     CASE WHEN first IS DISTINCT FROM page_id THEN first END AS refers_to
 FROM sized LEFT JOIN firsts USING (payload_digest)
+""",
+    "op8_suffix_dedup": """
+WITH doc AS (SELECT doc_id, hex(encode(coalesce(text, ''))) AS h FROM documents),
+strings AS (
+    SELECT doc_id, i, md5(substr(h, 2 * i + 1, 200)) AS s
+    FROM (SELECT doc_id, h, unnest(range(0, len(h) // 2 - 99)) AS i FROM doc)
+),
+firsts AS (SELECT s, min((doc_id, i)) AS first FROM strings GROUP BY s HAVING count(*) > 1),
+repeats AS (SELECT doc_id, i FROM strings JOIN firsts USING (s) WHERE (doc_id, i) > first),
+begins AS (SELECT *, i > coalesce(lag(i) OVER (PARTITION BY doc_id ORDER BY i) + 100, -1) AS begins FROM repeats),
+numbered AS (SELECT *, sum(begins::INT) OVER (PARTITION BY doc_id ORDER BY i) AS span FROM begins),
+spans AS (SELECT doc_id, span, min(i) AS a, max(i) + 100 AS b FROM numbered GROUP BY doc_id, span),
+placed AS (SELECT *, coalesce(lag(b) OVER (PARTITION BY doc_id ORDER BY a), 0) AS before FROM spans),
+cut AS (
+    SELECT doc_id, string_agg(substr(h, 2 * before + 1, 2 * (a - before)), '' ORDER BY a) AS kept,
+        max(b) AS last, sum(b - a) AS n_removed, count(*) AS n_spans
+    FROM placed JOIN doc USING (doc_id) GROUP BY doc_id
+)
+SELECT doc_id, (len(h) // 2)::BIGINT AS n_bytes, coalesce(n_removed, 0)::BIGINT AS n_removed, coalesce(n_spans, 0)::BIGINT AS n_spans,
+    sha256(unhex(coalesce(kept || substr(h, 2 * last + 1), h))) AS kept_sha256
+FROM doc LEFT JOIN cut USING (doc_id)
 """,
     "op10_decontamination": f"""
 WITH item AS (SELECT item_id, {_WORDS.format('text')} AS w FROM benchmark),

@@ -2,7 +2,7 @@
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from sourcequarry.llm import bpe, chat, decontaminate, license_scan, oracle, sharding, simhash, vector_file, warc
+from sourcequarry.llm import bpe, chat, decontaminate, license_scan, oracle, sharding, simhash, suffix_dedup, vector_file, warc
 from sourcequarry.llm.common import table
 from sourcequarry.runtime import materialize
 
@@ -77,6 +77,14 @@ def op7_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
         "page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
 
 
+@query
+def op8_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document without the bytes of 100-byte strings that also start earlier."""
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    return suffix_dedup.remove_repeats(docs, length=100, whole_characters=False).select(
+        "doc_id", "n_bytes", "n_removed", "n_spans", F.sha2("text", 256).alias("kept_sha256"))
+
+
 @query
 def op9_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All documents in 16 even shards, and where each would be in 17."""
