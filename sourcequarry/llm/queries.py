@@ -2,7 +2,7 @@
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from sourcequarry.llm import bpe, chat, decontaminate, license_scan, oracle, sharding, simhash, suffix_dedup, vector_file, warc
+from sourcequarry.llm import bpe, chat, decontaminate, language_id, license_scan, oracle, sharding, simhash, suffix_dedup, vector_file, warc
 from sourcequarry.llm.common import table
 from sourcequarry.runtime import materialize
 
@@ -15,6 +15,26 @@ def query(function):
     return function
 
 
+@query
+def op1_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Language of every document; its label is what markup would declare, its source the host."""
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text", "lang", "source")
+    model = language_id.fit(docs, "lang")
+    return language_id.identify(docs, model, declared=F.col("lang"), host=F.col("source"), drop_text=True)
+
+
+@query
+def page_language(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Language of every web page by its text, markup, address suffix and host."""
+    declared = F.regexp_extract("html", r"(?i)<html[^>]*\slang=[\"']?([a-z]+)", 1)
+    plain = F.regexp_replace("html", r"(?is)<(script|style)\b.*?</\1>|<!--.*?-->|<[^>]*>", " ")
+    pages = table(spark, sf_dir, "pages").select("page_id", "url", plain.alias("text"), declared.alias("markup"))
+    model = language_id.fit(pages, "markup")
+    found = language_id.identify(pages, model, declared=F.when(F.col("markup") != "", F.col("markup")),
+                                 host=language_id.host_of(F.col("url")), drop_text=True)
+    return found.select("page_id", "url", "markup", *language_id.RESULT)
+
+
 @query
 def op2_licenses(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Licence phrases and template spans of every document."""
