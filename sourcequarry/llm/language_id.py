@@ -37,14 +37,14 @@ from sourcequarry.runtime import materialize
 #: Labelled rows of each language that the text model is fitted on, as expected.
 SAMPLE = 2_000
 #: Languages that are told apart, the most frequent labels; a label needs this many rows.
-LANGUAGES, LEAST_ROWS = 64, 20
+LANGUAGES, LEAST_ROWS = 64, 5
 #: Independent trigrams that a text counts as, at most.
 GRAMS = 60
 BUCKETS = 1 << 14
 #: Weight, in documents, of the coarser level in every smoothed share.
 SMOOTHING = 10.0
 UNDETERMINED = "und"
-UNDETERMINED_PRIOR = 0.001
+UNDETERMINED_PRIOR = 1e-12
 
 RESULT = ["language", "posterior", "text_language", "rejected"]
 
