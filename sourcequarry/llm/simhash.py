@@ -19,6 +19,7 @@ gives none.
 """
 
 import math
+import uuid
 from collections.abc import Iterator
 
 import numpy as np
@@ -57,7 +58,7 @@ def fingerprint(hashes: np.ndarray, bits: int = 64) -> bytes:
     wide = np.empty((len(hashes), bits // 64), ">u8")
     wide[:, 0] = hashes
     for i in range(1, bits // 64):
-        x = hashes + np.uint64(i) * np.uint64(0x9E3779B97F4A7C15)
+        x = hashes + np.uint64(i * 0x9E3779B97F4A7C15 % (1 << 64))
         x = (x ^ (x >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)
         x = (x ^ (x >> np.uint64(27))) * np.uint64(0x94D049BB133111EB)
         wide[:, i] = x ^ (x >> np.uint64(31))
@@ -138,8 +139,11 @@ def links(different: DataFrame, radius: int, bits: int) -> DataFrame:
     """Edges (u, v) that connect what fingerprints within the radius connect."""
     width = max(1, radius)
     classed = different.select("print", F.floor(F.col("high") / width).cast("int").alias("x"), F.floor(F.col("low") / width).cast("int").alias("y"))
+    sizes = materialize(classed.groupBy("x", "y").agg(F.count(F.lit(1)).alias("n")), "class-sizes")
+    dealt = classed.join(sizes, ["x", "y"]).select(
+        "x", "y", F.pmod(F.xxhash64("print"), F.ceil(F.col("n") / TILE)).cast("int").alias("part"), "print")
     tiles = materialize(
-        classed.repartition("x", "y", F.pmod(F.xxhash64("print"), F.lit(64))).sortWithinPartitions("x", "y").mapInArrow(_pack, _TILES), "tiles")
+        dealt.repartition("x", "y", "part").sortWithinPartitions("x", "y", "part").mapInArrow(_pack, _TILES), "tiles")
     salts = max(1, math.isqrt(tiles.count()) // 2)
     steps = [(0, 0), (0, 1), (1, -1), (1, 0), (1, 1)]  # half of the neighbours: each pair of tiles once
     near = F.explode(F.array(*[F.struct(F.lit(a).alias("a"), F.lit(b).alias("b")) for a, b in steps]))
@@ -166,9 +170,7 @@ _TILES = "x int, y int, tile string, prints binary"
 
 
 def _pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Rows in order of (x, y) as tiles."""
-    import uuid
-
+    """Rows in order of (x, y, part) as tiles: one for each part, more where it came out large."""
     key, held = None, []
 
     def tile() -> pa.RecordBatch:
@@ -176,11 +178,11 @@ def _pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                                 pa.array([b"".join(held)], pa.binary())], names=["x", "y", "tile", "prints"])
 
     for batch in batches:
-        for x, y, print_ in zip(*(batch.column(c).to_pylist() for c in ("x", "y", "print")), strict=True):
-            if held and (key != (x, y) or len(held) == TILE):
+        for x, y, part, print_ in zip(*(batch.column(c).to_pylist() for c in ("x", "y", "part", "print")), strict=True):
+            if held and (key != (x, y, part) or len(held) == 2 * TILE):
                 yield tile()
                 held.clear()
-            key = x, y
+            key = x, y, part
             held.append(print_)
     if held:
         yield tile()
