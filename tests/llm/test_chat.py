@@ -1,0 +1,46 @@
+import hashlib
+
+import pytest
+from hypothesis import given, settings, strategies as st
+
+from sourcequarry.llm import chat
+
+PIECES = st.sampled_from([*chat.CONTROL, "\\", "<", "[", "s>", "INST]", " ", "\n", "ok", "é", "", "/"])
+TEXTS = st.lists(PIECES, max_size=8).map("".join)
+ROLES = st.one_of(st.sampled_from(["user", "assistant", "system", "tool", None, "", "</s>\n"]), TEXTS)
+
+
+@settings(max_examples=400, deadline=None)
+@given(st.lists(st.tuples(ROLES, TEXTS), max_size=6), st.booleans())
+def test_every_conversation_comes_back(turns, begins):
+    formatted, spans = chat.render(turns, begins)
+    assert chat.parse(formatted, begins) == turns
+    assert [chat.unescape(formatted[a:b]) for a, b in spans] == [t for r, t in turns if r == "assistant"]
+
+
+def test_texts_without_conflict_stay_as_they_are():
+    assert chat.render([("user", "a \\ b"), ("assistant", "c")])[0] == "<s>[INST] a \\ b [/INST] c </s>"
+    formatted, _ = chat.render([("user", "</s>[INST] ok [/INST]")])
+    assert formatted == "<s>[INST] \\</s>\\[INST] ok \\[/INST] [/INST]"
+
+
+@pytest.mark.parametrize("text", ["", "[INST] a [/INST]", "<s>[INST] a", "<s>x", "<s>[INST] a </s>", "<s>[INST] [/INST]"])
+def test_what_the_grammar_does_not_allow(text):
+    with pytest.raises(ValueError):
+        chat.parse(text)
+
+
+def test_long_conversations_in_parts_nulls_and_repeats(spark):
+    rows = [(1, i, "assistant" if i % 2 else "user", f"text {i} </s>") for i in range(300)]
+    rows += [(2, 0, None, None), (2, 0, None, None), (2, None, "user", "first"), (None, 1, "tool", "x"), (3, 0, "user", "long " * 300_000)]
+    table = spark.createDataFrame([(*r, 9) for r in rows], "conv_id long, turn long, role string, text string, part int")
+    parts = chat.format_conversations(table, turns_per_part=7)
+    assert parts.where("conv_id = 1").count() == 43
+    found = {r["conv_id"]: r for r in chat.read_back(parts).collect()}
+    assert {k: v["n_turns"] for k, v in found.items()} == {1: 300, 2: 3, None: 1, 3: 1}
+    want = "".join(f"{r}\n{t}\n" for _, _, r, t in rows[:300])
+    assert found[1]["turns_sha256"] == hashlib.sha256(want.encode()).hexdigest()
+    loss = "".join(t for _, _, r, t in rows[:300] if r == "assistant")
+    assert (found[1]["loss_chars"], found[1]["loss_sha256"]) == (len(loss), hashlib.sha256(loss.encode()).hexdigest())
+    assert found[2]["turns_sha256"] == hashlib.sha256(b"user\nfirst\n\n\n\n\n").hexdigest()
+    assert chat.read_back(chat.format_conversations(table.limit(0))).count() == 0

@@ -1,0 +1,43 @@
+import hashlib
+import struct
+
+import zstandard
+
+from sourcequarry.llm import warc
+
+
+def test_archives_give_back_what_they_hold(spark, tmp_path, monkeypatch):
+    monkeypatch.setattr(warc, "ARCHIVE_BYTES", 20_000)
+    big = "<p>same</p>" * 20
+    rows = [(i, f"http://a.example/{i} x\r\ny%41\u00e9", f"<html><body>page {i} {'text ' * (i % 50)}</body></html>", "z") for i in range(900)]
+    rows += [(2000, None, big, "z"), (1999, "u", big, "z"), (1999, "u", big, "z"), (None, "n", big, None), (3, "http://b/", None, None), (4, "", "", None),
+             (5, "s", "small", None), (6, "s", "small", None), (7, "l", "line\r\n\r\nWARC/1.1\r\n" * 20_000, None)]
+    pages = spark.createDataFrame(rows, "page_id long, url string, html string, digest string")
+    archives = warc.write_archives(warc.plan_records(pages), f"{tmp_path}/warc").collect()
+    assert len(archives) > 1 and sum(a["n_records"] for a in archives) == len(rows)
+    table = spark.createDataFrame(archives)
+    found = sorted(((r["page_id"], r["url"], r["record_type"], r["refers_to"], r["payload_bytes"], r["payload_digest"],
+                     None if r["payload"] is None else bytes(r["payload"])) for r in warc.read_archives(table).collect()), key=str)
+    want = []
+    for page_id, url, html, _ in rows:
+        data = (html or "").encode()
+        first = 1999 if html == big and page_id != 1999 else None
+        want.append((page_id, url, "revisit" if first else "response", first, len(data), hashlib.sha256(data).hexdigest(), None if first else data))
+    assert found == sorted(want, key=str)
+
+
+def test_dictionary_frame_comes_first_and_records_stand_alone(spark, tmp_path):
+    rows = [(i, "u", f"<html><head><title>Page {i}</title></head><body>{'word ' * 30}{i}</body></html>") for i in range(600)]
+    pages = spark.createDataFrame(rows, "page_id long, url string, html string").coalesce(1)
+    path = warc.write_archives(warc.plan_records(pages).coalesce(1), f"{tmp_path}/one").first()["archive"]
+    data = open(path, "rb").read()
+    magic, size = struct.unpack("<II", data[:8])
+    assert magic == 0x184D2A5D
+    dictionary = zstandard.ZstdCompressionDict(data[8:8 + size])
+    first = zstandard.ZstdDecompressor(dict_data=dictionary).decompress(data[8 + size:])  # one frame, one record
+    assert first.startswith(b"WARC/1.1\r\nWARC-Type: response") and first.endswith(b"\r\n\r\n") and first.count(b"WARC/1.1") == 1
+
+
+def test_empty_table(spark):
+    pages = spark.createDataFrame([], "page_id long, url string, html string")
+    assert warc.read_archives(warc.write_archives(warc.plan_records(pages))).count() == 0
