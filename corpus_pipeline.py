@@ -6,37 +6,52 @@ undetermined; of each group of near duplicates the one with the smallest id stay
 passages of 100 bytes and more stay where they come first; documents with a benchmark passage go.
 """
 
+import functools
+
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from sourcequarry.llm import bpe, decontaminate, language_id, simhash, suffix_dedup
+from sourcequarry.llm.common import ship_package
 from sourcequarry.llm.queries import vocabulary
 from sourcequarry.runtime import materialize
 
-COLUMNS = ["doc_id", "text", "lang", "source", "n_chars"]
+
+def stage(function):
+    @functools.wraps(function)
+    def run(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+        ship_package(spark)
+        return function(spark, docs, sf_dir)
+
+    return run
 
 
+@stage
 def identify_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     model = language_id.fit(docs, "lang")
     return language_id.identify(docs, model, declared=F.col("lang"), host=F.col("source")).where("not rejected").select(*docs.columns)
 
 
+@stage
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     return simhash.keep_one_of_each(docs)
 
 
+@stage
 def cut_repeats(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     cut = suffix_dedup.remove_repeats(docs)
     length = F.when(F.col("n_removed") > 0, F.length("text")).otherwise(F.col("n_chars"))
     return cut.withColumn("n_chars", length.cast(docs.schema["n_chars"].dataType)).select(*docs.columns)
 
 
+@stage
 def decontaminate_documents(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     return decontaminate.drop_documents(docs, spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
 
 
+@stage
 def encode(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    encoded = bpe.encode(docs, vocabulary())
-    return encoded.select("doc_id", "lang", "source", bpe.token_count("ids").alias("n_tokens"), "ids", "text")
+    encoded = bpe.decode(bpe.encode(docs, vocabulary()), vocabulary())
+    return encoded.select("doc_id", "lang", "source", "text", bpe.token_count("ids").alias("n_tokens"), "ids", "decoded")
 
 
 STAGES = [

@@ -1,6 +1,9 @@
 """Small helpers of the operators."""
 
+import tempfile
+import zipfile
 from collections.abc import Callable, Iterator
+from pathlib import Path
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, functions as F, types as T
@@ -11,6 +14,24 @@ SEPARATORS = r"[\x00-\x2F\x3A-\x60\x7B-\x7F]+"
 _UPPER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
 
 
+_shipped_to: list = []
+
+
+def ship_package(spark) -> None:
+    """Send this package to the executors once for each session, so that its functions run there
+    whether or not it is installed on them."""
+    context = spark.sparkContext
+    if any(c is context for c in _shipped_to):
+        return
+    package = Path(__file__).resolve().parent.parent
+    archive = f"{tempfile.mkdtemp()}/{package.name}.zip"  # read by the driver's own file server only
+    with zipfile.ZipFile(archive, "w") as z:
+        for source in sorted(package.rglob("*.py")):
+            z.write(source, source.relative_to(package.parent))
+    context.addPyFile(archive)
+    _shipped_to.append(context)
+
+
 def fresh(df: DataFrame, *names: str) -> list[str]:
     """Names like ``names`` that no column of ``df`` has, whatever its columns are called."""
     taken = {c.lower() for c in df.columns}

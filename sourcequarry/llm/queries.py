@@ -1,9 +1,11 @@
 """The operators' registered queries, ``(spark, sf_dir) -> DataFrame``, and their SQL."""
 
+import functools
+
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from sourcequarry.llm import bpe, chat, decontaminate, language_id, license_scan, oracle, sharding, simhash, suffix_dedup, vector_file, warc
-from sourcequarry.llm.common import table
+from sourcequarry.llm.common import ship_package, table
 from sourcequarry.runtime import materialize
 
 QUERIES = {}
@@ -11,8 +13,13 @@ ORACLE_SQL = oracle.STATEMENTS
 
 
 def query(function):
-    QUERIES[function.__name__] = function
-    return function
+    @functools.wraps(function)
+    def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+        ship_package(spark)
+        return function(spark, sf_dir)
+
+    QUERIES[function.__name__] = run
+    return run
 
 
 @query
