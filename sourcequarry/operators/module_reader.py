@@ -6,15 +6,13 @@ together. The loop keeps its own stack, so deep nesting does not exhaust Python'
 
 import ast
 import gc
+import re
 import warnings
 from contextlib import contextmanager
 from dataclasses import dataclass, field
 
 MODULE_SCOPE = "<module>"
 
-# Fixed value: the message older Python versions give for a backslash inside an f-string expression.
-F_STRING_BACKSLASH = "f-string expression part cannot include a backslash"
-
 UNREADABLE = (SyntaxError, ValueError, RecursionError, MemoryError)
 
 STATEMENT_FIELDS = {"body", "orelse", "handlers", "finalbody", "cases"}
@@ -64,13 +62,13 @@ def read_module(source: str | None, *, records: set, mode: str, on_error: str, i
     try:
         if source is None:
             raise ValueError("content is missing or not UTF-8")
-        tree = _parse(source)
+        tree = ast.parse(source)
         _collect(tree, reading, records, mode, include_async)
     except UNREADABLE as problem:
         if on_error == "fail":
             raise
         reading = ModuleReading(error=_message(problem))
-        if on_error == "sanitize":
+        if on_error == "sanitize" and source is not None:
             try:
                 tree, reading.n_lines_removed = _parse_what_is_left(source)
                 readable = ModuleReading()
@@ -100,28 +98,56 @@ def _message(problem):
     return encodable(str(problem) if isinstance(problem, SyntaxError) else f"{type(problem).__name__}: {problem}")
 
 
-def _parse(source):
-    try:
-        return ast.parse(source)
-    except SyntaxError as problem:
-        if F_STRING_BACKSLASH not in str(problem):
-            raise
-        return ast.parse(source.replace("\\", ""))
-
-
 def _parse_what_is_left(source):
-    """Drop the line each syntax error points at until the rest parses."""
+    """Drop the line each syntax error points at until the rest parses.
+
+    Whole statements above an error stay read: they are set aside, and only what follows is
+    parsed again."""
     lines = source.split("\n")
     removed = 0
+    bodies, done = [], 0
     while True:
         try:
-            return _parse("\n".join(lines)), removed
+            rest = ast.parse("\n".join(lines[done:]))
         except SyntaxError as problem:
             at = problem.lineno
-            if at is None or not 1 <= at <= len(lines):
+            if at is None or not 1 <= at <= len(lines) - done:
                 raise
-            del lines[at - 1]
+            del lines[done + at - 1]
             removed += 1
+            good = _whole_statements(lines, done, done + at - 1)
+            if good:
+                head, end = good
+                bodies.append((done, head))
+                done = end
+            continue
+        if not bodies:
+            return rest, removed
+        for offset, tree in [*bodies, (done, rest)]:
+            if offset:
+                ast.increment_lineno(tree, offset)
+        rest.body = [node for _, tree in bodies for node in tree.body] + rest.body
+        return rest, removed
+
+
+#: So many lines above an error are worth setting aside; fewer are cheaper to parse again.
+LINES_SET_ASIDE = 50
+_GOES_ON = re.compile(r"[\s#)\]}]|(?:elif|else|except|finally|case)\b|$")
+
+
+def _whole_statements(lines, start, end):
+    """The tree of the lines from ``start`` up to the last one before ``end`` where a top-level
+    statement begins, and that line; None where they do not parse by themselves."""
+    at = end
+    while at - start >= LINES_SET_ASIDE:
+        begins = at < len(lines) and not _GOES_ON.match(lines[at]) and not lines[at - 1].endswith("\\") and not lines[at - 1].startswith("@")
+        if begins:
+            try:
+                return ast.parse("\n".join(lines[start:at])), at
+            except SyntaxError:
+                return None
+        at -= 1
+    return None
 
 
 def encodable(text):
@@ -289,25 +315,26 @@ def _parameters(node, mode):
 
 
 def _entity_rows(definitions, position, mode):
-    last_class = {d.node.name: d for d in definitions if d.entity_type == "class"}
-    last_function = {(d.owner, d.node.name): d for d in definitions if d.entity_type != "class"}
+    """The last definition of a name within the same owner counts, if its owner does."""
+    last = {(d.entity_type == "class", d.owner, d.node.name): d for d in definitions}
+
+    def counts(d):
+        while d is not None:
+            if last[d.entity_type == "class", d.owner, d.node.name] is not d:
+                return False
+            d = d.owner
+        return True
+
     rows = []
     for d in definitions:
         node, is_class = d.node, d.entity_type == "class"
-        owner_kept = d.owner is None or last_class.get(d.owner.node.name) is d.owner
-        if is_class:
-            latest = last_class[node.name] is d
-        elif d.entity_type == "method":
-            latest = last_function[(d.owner, node.name)] is d and owner_kept
-        else:
-            latest = last_function[(None, node.name)] is d
         rows.append((
             d.entity_type,
             d.owner.node.name if d.owner else None,
             node.name,
             d.qualname,
             d.ordinal,
-            latest,
+            counts(d),
             node.lineno,
             node.end_lineno,
             _docstring(node),
@@ -316,5 +343,6 @@ def _entity_rows(definitions, position, mode):
             [source_text(x) for x in node.bases] if is_class else [],
             [] if is_class else _parameters(node, mode),
             position.get(d.qualname if mode == "intended" else node.name),
+            d.owner.qualname if d.owner else None,
         ))
     return rows

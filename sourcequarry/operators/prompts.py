@@ -14,10 +14,11 @@ INDENTED_SUMMARY = """Excellent work. Please provide a succinct summary of this
         SUMMARY: 3-sentence summary goes here
         NOTES: any other comments or notes go here"""
 
+# Defaults; the cut is part of the prompts' definition, since answers are found by their hash.
 OVERVIEW_CHARS = 600
 MODULE_CODE_CHARS = 4000
 
-PROMPT_KEY = [*FILE, "entity_type", "owner_class", "name"]
+PROMPT_KEY = [*FILE, "entity_type", "owner_class", "owner_qualname", "name"]
 
 
 def with_tree_excerpts(
@@ -27,14 +28,13 @@ def with_tree_excerpts(
     where given (the join's own shuffle makes them; reading is heavy per byte, so more
     tasks than sizes alone suggest can pay).
 
-    Keys are unique on both sides, so a shuffle by file is even; hashing the short
-    excerpts saves sorting the texts. Where ``files`` is a table bucketed by file, only
-    the excerpts move.
+    Keys are unique on both sides, so a shuffle by file is even. Where ``files`` is a table
+    bucketed by file, only the excerpts move.
     """
     anchor = "first_match" if mode == "reference" else "own_line"
     excerpts = tree.tree_excerpts(files, max_chars=max_chars, anchor=anchor)
     placed = files.repartition(partitions, *FILE) if partitions else files
-    return placed.join(excerpts.hint("shuffle_hash"), FILE)
+    return placed.join(excerpts, FILE)
 
 
 def prompt_context(facts: DataFrame, max_chars: int = OVERVIEW_CHARS, mode: str = "intended") -> DataFrame:
@@ -45,7 +45,9 @@ def prompt_context(facts: DataFrame, max_chars: int = OVERVIEW_CHARS, mode: str
     return overview.withColumn("overview", text.truncate_middle("overview", max_chars, mode))
 
 
-def render_prompts(context: DataFrame, templates: dict[str, str] = TEMPLATES, mode: str = "intended") -> DataFrame:
+def render_prompts(
+    context: DataFrame, templates: dict[str, str] = TEMPLATES, mode: str = "intended", max_code_chars: int = MODULE_CODE_CHARS,
+) -> DataFrame:
     """All prompts of all files: ``PROMPT_KEY``, ``ordinal``, ``prompt`` and its hash.
 
     What an entity needs is picked inside its file's row, then rows are unfolded and the
@@ -53,7 +55,7 @@ def render_prompts(context: DataFrame, templates: dict[str, str] = TEMPLATES, mo
     """
     shared = ["rel_path", "tree_excerpt", "overview"]
     with_lines = context.withColumn("lines", text.source_lines("raw_code", mode))
-    subjects = F.concat(_module_subject(mode), _entity_subjects(mode))
+    subjects = F.concat(_module_subject(mode, max_code_chars), _entity_subjects(mode))
     rows = with_lines.select("repo_id", *shared, F.inline(subjects))
     prompt = F.when(F.col("entity_type") == "module", _filled(templates["module"], _module_values(mode)))
     prompt = prompt.when(F.col("entity_type") == "class", _filled(templates["class"], _class_values(mode)))
@@ -65,7 +67,7 @@ def render_prompts(context: DataFrame, templates: dict[str, str] = TEMPLATES, mo
 
 # What the templates of all entity types draw on, as (name, type).
 _SUBJECT = [
-    ("entity_type", "string"), ("owner_class", "string"), ("name", "string"), ("ordinal", "int"), ("code", "string"),
+    ("entity_type", "string"), ("owner_class", "string"), ("owner_qualname", "string"), ("name", "string"), ("ordinal", "int"), ("code", "string"),
     ("found", SCOPE.simpleString()), ("decorators", "array<string>"), ("contains", "array<string>"),
     ("direct_imports", "array<string>"), ("from_imports", "array<string>"),
     ("classes", "array<string>"), ("functions", "array<string>"),
@@ -86,10 +88,10 @@ def _targets(import_type: str) -> Column:
     return F.array_distinct(F.transform(of_type, lambda i: i["target"]))
 
 
-def _module_subject(mode: str) -> Column:
+def _module_subject(mode: str, max_code_chars: int) -> Column:
     values = {
         "entity_type": F.lit("module"), "name": text.file_name("rel_path"), "ordinal": F.lit(-1),
-        "code": text.truncate_middle("raw_code", MODULE_CODE_CHARS, mode),
+        "code": text.truncate_middle("raw_code", max_code_chars, mode),
     }
     if mode == "intended":
         values["direct_imports"] = _targets("direct")
@@ -104,11 +106,11 @@ def _entity_subjects(mode: str) -> Column:
         values = {
             "code": text.node_source("lines", e["lineno"], e["end_lineno"]),
             "found": F.get("scopes", e["scope_ix"]), "decorators": e["decorators"],
-            **{name: e[name] for name in ("entity_type", "owner_class", "name", "ordinal")},
+            **{name: e[name] for name in ("entity_type", "owner_class", "owner_qualname", "name", "ordinal")},
         }
         if mode == "intended":
             values["contains"] = F.when(e["entity_type"] == "class", _names(
-                "entities", lambda m: m["is_latest"] & (m["owner_class"] == e["name"]) & (m["entity_type"] == "method")))
+                "entities", lambda m: m["is_latest"] & (m["owner_qualname"] == e["qualname"]) & (m["entity_type"] == "method")))
         return _subject(**values)
 
     return F.transform(F.filter("entities", lambda e: e["is_latest"]), subject)

@@ -28,6 +28,7 @@ ENTITY = _struct(
     bases=T.ArrayType(_S),
     parameters=T.ArrayType(PARAMETER),
     scope_ix=T.IntegerType(),   # position in `scopes` of the entity's relationship record, or NULL
+    owner_qualname=_S,          # tells classes of one name within different owners apart
 )
 
 FACT_KINDS = ["calls", "imports", "inherits_from", "reads_from", "writes_to", "raises", "catches"]

@@ -83,7 +83,7 @@ def test_what_may_be_stored(spark, entries):
 
 
 def test_special_and_large_values_survive(spark, entries):
-    odd, large = "test\n\t\r\0prompt🔥", "x" * 1_000_000
+    odd, large = "tab\t, nul\0, line\r\n and 🧭", "x" * 1_000_000
     log = cache.cache_put(entries((odd, odd, None, EARLY, 0), (large, large, None, EARLY, 0)))
     assert {p: r for p, (r, _, _) in decoded(log).items()} == {odd: odd, large: large}
 

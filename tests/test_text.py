@@ -1,8 +1,9 @@
-"""Text functions against plain Python twins."""
+"""Text functions: results worked by hand, and what holds for every result."""
 
 import base64
 import hashlib
 import random
+import re
 
 import pytest
 from pyspark.sql import functions as F
@@ -11,70 +12,77 @@ from sourcequarry.functions import text
 from sourcequarry.operators import excerpt
 
 
-def middle_twin(s, limit, reference):
-    n = len(s)
-    if n <= limit:
-        return s
-    extra = n - limit
-    start = limit // 2 - extra // 2
-    end = start + extra
-    if not reference and start < 0:
-        start, end = 0, extra
-    note = f" ... TRUNCATED {s[start:end].count(chr(10))} LINES AND {extra} CHARACTERS ... "
-    return s[:start] + note + s[end:]
-
-
-def around_twin(s, at, length, limit, clean=True):
-    n = len(s)
-    if n <= limit:
-        return s
-    remove = n - limit
-    before = round(at / n * remove)
-    behind = remove - before
-    end = at + length
-    after = n - end
-    a = max(0, at // 2 - before // 2) if at else 0
-    b = min(at, at // 2 + before // 2) if at else 0
-    c = max(end, end + after // 2 - behind // 2) if after > 0 else n
-    d = min(n, end + after // 2 + behind // 2) if after > 0 else n
-    head, mid, tail = s[:a], s[b:c], s[d:]
-    if clean:
-        head = head[:head.rfind("\n") + 1]
-        if "\n" in mid:
-            mid = mid[mid.find("\n"):mid.rfind("\n") + 1]
-        tail = tail[tail.find("\n"):] if "\n" in tail else ""
-    mark = "... TRUNCATED ..."
-    return (head + (mark if head else "") + mid + (mark if tail else "") + tail).strip()
-
-
 def random_texts(count, seed):
     rng = random.Random(seed)
     return ["".join(rng.choices("abé \n", weights=[5, 5, 1, 1, rng.choice([0.1, 1, 4])], k=rng.randrange(0, 400)))
             for _ in range(count)]
 
 
-@pytest.mark.parametrize("mode", ["intended", "reference"])
+def middle(spark, value, limit, mode):
+    return spark.createDataFrame([(value,)], "t string").select(text.truncate_middle("t", limit, mode)).first()[0]
+
+
+def test_truncate_middle_worked_by_hand(spark):
+    value = "abcdef\nghi\njklmnop"
+    for mode in ("intended", "reference"):
+        assert middle(spark, value, 18, mode) == value
+        assert middle(spark, value, 12, mode) == "abc ... TRUNCATED 1 LINES AND 6 CHARACTERS ... i\njklmnop"
+    letters = "0123456789" * 3  # more goes than stays: only the end remains, where the original repeats text
+    assert middle(spark, letters, 10, "intended") == " ... TRUNCATED 0 LINES AND 20 CHARACTERS ... " + letters[20:]
+    assert middle(spark, letters, 10, "reference") == letters[:25] + " ... TRUNCATED 0 LINES AND 20 CHARACTERS ... " + letters[15:]
+
+
 @pytest.mark.parametrize("limit", [100, 37])
-def test_truncate_middle(spark, mode, limit):
+def test_truncate_middle_keeps_two_ends(spark, limit):
     texts = random_texts(400, 1)
-    rows = spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "i int, t string")
-    got = rows.select("i", text.truncate_middle("t", limit, mode).alias("out")).collect()
-    assert {r.i: r.out for r in got} == {i: middle_twin(t, limit, mode == "reference") for i, t in enumerate(texts)}
+    rows = spark.createDataFrame([(t,) for t in texts], "t string")
+    for value, out in rows.select("t", text.truncate_middle("t", limit, "intended")).collect():
+        if len(value) <= limit:
+            assert out == value
+            continue
+        head, lines, characters, tail = re.fullmatch(
+            r"(.*) \.\.\. TRUNCATED (\d+) LINES AND (\d+) CHARACTERS \.\.\. (.*)", out, re.DOTALL).groups()
+        assert len(head) + len(tail) == limit and int(characters) == len(value) - limit
+        assert value.startswith(head) and value.endswith(tail)
+        assert int(lines) == value.count("\n") - head.count("\n") - tail.count("\n")
+
+
+def around(spark, value, target, limit, clean):
+    rows = spark.createDataFrame([(value, target)], "t string, target string")
+    return excerpt.truncate_around(rows, "out", "t", "target", limit, clean).first().out
+
+
+def test_truncate_around_worked_by_hand(spark):
+    value = "abcdefghijklmnopqrstuvwxyz"
+    assert around(spark, value, "m", 16, False) == "abcd... TRUNCATED ...ijklmnopq... TRUNCATED ...vwxyz"
+    assert around(spark, value, "a", 16, False) == "abcdefgh... TRUNCATED ...stuvwxyz"
+    assert around(spark, value, "m", 16, True) == "ijklmnopq"  # the outer pieces hold no whole line
+    assert around(spark, value, "m", 26, True) == value
 
 
 @pytest.mark.parametrize("clean", [True, False])
-def test_truncate_around(spark, clean):
+def test_truncate_around_keeps_the_target_and_pieces_in_order(spark, clean):
     rng = random.Random(2)
     cases = []
-    for i, t in enumerate(random_texts(600, 3)):
-        start = rng.randrange(0, len(t) + 1)
-        target = t[start:start + rng.randrange(1, 12)]
-        if target:
-            cases.append((i, t, target))
+    for i, value in enumerate(random_texts(600, 3)):
+        start = rng.randrange(0, len(value) + 1)
+        target = value[start:start + rng.randrange(1, 12)]
+        if target.strip():
+            cases.append((i, value, target))
     rows = spark.createDataFrame(cases, "i int, t string, target string")
-    got = excerpt.truncate_around(rows, "out", "t", "target", 90, clean).collect()
-    want = {i: around_twin(t, t.find(g), len(g), 90, clean) for i, t, g in cases}
-    assert {r.i: r.out for r in got} == want
+    for row in excerpt.truncate_around(rows, "out", "t", "target", 90, clean).collect():
+        if len(row.t) <= 90:
+            assert row.out == row.t
+            continue
+        pieces = row.out.split("... TRUNCATED ...")
+        assert len(pieces) <= 3 and sum(map(len, pieces)) <= 90 + len(row.target) + 4
+        if not clean:
+            assert row.target.strip() in row.out
+        at = 0
+        for piece in pieces:
+            at = row.t.find(piece.strip("\n"), at)
+            assert at >= 0
+            at += len(piece.strip("\n"))
 
 
 def test_truncate_around_needs_its_target_in_long_texts_only(spark):
@@ -86,7 +94,7 @@ def test_truncate_around_needs_its_target_in_long_texts_only(spark):
 
 
 def test_hashes_and_base64(spark):
-    values = ["", "a", "test\n\t\r\0prompt🔥", "x" * 1_000_000]
+    values = ["", "a", "tab\t, nul\0, line\r\n and 🧭", "x" * 1_000_000]
     rows = spark.createDataFrame([(v,) for v in values], "v string")
     for row in rows.select("v", text.query_hash("v").alias("h"), text.short_hash("v").alias("s"),
                            text.encode_base64("v").alias("b"),

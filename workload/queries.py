@@ -278,13 +278,13 @@ def tree_excerpts_first_match(spark, sf_dir):
 
 @query
 def render_prompts(spark, sf_dir):
-    return prompts.render_prompts(_context(spark, sf_dir)).select(*prompts.PROMPT_KEY, "prompt_hash")
+    return prompts.render_prompts(_context(spark, sf_dir)).select(*prompts.PROMPT_KEY, "prompt_hash").drop("owner_qualname")
 
 
 @query
 def render_prompts_reference(spark, sf_dir):
     rows = prompts.render_prompts(_context(spark, sf_dir, mode="reference"), mode="reference")
-    return rows.select(*prompts.PROMPT_KEY, "prompt_hash")
+    return rows.select(*prompts.PROMPT_KEY, "prompt_hash").drop("owner_qualname")
 
 
 @query
@@ -447,18 +447,18 @@ def _analysis(spark, sf_dir) -> corpus.CorpusAnalysis:
 
 @query
 def analyze_corpus(spark, sf_dir):
-    return _analysis(spark, sf_dir).analyses
+    return _analysis(spark, sf_dir).analyses.drop("owner_qualname")
 
 
 @query
 def attach_analyses(spark, sf_dir):
     """Every entity and its stub answer; answers exist for the functions only."""
-    rows = views.entities(_facts(spark, sf_dir, "entities")).select(*FILE, "entity_type", "owner_class", "name")
+    rows = views.entities(_facts(spark, sf_dir, "entities")).select(*FILE, "entity_type", "owner_class", "owner_qualname", "name")
     stored = materialize(rows, "entities")
     answer = text.short_hash(F.concat_ws("/", *FILE, "name"))
     answers = stored.where(F.col("entity_type") == "function").select(
         *stored.columns, answer.alias("initial_analysis"), F.lit("short").alias("summary"))
-    return inference.attach_analyses(stored, answers)
+    return inference.attach_analyses(stored, answers).drop("owner_qualname")
 
 
 # --- reports --------------------------------------------------------------------------
