@@ -24,7 +24,7 @@ def cache_rejects(entries: DataFrame) -> DataFrame:
 
 def cache_put(entries: DataFrame, on_invalid: str = "fail") -> DataFrame:
     """Log rows that store ``prompt, response`` and, where given, ``metadata`` (JSON text),
-    ``ts`` and ``seq``. An empty response is fine; an empty prompt or a missing response
+    ``ts`` and ``seq`` (the rows' own order where it is not). An empty response is fine; an empty prompt or a missing response
     ends the job or, with ``on_invalid="skip"``, is left out (see ``cache_rejects``)."""
     if on_invalid == "skip":
         entries = entries.where(_valid())
@@ -39,7 +39,7 @@ def cache_put(entries: DataFrame, on_invalid: str = "fail") -> DataFrame:
     key = text.query_hash("prompt")
     ts = F.col("ts") if "ts" in given else F.localtimestamp()
     metadata = F.col("metadata") if "metadata" in given else F.lit(None).cast("string")
-    seq = F.col("seq") if "seq" in given else F.lit(0)
+    seq = F.col("seq") if "seq" in given else F.monotonically_increasing_id()
     return entries.select(
         key.alias("query_hash"),
         text.encode_base64("prompt").alias("prompt_b64"),
@@ -53,9 +53,11 @@ def cache_put(entries: DataFrame, on_invalid: str = "fail") -> DataFrame:
 
 
 def cache_current(log: DataFrame) -> DataFrame:
-    """The valid entry per hash: the last write wins. Writes of one hash are reduced per
-    task before the shuffle; columns nobody asks for are not carried along."""
-    order = F.struct("ts", "seq", "op")
+    """The valid entry per hash: the last write wins, and of writes at one time and place in
+    order the one whose response hashes highest, so the answer never depends on the run.
+    Writes of one hash are reduced per task before the shuffle; columns nobody asks for are
+    not carried along."""
+    order = F.struct("ts", "seq", "op", F.xxhash64("response_b64"))
     columns = ("prompt_b64", "response_b64", "ts", "metadata", "seq")
     rows = log.groupBy("query_hash").agg(*[F.max_by(c, order).alias(c) for c in (*columns, "op")])
     return rows.where(F.col("op") == "put").select(

@@ -23,6 +23,7 @@ MODES = ("intended", "reference")
 ON_ERROR = ("row", "fail", "sanitize")
 FILES_AT_A_TIME = 256
 RECORDS = ("docstring", "entities", "scopes", "imports", "node_map")
+LIGHT_RECORDS = ("counts",)         # only where asked for by name
 
 
 def extract_facts(
@@ -41,18 +42,18 @@ def extract_facts(
     values, relationship lookup by bare name). A file that does not parse gives a row with
     ``error`` and empty records (``on_error="row"``), ends the job (``"fail"``), or also
     gets a node map from its readable lines (``"sanitize"``). Columns named in ``carry``
-    pass through unread.
+    pass through unread. The record ``counts`` is all that statistics need.
     """
     if mode not in MODES or on_error not in ON_ERROR:
         raise ValueError(f"mode must be one of {MODES} and on_error one of {ON_ERROR}")
-    unknown = set(records) - set(RECORDS)
+    unknown = set(records) - {*RECORDS, *LIGHT_RECORDS}
     if unknown:
         raise ValueError(f"unknown records: {sorted(unknown)}")
 
-    wanted = ["error", "n_lines_removed", *(r for r in RECORDS if r in records)]
+    wanted = ["error", "n_lines_removed", *(r for r in (*RECORDS, *LIGHT_RECORDS) if r in records)]
     keys = ["repo_id", "rel_path", *carry, *(["raw_code"] if with_source else [])]
     files = source_files.select("repo_id", "rel_path", *carry, F.col("content").alias("raw_code"))
-    fields = {f.name: f for f in [*files.schema.fields, *schema.MODULE_FACTS.fields]}
+    fields = {f.name: f for f in [*files.schema.fields, *schema.MODULE_FACTS.fields, T.StructField("counts", schema.COUNTS)]}
     out_schema = T.StructType([fields[name] for name in keys + wanted])
     arrow_types = {name: to_arrow_type(fields[name].dataType) for name in wanted}
     options = dict(records=set(records), mode=mode, on_error=on_error, include_async=include_async)

@@ -54,6 +54,7 @@ class ModuleReading:
     scopes: list = field(default_factory=list)
     imports: list = field(default_factory=list)
     node_map: list = field(default_factory=list)
+    counts: tuple | None = None
 
 
 def read_module(source: str | None, *, records: set, mode: str, on_error: str, include_async: bool) -> ModuleReading:
@@ -280,6 +281,9 @@ def _collect(tree, reading, records, mode, include_async):
     position = {name: at for at, name in enumerate(scopes)}
     if with_scopes:
         reading.scopes = [s.row() for s in scopes.values()]
+    if "counts" in records:
+        kinds = [d.entity_type for d in filter(_counts(definitions), definitions)]
+        reading.counts = tuple(kinds.count(kind) for kind in ("class", "function", "method"))
     if "entities" in records:
         reading.entities = _entity_rows(definitions, position, mode)
     # `found` is in depth-first order; a stable sort by depth makes it breadth-first.
@@ -314,8 +318,8 @@ def _parameters(node, mode):
     return [(a.arg, source_text(a.annotation), source_text(v)) for a, v in zip(plain, values)]
 
 
-def _entity_rows(definitions, position, mode):
-    """The last definition of a name within the same owner counts, if its owner does."""
+def _counts(definitions):
+    """Whether a definition counts: the last of a name within the same owner does, if its owner does."""
     last = {(d.entity_type == "class", d.owner, d.node.name): d for d in definitions}
 
     def counts(d):
@@ -325,6 +329,11 @@ def _entity_rows(definitions, position, mode):
             d = d.owner
         return True
 
+    return counts
+
+
+def _entity_rows(definitions, position, mode):
+    counts = _counts(definitions)
     rows = []
     for d in definitions:
         node, is_class = d.node, d.entity_type == "class"

@@ -22,18 +22,21 @@ PROMPT_KEY = [*FILE, "entity_type", "owner_class", "owner_qualname", "name"]
 
 
 def with_tree_excerpts(
-    files: DataFrame, max_chars: int = OVERVIEW_CHARS, mode: str = "intended", partitions: int | None = None
+    files: DataFrame, max_chars: int = OVERVIEW_CHARS, mode: str = "intended", partitions: int | None = None,
+    targets: DataFrame | None = None,
 ) -> DataFrame:
     """Source files with the excerpt of their repository's tree, in ``partitions`` tasks
     where given (the join's own shuffle makes them; reading is heavy per byte, so more
-    tasks than sizes alone suggest can pay).
+    tasks than sizes alone suggest can pay). ``targets`` are the files that are wanted,
+    with their texts (all by default); trees list the other files of their repositories too.
 
     Keys are unique on both sides, so a shuffle by file is even. Where ``files`` is a table
     bucketed by file, only the excerpts move.
     """
     anchor = "first_match" if mode == "reference" else "own_line"
-    excerpts = tree.tree_excerpts(files, max_chars=max_chars, anchor=anchor)
-    placed = files.repartition(partitions, *FILE) if partitions else files
+    excerpts = tree.tree_excerpts(files, targets, max_chars=max_chars, anchor=anchor)
+    wanted = files if targets is None else targets
+    placed = wanted.repartition(partitions, *FILE) if partitions else wanted
     return placed.join(excerpts, FILE)
 
 

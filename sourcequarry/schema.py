@@ -44,6 +44,9 @@ SCOPE = _struct(
 
 IMPORT = _struct(import_type=_S, target=_S, ordinal=T.IntegerType())
 
+# Definitions that count, for statistics.
+COUNTS = _struct(n_classes=T.IntegerType(), n_functions=T.IntegerType(), n_methods=T.IntegerType())
+
 NODE = _struct(node_type=_S, node_ordinal=T.IntegerType(), name=_S)
 
 # One row per source file. Everything about a file is together in its row, so

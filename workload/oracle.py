@@ -394,7 +394,7 @@ def _cache_statements() -> dict[str, str]:
     return {
         "cache_scan": with_ctes(LOG) + "SELECT query_hash, prompt, response, ts, metadata FROM lg",
         "cache_decode": with_ctes(LOG) + "SELECT query_hash, prompt, response, metadata->>'$.k' AS k FROM lg",
-        "cache_metadata": """SELECT event_id, '{"k":"' || (props->>'$.k') || '"}' AS stored, CAST(NULL AS VARCHAR) AS emptied,
+        "cache_metadata": """SELECT event_id, '{"k":' || (props->'$.k') || '}' AS stored, CAST(NULL AS VARCHAR) AS emptied,
   props->>'$.k' AS k FROM events""",
         "cache_put": with_ctes(LOG) + f"SELECT {stored}, 'put' AS op FROM lg",
         "cache_current": with_ctes(LOG, CURRENT) + f"SELECT {stored} FROM cur",

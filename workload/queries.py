@@ -28,6 +28,21 @@ def _facts(spark, sf_dir, *records, with_source=False, broken=False, **options)
         inputs.source_files(spark, sf_dir, broken), records=records, with_source=with_source, **options)
 
 
+def _counted(spark, sf_dir) -> DataFrame:
+    """Light facts for statistics: lines are counted before the texts are read, and no text
+    comes back."""
+    files = inputs.source_files(spark, sf_dir)
+    return extract.extract_facts(files.withColumn("n_lines", text.line_count("content")), records=["counts"],
+                                 with_source=False, carry=["n_lines"])
+
+
+def _stored_files(spark, sf_dir) -> DataFrame:
+    """The source files as the loader reads them from a table."""
+    path = new_table_path(spark, "source-files")
+    inputs.source_files(spark, sf_dir).write.parquet(path)
+    return file_source.read_source_table(spark, path)
+
+
 def _joined(name: str, separator: str = "|") -> Column:
     return F.array_join(name, separator).alias(name)
 
@@ -36,13 +51,13 @@ def _joined(name: str, separator: str = "|") -> Column:
 
 @query
 def scan_source_files(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return inputs.source_files(spark, sf_dir).select(
+    return _stored_files(spark, sf_dir).select(
         *FILE, F.md5("content").alias("content_md5"), F.length("content").cast("long").alias("n_chars"))
 
 
 @query
 def list_files(spark, sf_dir):
-    return inputs.source_files(spark, sf_dir).select(*FILE)
+    return _stored_files(spark, sf_dir).select(*FILE)
 
 
 @query
@@ -234,12 +249,12 @@ def dependency_sets(spark, sf_dir):
 
 @query
 def module_statistics(spark, sf_dir):
-    return rollups.module_statistics(_facts(spark, sf_dir, "entities", with_source=True))
+    return rollups.module_statistics(_counted(spark, sf_dir))
 
 
 @query
 def run_summary(spark, sf_dir):
-    return rollups.run_summary(_facts(spark, sf_dir, "entities", with_source=True))
+    return rollups.run_summary(_counted(spark, sf_dir))
 
 
 @query
@@ -335,10 +350,12 @@ def cache_decode(spark, sf_dir):
 @query
 def cache_metadata(spark, sf_dir):
     """Metadata to a map, to text and back."""
-    rows = inputs.table(spark, sf_dir, "events").select("event_id", cache_table.metadata_map("props").alias("m"))
+    rows = inputs.table(spark, sf_dir, "events").select("event_id", cache_table.metadata_value("props").alias("m"))
+    texts = cache_table.metadata_map(F.to_json("m"))
     stored = rows.select("event_id", cache_table.metadata_json("m").alias("stored"),
-                         cache_table.metadata_json(F.map_filter("m", lambda k, v: F.lit(False))).alias("emptied"))
-    return stored.select("event_id", "stored", "emptied", cache_table.metadata_map("stored")["k"].alias("k"))
+                         cache_table.metadata_json(F.map_filter(texts, lambda k, v: F.lit(False))).alias("emptied"))
+    return stored.select("event_id", "stored", "emptied",
+                         F.variant_get(cache_table.metadata_value("stored"), "$.k", "string").alias("k"))
 
 
 @query
