@@ -162,3 +162,31 @@ def test_node_map_limit(spark, files_of):
     assert shown.n1 == "{'Import': ['a']}"
     assert shown.n3 == "{'Import': ['a', 'b'], 'ImportFrom': ['d'], 'FunctionDef': ['f']}"
     assert shown.n9.endswith("'ClassDef': ['C']}")
+
+
+class Session:
+    """As much of a session on a cluster as choosing a folder asks for."""
+
+    def __init__(self, master, **conf):
+        self.conf = self
+        self.values, self.master, self.sparkContext = conf, master, self
+
+    def getConf(self):
+        return self
+
+    def get(self, name, default=None):
+        return self.values.get(name.replace(".", "_"), default)
+
+    def getCheckpointDir(self):
+        return None
+
+    def setCheckpointDir(self, folder):
+        self.folder = folder
+
+
+def test_a_cluster_needs_a_shared_folder():
+    with pytest.raises(ValueError, match="spark.checkpoint.dir"):
+        work_dir(Session("spark://host:7077", spark_sql_warehouse_dir="file:/home/me/spark-warehouse"))
+    assert work_dir(Session("yarn", spark_sql_warehouse_dir="hdfs://n/w")) == "hdfs://n/w/_work"
+    assert work_dir(Session("yarn", spark_checkpoint_dir="s3a://b/c", spark_sql_warehouse_dir="file:/w")) == "s3a://b/c"
+    assert work_dir(Session("local[4]", spark_sql_warehouse_dir="file:/w")) == "file:/w/_work"
