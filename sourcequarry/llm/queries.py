@@ -67,7 +67,7 @@ def op3_top_k(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op4_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Fingerprints of three-word shingles, linked at two bits or fewer."""
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
-    return simhash.near_duplicates(docs, n_words=3, bits=64, radius=2).select(
+    return simhash.near_duplicates(docs, n_words=3, bits=64, radius=2, repeats=True).select(
         "doc_id", F.lower(F.hex("fingerprint")).alias("fingerprint"), "component_id")
 
 

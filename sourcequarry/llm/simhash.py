@@ -71,8 +71,11 @@ def fingerprint(hashes: np.ndarray, bits: int = 64) -> bytes:
 _BITS = np.unpackbits(np.arange(256, dtype=np.uint8)[:, None], axis=1).astype(np.int64)
 
 
-def fingerprints(docs: DataFrame, n_words: int, bits: int = 64, text: str = "text", out: str = "fingerprint") -> DataFrame:
-    """``docs`` without their text, with the fingerprint and the bit counts of its halves."""
+def fingerprints(
+    docs: DataFrame, n_words: int, bits: int = 64, text: str = "text", out: str = "fingerprint", repeats: bool = True,
+) -> DataFrame:
+    """``docs`` without their text, with the fingerprint and the bit counts of its halves.
+    Without ``repeats`` each different shingle counts once."""
     high, low = f"{out}_high", f"{out}_low"
     kept = [c for c in docs.columns if c.lower() not in (text.lower(), out, high, low)]
     rows = docs.select(*kept, text)
@@ -81,7 +84,8 @@ def fingerprints(docs: DataFrame, n_words: int, bits: int = 64, text: str = "tex
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            prints = [fingerprint(shingle_hashes(t.as_py(), n_words), bits) for t in batch.column(len(kept))]
+            hashes = (shingle_hashes(t.as_py(), n_words) for t in batch.column(len(kept)))
+            prints = [fingerprint(h if repeats else np.unique(h), bits) for h in hashes]
             half = np.bitwise_count(np.frombuffer(b"".join(prints), np.uint8)).reshape(-1, 2, bits // 16).sum(2, dtype=np.int32)
             yield pa.record_batch(
                 [*batch.columns[:len(kept)], pa.array(prints, pa.binary()), pa.array(half[:, 0]), pa.array(half[:, 1])],
@@ -106,12 +110,14 @@ def components(prints: DataFrame, radius: int, bits: int = 64, id: str = "doc_id
 
 def near_duplicates(
     docs: DataFrame, n_words: int = 5, bits: int = 256, radius: int = 52, id: str = "doc_id", text: str = "text",  # noqa: A002
+    repeats: bool = False,
 ) -> DataFrame:
     """``docs`` without their text, with ``fingerprint`` and ``component_id``.
 
     As defaults five-word shingles and fingerprints that agree in at least four fifths of 256
-    bits, which is a cosine similarity of 0.8 as SimHash estimates it."""
-    prints = materialize(fingerprints(docs, n_words, bits, text), "prints")
+    bits, which is a cosine similarity of 0.8 as SimHash estimates it. A shingle counts once
+    however often it is repeated, else a line that two texts repeat would outweigh the rest."""
+    prints = materialize(fingerprints(docs, n_words, bits, text, repeats=repeats), "prints")
     found = components(prints, radius, bits, id).select("fingerprint", "component_id")
     kept = [c for c in prints.columns if c not in ("fingerprint_high", "fingerprint_low", "component_id")]
     return prints.select(*kept).join(found, "fingerprint", "left").select(*kept, "component_id")
@@ -119,13 +125,14 @@ def near_duplicates(
 
 def keep_one_of_each(
     docs: DataFrame, n_words: int = 5, bits: int = 256, radius: int = 52, id: str = "doc_id", text: str = "text",  # noqa: A002
+    repeats: bool = False,
 ) -> DataFrame:
     """One row of each component stays, that with the smallest id, with all its columns.
 
     Only ids and hashes take part in the choice; texts move once, to the survivors."""
     hashed, = fresh(docs, "text_hash")
     docs = docs.withColumn(hashed, F.xxhash64(F.coalesce(F.col(text), F.lit(""))))
-    prints = materialize(fingerprints(docs.select(id, hashed, text), n_words, bits, text), "prints")
+    prints = materialize(fingerprints(docs.select(id, hashed, text), n_words, bits, text, repeats=repeats), "prints")
     found = components(prints, radius, bits, id).select("fingerprint", "root")
     best = F.min(F.struct(F.col(id).isNull(), F.col(id).alias("id"), F.col(hashed).alias("hash")))
     chosen = prints.join(found, "fingerprint").groupBy("root").agg(best.alias("best")).select("best.id", "best.hash")
