@@ -7,7 +7,8 @@ with a smaller id, or earlier in its own. Nothing is decided by a sample:
    strings share that gram at the same place. These anchors, about 3 in 100 bytes, stand for all
    suffixes. An anchor's context is all a string around it can hold.
 2. Anchors are sorted by gram and context. Of equal contexts the first leads; the others are
-   repeats as a whole. A gram with one context is done.
+   repeats as a whole. A gram with one context is done. Each task decides this for what it
+   reads itself before anything is dealt, so a passage that every text shares stays no heavy key.
 3. Leaders of grams with several contexts meet as text. What follows the gram and, read backwards,
    what precedes it is put in suffix order: multikey quicksort on eight-byte words down to a
    shallow depth, then a blind trie for each group that is still equal there. Adjacent common
@@ -29,6 +30,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, functions as F, types as T
 
 from sourcequarry.llm.common import fresh, slices
@@ -41,7 +43,7 @@ SHALLOW_WORDS = 2
 BLOCK, GROUP_LIMIT, HOT_COPIES = 50_000, 100_000, 100
 
 _LAST = (1 << 63) - 1
-_ANCHORS = "gram bigint, context bigint, doc bigint, hash int, pos int, before int, after int"
+_ANCHORS = "gram bigint, context bigint, doc bigint, hash int, pos int, before int, after int, repeat boolean"
 _FOUND = "gram bigint, doc bigint, hash int, start int, end int"
 _CONTEXTS = "gram bigint, doc bigint, hash int, pos int, before binary, after binary"
 _INTERVALS = "doc bigint, hash int, start int, end int"
@@ -72,7 +74,9 @@ def remove_repeats(
     anchors = marked.where(~F.col(whole)).select(F.col(doc).alias("doc"), F.col(hashed).alias("hash"), F.col(text).alias("text")).mapInArrow(
         _anchors_of(length), _ANCHORS)
     order = ["gram", "context", "doc", "hash", "pos"]
-    found = materialize(anchors.repartition("gram").sortWithinPartitions(*order).mapInArrow(_repeated, _FOUND), "anchors")
+    deal = F.when(F.col("repeat"), F.xxhash64("doc", "pos")).otherwise(F.col("gram"))
+    found = materialize(
+        anchors.withColumn("deal", deal).repartition("deal").sortWithinPartitions("repeat", *order).mapInArrow(_repeated, _FOUND), "anchors")
     at_home = marked.repartition(doc, hashed)
     contexts = _contexts(at_home, found.where("gram is not null"), doc, hashed, text, length)
     contexts = materialize(contexts, "contexts")
@@ -137,14 +141,27 @@ def _anchors_of(length: int):
                 texts = [(t or "").encode() for t in part.column("text").to_pylist()]
                 number, place, gram, context, before, after = anchors_of(texts, length)
                 doc, hashed = (part.column(c).to_numpy()[number] for c in ("doc", "hash"))
+                repeat = _repeats_here(gram, context, doc, hashed, place)
                 yield pa.record_batch(
                     [pa.array(gram, pa.int64()), pa.array(context, pa.int64()), pa.array(doc, pa.int64()), pa.array(hashed, pa.int32()),
-                     *[pa.array(x.astype(np.int32)) for x in (place, before, after)]],
-                    names=["gram", "context", "doc", "hash", "pos", "before", "after"])
+                     *[pa.array(x.astype(np.int32)) for x in (place, before, after)], pa.array(repeat)],
+                    names=["gram", "context", "doc", "hash", "pos", "before", "after", "repeat"])
 
     return run
 
 
+def _repeats_here(gram, context, doc, hashed, pos) -> np.ndarray:
+    """Whether an anchor has the gram and the context of an earlier one among these."""
+    order = np.lexsort((pos, hashed, doc, context, gram))
+    g, c, d, h, p = (x[order] for x in (gram, context, doc, hashed, pos))
+    begins = np.ones(len(g), bool)
+    begins[1:] = (g[1:] != g[:-1]) | (c[1:] != c[:-1])
+    first = np.maximum.accumulate(np.where(begins, np.arange(len(g)), 0))
+    out = np.zeros(len(g), bool)
+    out[order] = (d != d[first]) | (h != h[first]) | (p != p[first])  # else the same row once more
+    return out
+
+
 def _repeated(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """From anchors in order of gram, context and place: intervals of contexts that repeat whole
     (no gram), and leaders of grams with several contexts (start and end are the gram's place).
@@ -152,6 +169,11 @@ def _repeated(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     Only the last row and a leader that waits for a second context are kept between batches."""
     last, waiting = None, None
     for batch in batches:
+        known = batch.filter(batch.column("repeat"))
+        doc, hashed, pos, before, after = (known.column(i).to_numpy() for i in range(2, 7))
+        if len(doc):
+            yield _intervals(None, doc, hashed, pos - before, pos + GRAM + after)
+        batch = batch.filter(pc.invert(batch.column("repeat")))
         gram, context, doc, hashed, pos, before, after = (batch.column(i).to_numpy() for i in range(7))
         n = len(gram)
         if not n:
@@ -177,11 +199,14 @@ def _repeated(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             at = int(np.flatnonzero(new_gram)[-1])
             waiting = None if lead[at] else (gram[at], doc[at], hashed[at], pos[at])
         last = gram[-1], context[-1], doc[-1], hashed[-1], pos[-1]
-        for grams, *others in rows:
-            nulls = pa.nulls(len(others[0]), pa.int64()) if grams is None else pa.array(grams, pa.int64())
-            yield pa.record_batch(
-                [nulls, pa.array(others[0], pa.int64()), *[pa.array(x.astype(np.int32), pa.int32()) for x in others[1:]]],
-                names=["gram", "doc", "hash", "start", "end"])
+        for row in rows:
+            yield _intervals(*row)
+
+
+def _intervals(gram: np.ndarray | None, doc: np.ndarray, *others: np.ndarray) -> pa.RecordBatch:
+    grams = pa.nulls(len(doc), pa.int64()) if gram is None else pa.array(gram, pa.int64())
+    return pa.record_batch([grams, pa.array(doc, pa.int64()), *[pa.array(x.astype(np.int32), pa.int32()) for x in others]],
+                           names=["gram", "doc", "hash", "start", "end"])
 
 
 # --- contexts --------------------------------------------------------------------------------
