@@ -151,13 +151,14 @@ def links(different: DataFrame, radius: int, bits: int) -> DataFrame:
         "x", "y", F.pmod(F.xxhash64("print"), F.ceil(F.col("n") / TILE)).cast("int").alias("part"), "print")
     tiles = materialize(
         dealt.repartition("x", "y", "part").sortWithinPartitions("x", "y", "part").mapInArrow(_pack, _TILES), "tiles")
-    salts = max(1, math.isqrt(tiles.count()) // 2)
+    salts = max(1, math.isqrt(tiles.count()))
     steps = [(0, 0), (0, 1), (1, -1), (1, 0), (1, 1)]  # half of the neighbours: each pair of tiles once
     near = F.explode(F.array(*[F.struct(F.lit(a).alias("a"), F.lit(b).alias("b")) for a, b in steps]))
     left = (
         tiles.select("x", "y", F.col("tile").alias("tile_a"), F.col("prints").alias("prints_a"), near.alias("step"))
         .select((F.col("x") + F.col("step.a")).alias("x"), (F.col("y") + F.col("step.b")).alias("y"), "tile_a", "prints_a",
                 ((F.col("step.a") == 0) & (F.col("step.b") == 0)).alias("own"))
+        .join(sizes.select("x", "y"), ["x", "y"], "left_semi")  # neighbours that hold anything
         .withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(salts - 1)))))
     right = tiles.select("x", "y", F.col("tile").alias("tile_b"), F.col("prints").alias("prints_b"),
                          F.pmod(F.xxhash64("tile"), F.lit(salts)).cast("int").alias("salt"))
