@@ -120,6 +120,7 @@ def identify(
     """``docs`` with ``language``, its ``posterior``, ``text_language`` (by the text alone) and
     ``rejected``. ``declared`` and ``host`` are expressions over ``docs``."""
     said, at, scores, domain, suffix = fresh(docs, "said", "at", "scores", "domain", "suffix")
+    prior, suffix_evidence, declared_evidence, fused = fresh(docs, "prior", "suffix_evidence", "declared_evidence", "fused")
     kept = [c for c in docs.columns if c.lower() not in RESULT and not (drop_text and c == text)]
     names = model.languages
     no_value = F.lit(None).cast("string")
@@ -153,22 +154,22 @@ def identify(
     levels = F.array(*[F.lit(p) for p in whole])
     for level in ("n_suffix", "n_domain", "n"):
         levels = F.coalesce(_smoothed(F.col(level), levels), levels)
-    host_prior = hosts.select(at, F.transform(levels, F.ln).alias("prior"), _likelihood(F.col("n_suffix"), totals).alias("suffix_evidence"))
-    by_said = counts_by(said).where(F.col(said).isNotNull()).select(said, _likelihood(F.col("n"), totals).alias("declared_evidence"))
+    host_prior = hosts.select(at, F.transform(levels, F.ln).alias(prior), _likelihood(F.col("n_suffix"), totals).alias(suffix_evidence))
+    by_said = counts_by(said).where(F.col(said).isNotNull()).select(said, _likelihood(F.col("n"), totals).alias(declared_evidence))
 
     joined = scored.join(host_prior, at, "left").join(by_said, said, "left")
     flat, no_evidence = F.array(*[F.lit(float(np.log(p))) for p in whole]), F.array(*[F.lit(0.0)] * len(names))
-    sums = F.coalesce("prior", flat)
-    for evidence in (F.col("suffix_evidence"), F.col("declared_evidence"), F.col(scores)):
+    sums = F.coalesce(prior, flat)
+    for evidence in (F.col(suffix_evidence), F.col(declared_evidence), F.col(scores)):
         sums = F.zip_with(sums, F.coalesce(evidence, no_evidence), lambda a, b: a + b)
-    joined = joined.withColumn("fused", sums)
-    top = F.array_max("fused")
+    joined = joined.withColumn(fused, sums)
+    top = F.array_max(fused)
     other = F.exp(F.lit(float(np.log(UNDETERMINED_PRIOR))) - top)
-    posterior = 1.0 / (F.aggregate("fused", F.lit(0.0), lambda t, x: t + F.exp(x - top)) + other)
+    posterior = 1.0 / (F.aggregate(fused, F.lit(0.0), lambda t, x: t + F.exp(x - top)) + other)
     named = F.array(*[F.lit(name) for name in names])
     text_language = F.when(F.array_max(scores) > 0, F.get(named, (F.array_position(F.col(scores), F.array_max(scores)) - 1).cast("int")))
     rejected = (posterior < min_posterior) | F.col(scores).isNull()
-    language = F.when(rejected, F.lit(UNDETERMINED)).otherwise(F.get(named, (F.array_position(F.col("fused"), top) - 1).cast("int")))
+    language = F.when(rejected, F.lit(UNDETERMINED)).otherwise(F.get(named, (F.array_position(F.col(fused), top) - 1).cast("int")))
     return joined.select(*kept, language.alias("language"), posterior.alias("posterior"), text_language.alias("text_language"), rejected.alias("rejected"))
 
 

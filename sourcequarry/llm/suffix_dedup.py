@@ -82,7 +82,7 @@ def remove_repeats(
     contexts = materialize(contexts, "contexts")
     intervals = found.where("gram is null").drop("gram").unionByName(_compare(contexts, length, group_limit))
     per_text = intervals.groupBy(F.col("doc").alias(doc), F.col("hash").alias(hashed)).agg(
-        F.array_sort(F.collect_list(F.struct("start", "end"))).alias("intervals"))
+        F.array_sort(F.collect_list(F.struct("start", "end"))).alias(fresh(at_home, "intervals")[0]))
     return _cut(at_home, per_text, docs, doc, hashed, whole, text, whole_characters)
 
 
@@ -213,15 +213,16 @@ def _intervals(gram: np.ndarray | None, doc: np.ndarray, *others: np.ndarray) ->
 
 def _contexts(at_home: DataFrame, leaders: DataFrame, doc: str, hashed: str, text: str, length: int) -> DataFrame:
     """Leaders with what stands before the gram, backwards, and after it."""
+    held, = fresh(at_home, "leaders")
     wanted = leaders.groupBy(F.col("doc").alias(doc), F.col("hash").alias(hashed)).agg(
-        F.collect_list(F.struct("gram", F.col("start").alias("pos"))).alias("leaders"))
+        F.collect_list(F.struct("gram", F.col("start").alias("pos"))).alias(held))
     reach = length - GRAM
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for part in slices(batch):
                 rows = []
-                columns = (part.column(c).to_pylist() for c in (doc, hashed, text, "leaders"))
+                columns = (part.column(c).to_pylist() for c in (doc, hashed, text, held))
                 for d, h, value, places in zip(*columns, strict=True):
                     data = (value or "").encode()
                     for leader in places:
@@ -416,7 +417,7 @@ def _shared(a: bytes, b: bytes) -> int:
 def _cut(at_home, per_text, docs, doc, hashed, whole, text, whole_characters) -> DataFrame:
     results = ["n_bytes", "n_removed", "n_spans"]
     kept = [c for c in docs.columns if c != text and c.lower() not in results]
-    joined = at_home.join(per_text, [doc, hashed], "left").select(*kept, F.col(text).alias("text of the row"), F.col(whole).alias("whole row"), "intervals")
+    joined = at_home.join(per_text, [doc, hashed], "left").select(*kept, F.col(text).alias("text of the row"), F.col(whole).alias("whole row"), per_text.columns[-1])
     kind, arrow_kind = (T.StringType(), pa.string()) if whole_characters else (T.BinaryType(), pa.binary())
     schema = T.StructType([*[joined.schema[c] for c in kept], T.StructField(text, kind), *[T.StructField(c, T.LongType()) for c in results]])
     n = len(kept)

@@ -36,7 +36,8 @@ def test_nulls_empty_texts_and_clashing_names(spark, model):
     docs = spark.createDataFrame(
         [(1, None, "x", 0.5, None), (2, "", "x", 0.5, "en"), (3, "12 %% 7", None, None, None), (4, "The and of that are here", "x", 0.5, None),
          (4, "The and of that are here", "x", 0.5, None), (None, "Le elle queque dans éaux mentre", None, None, None)],
-        "doc_id int, text string, language string, scores double, said string")
+        "doc_id int, text string, language string, scores double, said string").withColumns(
+            {c: F.lit(1) for c in ("prior", "fused", "suffix_evidence", "declared_evidence", "n", "guess", "at", "domain")})
     for drop in (False, True):
         rows = language_id.identify(docs, model, declared=F.col("said"), drop_text=drop).collect()
         assert len(rows) == 6

@@ -50,10 +50,10 @@ def test_equals_brute_force_with_and_without_gathering(spark, monkeypatch):
         rows = corpus(seed)
         rows += [rows[9], rows[9], (None, rows[9][1]), (None, "n" * 120)]
         want = brute(rows, 100)
-        docs = spark.createDataFrame([(*r, "x") for r in rows], "doc_id long, text string, start string")
+        docs = spark.createDataFrame([(*r, "x", 1, 2) for r in rows], "doc_id long, text string, start string, leaders int, intervals int")
         found = sd.remove_repeats(docs, whole_characters=False, group_limit=limit)
         texts = {(d, len((t or "").encode())): t for d, t in rows}
-        assert found.columns == ["doc_id", "text", "start", "n_bytes", "n_removed", "n_spans"]
+        assert found.columns == ["doc_id", "text", "start", "leaders", "intervals", "n_bytes", "n_removed", "n_spans"]
         got = found.collect()
         assert len(got) == len(rows)
         for r in got:
