@@ -84,3 +84,17 @@ def test_empty_documents(spark, folder, tmp_path):
     for _, stage in corpus_pipeline.STAGES:
         docs = stage(spark, docs, folder)
         assert docs.count() == 0
+
+
+def test_near_duplicates_are_those_of_similar_shingles(spark, folder):
+    docs = spark.read.parquet(f"{folder}/documents.parquet").where("doc_id <> 9006")
+    some = sorted({(r["doc_id"], r["text"]) for r in docs.collect()})
+    sets = [set(simhash.shingle_hashes(t, 5).tolist()) for _, t in some]
+    group = list(range(len(some)))
+    for i, a in enumerate(sets):
+        for j in range(i):
+            if len(a & sets[j]) >= 0.8 * len(a | sets[j]) and group[i] != group[j]:
+                old, new = max(group[i], group[j]), min(group[i], group[j])
+                group = [new if g == old else g for g in group]
+    kept = simhash.keep_one_of_each(docs).collect()
+    assert {(r["doc_id"], r["text"]) for r in kept} == {some[g] for g in set(group)} and len(kept) == len(set(group))
