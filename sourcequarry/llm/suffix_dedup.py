@@ -22,7 +22,7 @@ Texts move twice at most, by key. Contexts are told apart by gram and 64-bit has
 
 Defined results: null texts are empty; texts shorter than ``length`` keep every byte; rows with
 equal id and text are one document and get equal results; different texts under one id are
-ordered by their hash; null ids come last; an empty table stays empty; columns of the input that
+ordered by their 64-bit hash; null ids come last; an empty table stays empty; columns of the input that
 carry a result's name are replaced, all others stay.
 """
 
@@ -43,10 +43,10 @@ SHALLOW_WORDS = 2
 BLOCK, GROUP_LIMIT, HOT_COPIES = 50_000, 100_000, 100
 
 _LAST = (1 << 63) - 1
-_ANCHORS = "gram bigint, context bigint, doc bigint, hash int, pos int, before int, after int, repeat boolean"
-_FOUND = "gram bigint, doc bigint, hash int, start int, end int"
-_CONTEXTS = "gram bigint, doc bigint, hash int, pos int, before binary, after binary"
-_INTERVALS = "doc bigint, hash int, start int, end int"
+_ANCHORS = "gram bigint, context bigint, doc bigint, hash bigint, pos int, before int, after int, repeat boolean"
+_FOUND = "gram bigint, doc bigint, hash bigint, start int, end int"
+_CONTEXTS = "gram bigint, doc bigint, hash bigint, pos int, before binary, after binary"
+_INTERVALS = "doc bigint, hash bigint, start int, end int"
 
 
 def remove_repeats(
@@ -62,7 +62,7 @@ def remove_repeats(
     doc, hashed, whole = fresh(docs, "doc", "hash", "whole")
     content = F.coalesce(F.col(text), F.lit(""))
     keyed = docs.withColumn(doc, F.coalesce(F.col(id).cast("long"), F.lit(_LAST))).withColumn(
-        hashed, F.shiftrightunsigned(F.xxhash64(content), 33).cast("int"))
+        hashed, F.xxhash64(content))
     digest, = fresh(keyed, "digest")
     hot = materialize(
         keyed.groupBy(F.sha2(content, 256).alias(digest)).agg(
@@ -143,7 +143,7 @@ def _anchors_of(length: int):
                 doc, hashed = (part.column(c).to_numpy()[number] for c in ("doc", "hash"))
                 repeat = _repeats_here(gram, context, doc, hashed, place)
                 yield pa.record_batch(
-                    [pa.array(gram, pa.int64()), pa.array(context, pa.int64()), pa.array(doc, pa.int64()), pa.array(hashed, pa.int32()),
+                    [pa.array(gram, pa.int64()), pa.array(context, pa.int64()), pa.array(doc, pa.int64()), pa.array(hashed, pa.int64()),
                      *[pa.array(x.astype(np.int32)) for x in (place, before, after)], pa.array(repeat)],
                     names=["gram", "context", "doc", "hash", "pos", "before", "after", "repeat"])
 
@@ -203,9 +203,9 @@ def _repeated(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             yield _intervals(*row)
 
 
-def _intervals(gram: np.ndarray | None, doc: np.ndarray, *others: np.ndarray) -> pa.RecordBatch:
+def _intervals(gram: np.ndarray | None, doc: np.ndarray, hashed: np.ndarray, *others: np.ndarray) -> pa.RecordBatch:
     grams = pa.nulls(len(doc), pa.int64()) if gram is None else pa.array(gram, pa.int64())
-    return pa.record_batch([grams, pa.array(doc, pa.int64()), *[pa.array(x.astype(np.int32), pa.int32()) for x in others]],
+    return pa.record_batch([grams, pa.array(doc, pa.int64()), pa.array(hashed, pa.int64()), *[pa.array(x.astype(np.int32), pa.int32()) for x in others]],
                            names=["gram", "doc", "hash", "start", "end"])
 
 
@@ -228,7 +228,7 @@ def _contexts(at_home: DataFrame, leaders: DataFrame, doc: str, hashed: str, tex
                     for leader in places:
                         pos = leader["pos"]
                         rows.append((leader["gram"], d, h, pos, data[max(0, pos - reach):pos][::-1], data[pos + GRAM:pos + GRAM + reach]))
-                kinds = [pa.int64(), pa.int64(), pa.int32(), pa.int32(), pa.binary(), pa.binary()]
+                kinds = [pa.int64(), pa.int64(), pa.int64(), pa.int32(), pa.binary(), pa.binary()]
                 yield pa.record_batch([pa.array([r[i] for r in rows], k) for i, k in enumerate(kinds)],
                                       names=["gram", "doc", "hash", "pos", "before", "after"])
 
@@ -281,7 +281,7 @@ def _block(rows: list[tuple], length: int) -> pa.RecordBatch:
     hit = np.flatnonzero(most >= 0)
     pos = np.array([r[3] for r in rows], np.int64)[hit]
     return pa.record_batch(
-        [pa.array([rows[i][1] for i in hit], pa.int64()), pa.array([rows[i][2] for i in hit], pa.int32()),
+        [pa.array([rows[i][1] for i in hit], pa.int64()), pa.array([rows[i][2] for i in hit], pa.int64()),
          pa.array((pos - most[hit]).astype(np.int32)), pa.array((pos + length - least[hit]).astype(np.int32))],
         names=["doc", "hash", "start", "end"])
 

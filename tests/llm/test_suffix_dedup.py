@@ -1,6 +1,7 @@
 import random
 
 import numpy as np
+from pyspark.sql import functions as F
 
 from sourcequarry.llm import suffix_dedup as sd
 
@@ -81,3 +82,16 @@ def test_sorting():
         group = np.sort(np.array([r.randrange(4) for _ in strings]))
         order = sd.deep_shallow_order(group, strings, 80)
         assert [(group[i], strings[i]) for i in order] == sorted(zip(group, strings))
+
+
+def test_texts_of_one_id_stay_apart(spark):
+    """Different texts under one id, or under none, whose hashes agree in the upper 31 bits."""
+    texts = spark.range(200_000).select(F.concat(*[F.sha2(F.concat(F.lit(s), F.col("id").cast("string")), 256) for s in "abc"]).alias("text"))
+    some = texts.groupBy(F.shiftrightunsigned(F.xxhash64("text"), 33)).agg(F.sort_array(F.collect_list("text")).alias("t")).where(F.size("t") > 1)
+    a, b = some.first()["t"][:2]
+    for id_ in (7, None):
+        rows = [(3, a[20:140]), (id_, a), (id_, b), (1, "q" + b[:30])]
+        found = sd.remove_repeats(spark.createDataFrame(rows, "doc_id long, text string"), whole_characters=False).collect()
+        want = brute(rows, 100)
+        got = [(r["n_bytes"], r["n_removed"], r["n_spans"], bytes(r["text"])) for r in found if r["doc_id"] == id_]
+        assert sorted(got) == sorted([want[id_, a], want[id_, b]]) and len(found) == 4
