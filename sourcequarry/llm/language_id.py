@@ -5,7 +5,8 @@ For every language l and document
     P(l | all)  ~  P(text | l) * P(declared | l) * P(suffix | l) * P(l | host)
 
 * **text**: letter trigrams under a multinomial model of each language, fitted on a bounded
-  sample of labelled rows (``SAMPLE`` expected for each language). The whole text is read; its
+  sample of labelled rows (``SAMPLE`` expected for each language). Every label is a language,
+  however many there are and however few rows one has; a document's scores are as many. The whole text is read; its
   mean log likelihood counts as that of at most ``GRAMS`` independent trigrams. One more
   hypothesis, "und", spreads evenly over all trigrams: text that fits no language better.
 * **declared** (the language a page's markup names) and **suffix** (the last label of its
@@ -24,6 +25,7 @@ alphabet; without labelled rows everything is rejected; an empty table stays emp
 the input that carry a result's name are replaced, all others stay.
 """
 
+import json
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -36,11 +38,15 @@ from sourcequarry.runtime import materialize
 
 #: Labelled rows of each language that the text model is fitted on, as expected.
 SAMPLE = 2_000
-#: Languages that are told apart, the most frequent labels; a label needs this many rows.
-LANGUAGES, LEAST_ROWS = 64, 5
+#: Share of the usual weight of an unseen trigram in a language of which nothing was seen; it is
+#: whole from ``BUCKETS`` trigrams on. Text that fits no language then stays so however few rows
+#: the rarest label has.
+UNSEEN = 0.125
 #: Independent trigrams that a text counts as, at most.
 GRAMS = 60
 BUCKETS = 1 << 14
+#: Languages whose counts a task holds before it hands them on.
+HELD = 256
 #: Weight, in documents, of the coarser level in every smoothed share.
 SMOOTHING = 10.0
 UNDETERMINED = "und"
@@ -51,16 +57,36 @@ RESULT = ["language", "posterior", "text_language", "rejected"]
 
 @dataclass(frozen=True)
 class TextModel:
+    """Log likelihoods less that of even spread: ``base`` of a trigram that a language was not
+    seen with, and for each bucket the languages it was seen with and what these have above."""
+
     languages: list[str]
-    log_p: np.ndarray  # bucket, language
+    base: np.ndarray  # language
+    first: np.ndarray  # bucket, and the end
+    language: np.ndarray
+    above: np.ndarray
 
     def evidence(self, text: str | None) -> list[float] | None:
         """Log likelihood of the text under each language, less that of even spread."""
         grams = trigrams(text)
         if not len(grams):
             return None
-        mean = self.log_p[grams].mean(0, dtype=np.float64) + np.log(BUCKETS)
-        return (mean * min(len(grams), GRAMS)).tolist()
+        times = np.bincount(grams, minlength=BUCKETS)
+        bucket = np.flatnonzero(times)
+        sizes = self.first[bucket + 1] - self.first[bucket]
+        at = np.arange(sizes.sum()) + np.repeat(self.first[bucket] - np.cumsum(sizes) + sizes, sizes)
+        above = np.bincount(self.language[at], self.above[at] * np.repeat(times[bucket], sizes), len(self.languages))
+        return ((self.base + above / len(grams)) * min(len(grams), GRAMS)).tolist()
+
+
+def text_model(languages: list[str], language: np.ndarray, bucket: np.ndarray, n: np.ndarray) -> TextModel:
+    """The model of languages with ``n`` trigrams of each bucket, as rows in any order."""
+    seen = np.bincount(language, n, len(languages))
+    least = 0.5 * (UNSEEN + (1 - UNSEEN) * np.minimum(1.0, seen / BUCKETS))
+    order = np.argsort(bucket, kind="stable")
+    language, bucket, n = language[order].astype(np.int32), bucket[order], n[order]
+    return TextModel(languages, np.log(least / (seen + 0.5 * BUCKETS)) + np.log(BUCKETS), np.searchsorted(bucket, np.arange(BUCKETS + 1)),
+                     language, np.log(1 + n / least[language]).astype(np.float32))
 
 
 def trigrams(text: str | None) -> np.ndarray:
@@ -76,30 +102,40 @@ def trigrams(text: str | None) -> np.ndarray:
 
 
 def fit(docs: DataFrame, label: str, text: str = "text", sample: int = SAMPLE) -> TextModel:
-    """The text model, from labelled rows drawn by a hash of their text."""
-    counted = docs.where(F.col(label).isNotNull() & (F.col(label) != "")).groupBy(F.col(label).alias("label")).count()
-    some = counted.where(F.col("count") >= LEAST_ROWS).orderBy(F.desc("count"), "label").limit(LANGUAGES).collect()
-    shares = {r["label"]: min(1.0, sample / r["count"]) for r in some}
-    languages = sorted(shares)
-    if not languages:
-        return TextModel([], np.zeros((BUCKETS, 0), np.float32))
-    share = F.coalesce(*[F.when(F.col(label) == name, F.lit(shares[name])) for name in languages])
-    drawn = docs.where(F.pmod(F.xxhash64(text, F.lit(1)), F.lit(1_000_000)) < share * 1_000_000)
+    """The text model of all labels, from labelled rows drawn by a hash of their text."""
+    labelled = docs.where(F.col(label).isNotNull() & (F.col(label) != ""))
+    counted = labelled.groupBy(F.col(label).alias("label")).count().collect()
+    languages = sorted(r["label"] for r in counted)
+    number = {name: i for i, name in enumerate(languages)}
+    shares = {r["label"]: sample / r["count"] for r in counted if r["count"] > sample}
+    share = F.lit(1.0)
+    if shares:
+        share = F.coalesce(F.try_element_at(F.from_json(F.lit(json.dumps(shares)), "map<string,double>"), F.col(label)), share)
+    drawn = labelled.where(F.pmod(F.xxhash64(text, F.lit(1)), F.lit(1_000_000)) < share * 1_000_000)
+
+    def counts_of(totals: dict[int, np.ndarray]) -> pa.RecordBatch:
+        found = {i: np.flatnonzero(t) for i, t in totals.items()}
+        columns = [np.repeat(list(found), [len(b) for b in found.values()]), np.concatenate(list(found.values())),
+                   np.concatenate([totals[i][b] for i, b in found.items()])]
+        return pa.record_batch([pa.array(c, k) for c, k in zip(columns, (pa.int32(), pa.int32(), pa.int64()), strict=True)],
+                               names=["language", "bucket", "n"])
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        totals = np.zeros((len(languages), BUCKETS), np.int64)
+        totals: dict[int, np.ndarray] = {}
         for batch in batches:
             for part in slices(batch):
                 for name, value in zip(*(c.to_pylist() for c in part.columns), strict=True):
-                    totals[languages.index(name)] += np.bincount(trigrams(value), minlength=BUCKETS)
-        language, bucket = np.nonzero(totals)
-        yield pa.record_batch([pa.array(language), pa.array(bucket), pa.array(totals[language, bucket])], names=["language", "bucket", "n"])
+                    found = np.bincount(trigrams(value), minlength=BUCKETS)
+                    totals[number[name]] = totals.get(number[name], 0) + found
+                    if len(totals) == HELD:
+                        yield counts_of(totals)
+                        totals = {}
+        if totals:
+            yield counts_of(totals)
 
-    counts = drawn.select(label, text).mapInArrow(count, "language bigint, bucket bigint, n bigint")
-    table = counts.groupBy("language", "bucket").agg(F.sum("n").alias("n")).toPandas()  # languages x buckets rows at most
-    n = np.full((BUCKETS, len(languages)), 0.5)
-    np.add.at(n, (table["bucket"].to_numpy(np.int64), table["language"].to_numpy(np.int64)), table["n"].to_numpy(np.float64))
-    return TextModel(languages, np.log(n / n.sum(0)).astype(np.float32))
+    counts = drawn.select(label, text).mapInArrow(count, "language int, bucket int, n bigint")
+    table = counts.groupBy("language", "bucket").agg(F.sum("n").alias("n")).toPandas()  # as many rows as languages have trigrams
+    return text_model(languages, *(table[c].to_numpy(np.int64) for c in ("language", "bucket", "n")))
 
 
 def host_of(address: Column) -> Column:
@@ -137,28 +173,30 @@ def identify(
         return scored.select(*kept, F.lit(UNDETERMINED).alias("language"), F.lit(0.0).alias("posterior"),
                              F.lit(None).cast("string").alias("text_language"), F.lit(True).alias("rejected"))
 
-    best = F.array_position(F.col(scores), F.array_max(scores)) - 1
+    best = (F.array_position(F.col(scores), F.array_max(scores)) - 1).cast("int")
     guessed = scored.select(at, domain, suffix, said, F.when(F.array_max(scores) > 0, best).alias("guess"))
-    tally = F.array(*[F.count(F.when(F.col("guess") == i, 1)) for i in range(len(names))])
-    cube = materialize(guessed.groupBy(at, domain, suffix, said).agg(tally.alias("n")), "language-counts")
+    cube = materialize(guessed.groupBy(at, domain, suffix, said, "guess").agg(F.count(F.lit(1)).cast("double").alias("n")), "language-counts")
 
     def counts_by(*keys: str) -> DataFrame:
-        sums = F.array(*[F.coalesce(F.sum(F.get("n", F.lit(i))), F.lit(0)).cast("double") for i in range(len(names))])
-        return cube.groupBy(*keys).agg(sums.alias("n"))
+        sums = cube.groupBy(*keys, "guess").agg(F.sum("n").alias("n"))
+        listed = F.map_from_entries(F.collect_list(F.when(F.col("guess").isNotNull(), F.struct("guess", "n"))))
+        each = F.transform(F.sequence(F.lit(0), F.lit(len(names) - 1)), lambda i: F.coalesce(F.try_element_at("n", i), F.lit(0.0)))
+        return sums.groupBy(*keys).agg(listed.alias("n")).select(*keys, each.alias("n"))
 
-    totals = counts_by().first()["n"]
+    found = {r["guess"]: r["n"] for r in cube.where("guess is not null").groupBy("guess").agg(F.sum("n").alias("n")).collect()}
+    totals = [found.get(i, 0.0) for i in range(len(names))]
     whole = [(n + 1.0) / (sum(totals) + len(names)) for n in totals]
     by_suffix = counts_by(suffix).where(F.col(suffix).isNotNull()).select(suffix, F.col("n").alias("n_suffix"))
     by_domain = counts_by(domain, suffix).where(F.col(domain).isNotNull()).select(domain, F.col("n").alias("n_domain"))
     hosts = counts_by(at, domain, suffix).where(F.col(at).isNotNull()).join(by_domain, domain, "left").join(by_suffix, suffix, "left")
-    levels = F.array(*[F.lit(p) for p in whole])
+    levels = _constant(whole)
     for level in ("n_suffix", "n_domain", "n"):
         levels = F.coalesce(_smoothed(F.col(level), levels), levels)
     host_prior = hosts.select(at, F.transform(levels, F.ln).alias(prior), _likelihood(F.col("n_suffix"), totals).alias(suffix_evidence))
     by_said = counts_by(said).where(F.col(said).isNotNull()).select(said, _likelihood(F.col("n"), totals).alias(declared_evidence))
 
     joined = scored.join(host_prior, at, "left").join(by_said, said, "left")
-    flat, no_evidence = F.array(*[F.lit(float(np.log(p))) for p in whole]), F.array(*[F.lit(0.0)] * len(names))
+    flat, no_evidence = _constant(np.log(whole).tolist()), F.array_repeat(F.lit(0.0), len(names))
     sums = F.coalesce(prior, flat)
     for evidence in (F.col(suffix_evidence), F.col(declared_evidence), F.col(scores)):
         sums = F.zip_with(sums, F.coalesce(evidence, no_evidence), lambda a, b: a + b)
@@ -166,13 +204,17 @@ def identify(
     top = F.array_max(fused)
     other = F.exp(F.lit(float(np.log(UNDETERMINED_PRIOR))) - top)
     posterior = 1.0 / (F.aggregate(fused, F.lit(0.0), lambda t, x: t + F.exp(x - top)) + other)
-    named = F.array(*[F.lit(name) for name in names])
+    named = _constant(names, "string")
     text_language = F.when(F.array_max(scores) > 0, F.get(named, (F.array_position(F.col(scores), F.array_max(scores)) - 1).cast("int")))
     rejected = (posterior < min_posterior) | F.col(scores).isNull()
     language = F.when(rejected, F.lit(UNDETERMINED)).otherwise(F.get(named, (F.array_position(F.col(fused), top) - 1).cast("int")))
     return joined.select(*kept, language.alias("language"), posterior.alias("posterior"), text_language.alias("text_language"), rejected.alias("rejected"))
 
 
+def _constant(values: list, kind: str = "double") -> Column:
+    return F.from_json(F.lit(json.dumps(values)), f"array<{kind}>")
+
+
 def _smoothed(counts: Column, coarser: Column) -> Column:
     """Shares of one level, with ``SMOOTHING`` documents of the coarser one."""
     total = F.aggregate(counts, F.lit(0.0), lambda t, x: t + x)
@@ -182,5 +224,5 @@ def _smoothed(counts: Column, coarser: Column) -> Column:
 def _likelihood(counts: Column, totals: list[float]) -> Column:
     """Log of how much more often a value goes with each language than with all."""
     of_all = F.aggregate(counts, F.lit(0.0), lambda t, x: t + x) / float(sum(totals) + 1.0)
-    each = F.array(*[F.lit(float(t)) for t in totals])
+    each = _constant(totals)
     return F.zip_with(counts, each, lambda n, t: F.ln((n + SMOOTHING * of_all + 1e-9) / (t + SMOOTHING) / (of_all + 1e-9)))

@@ -1,3 +1,5 @@
+import random
+
 import pytest
 from pyspark.sql import functions as F
 
@@ -60,3 +62,25 @@ def test_host_of(spark):
     urls = ["http://u:p@A.Example.org:8080/x?y#z", "https://b.fr", "c.fr/x", None, ""]
     df = spark.createDataFrame([(u,) for u in urls], "url string")
     assert [r[0] for r in df.select(language_id.host_of(F.col("url"))).collect()] == ["a.example.org", "b.fr", None, None, None]
+
+
+def test_every_label_is_a_language(spark):
+    """More than 64 labels, one of them with two rows; text that fits none is still rejected."""
+    letters = "abcdefghijklmnopqrstuvwxyz"
+
+    def words(i, n):
+        r = random.Random(i)
+        own = ["".join(r.choice(letters) for _ in range(r.randrange(3, 8))) for _ in range(30)]
+        pick = random.Random(n)
+        return " ".join(pick.choice(own) for _ in range(80))
+
+    rows = [(100 * i + n, words(i, n), f"l{i:03d}") for i in range(150) for n in range(8)]
+    rows += [(90_000 + n, words(777, n), "rare-one") for n in range(2)]
+    docs = spark.createDataFrame(rows, "doc_id int, text string, lang string")
+    model = language_id.fit(docs, "lang")
+    assert model.languages == sorted({r[2] for r in rows})
+    new = [(-i, words(i, 50), f"l{i:03d}") for i in range(1, 150)] + [(-777, words(777, 50), "rare-one")]
+    new += [(-1000, "ыъ щэ юя ыщъ", None), (-1001, "ыъ щэ юя ыщъ " * 20, None)]
+    both = docs.unionByName(spark.createDataFrame(new, "doc_id int, text string, lang string"))
+    found = {r["doc_id"]: r["language"] for r in language_id.identify(both, model).collect()}
+    assert [found[i] for i, _, _ in new] == [lang or "und" for _, _, lang in new]
