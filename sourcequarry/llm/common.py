@@ -6,7 +6,9 @@ from collections.abc import Callable, Iterator
 from pathlib import Path
 
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, functions as F, types as T
+from pyspark.sql import Column, DataFrame, Window, functions as F, types as T
+
+from sourcequarry.runtime import materialize
 
 #: Words of ASCII letters and digits and of every character outside ASCII.
 SEPARATORS = r"[\x00-\x2F\x3A-\x60\x7B-\x7F]+"
@@ -81,3 +83,19 @@ def with_computed(
                 yield pa.record_batch([*part.columns[:len(kept)], values], names=[*kept, name])
 
     return rows.mapInArrow(run, schema)
+
+
+def running_sum(df: DataFrame, amount: str, out: str, order: list[str], by: tuple[str, ...] = ()) -> DataFrame:
+    """``df`` with ``out``, the sum of ``amount`` over a row and those before it in ``order``
+    among the rows of equal ``by``.
+
+    Rows are dealt in ranges of (by, order) and stored, so one key may fill many tasks; what
+    crosses the ranges is one number for each key and range. ``by`` must not be null."""
+    part, before = fresh(df, "range", "sum_before")
+    ranged = materialize(df.repartitionByRange(*by, *order).withColumn(part, F.spark_partition_id()), "ranges")
+    totals = ranged.groupBy(*by, part).agg(F.sum(amount).alias(before))
+    earlier = Window.partitionBy(*by).orderBy(part).rowsBetween(Window.unboundedPreceding, -1)
+    offsets = totals.select(*by, part, F.coalesce(F.sum(before).over(earlier), F.lit(0)).alias(before))
+    within = Window.partitionBy(*by, part).orderBy(*order).rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    return (ranged.withColumn(out, F.sum(amount).over(within)).join(offsets, [*by, part])
+            .withColumn(out, F.col(out) + F.col(before)).drop(part, before))

@@ -85,5 +85,78 @@ SELECT doc_id, len(w)::BIGINT AS n_words, coalesce(n_hit, 0)::BIGINT AS n_hit, c
     sha256(coalesce(array_to_string(list_sort([x::VARCHAR for x in ids]), ','), '')) AS items_sha256,
     coalesce(n_hit, 0) > 0 AS contaminated
 FROM doc LEFT JOIN covered USING (r) LEFT JOIN named USING (r)
+""",
+    "op12_filter_audit": r"""
+WITH doc AS (
+    SELECT doc_id, coalesce(source, '') AS part, coalesce(text, '') AS t,
+        [x for x in string_split_regex(coalesce(text, ''), '[\x20\x09-\x0D]+') if x <> ''] AS w FROM documents
+),
+failing AS (
+    SELECT doc_id, part, CASE WHEN len(w) < 50 THEN 'A' ELSE '' END || CASE WHEN 100 * len(list_distinct(w)) < 65 * len(w) THEN 'B' ELSE '' END
+        || CASE WHEN 100 * length(regexp_replace(t, '[^A-Z]', '', 'g')) > 5 * length(t) THEN 'C' ELSE '' END
+        || CASE WHEN regexp_matches(t, '[#$%&*|]') THEN 'D' ELSE '' END
+        || CASE WHEN doc_id > min(doc_id) OVER (PARTITION BY t) THEN 'E' ELSE '' END AS fails
+    FROM doc
+),
+label AS (SELECT doc_id, bool_or(quality = 1) AS good, bool_or(toxic = 1) AS toxic FROM labels GROUP BY doc_id),
+masks AS (
+    SELECT part, fails, count(*) AS n, count(*) FILTER (good) AS good, count(*) FILTER (toxic) AS toxic
+    FROM failing LEFT JOIN label USING (doc_id) GROUP BY ALL
+),
+letter AS (SELECT unnest(['A', 'B', 'C', 'D', 'E']) AS f),
+orders AS (
+    SELECT a.f || b.f || c.f || d.f || e.f AS filter_order FROM letter a, letter b, letter c, letter d, letter e
+    WHERE len(list_distinct([a.f, b.f, c.f, d.f, e.f])) = 5
+),
+removed AS (
+    SELECT *, coalesce(list_min([strpos(filter_order, f) for f in string_split(fails, '') if f <> '']), 6) AS gone FROM masks, orders
+),
+steps AS (
+    SELECT part, filter_order, step, filter_order[step] AS f, sum(n * (gone > step)::INT)::BIGINT AS kept, sum(n * (gone = step)::INT)::BIGINT AS removed,
+        sum(n * (gone < step AND contains(fails, filter_order[step]))::INT)::BIGINT AS redundant,
+        sum(n * (fails = filter_order[step])::INT)::BIGINT AS unique_fails,
+        sum(good * (gone = step)::INT)::BIGINT AS good_lost, sum(toxic * (gone = step)::INT)::BIGINT AS toxic_lost
+    FROM removed, (SELECT unnest(range(1, 6))::INTEGER AS step) GROUP BY ALL
+)
+SELECT part, filter_order, step, kept, removed, redundant, unique_fails, good_lost, toxic_lost,
+    (sum(removed) OVER (PARTITION BY part, f))::BIGINT AS shapley
+FROM steps
+""",
+    "op13_source_mix": r"""
+WITH RECURSIVE doc AS (
+    SELECT row_number() OVER () AS r, doc_id, source, len([x for x in string_split_regex(coalesce(text, ''), '[\x20\x09-\x0D]+') if x <> '']) AS size,
+        md5(coalesce(text, '')) AS digest FROM documents
+),
+sources AS (
+    SELECT *, ([5, 2, 1])[(number - 1) % 3 + 1]::DOUBLE AS weight, 2 * source_size AS most
+    FROM (SELECT source, sum(size)::BIGINT AS source_size, row_number() OVER (ORDER BY source NULLS LAST) AS number FROM doc GROUP BY source)
+),
+levels AS (
+    SELECT 0 AS i, 0::DOUBLE AS level
+    UNION ALL
+    SELECT i + 1, ((SELECT sum(source_size) * 1.5::DOUBLE FROM sources) - coalesce(sum(most) FILTER (most <= weight * level), 0))
+        / (sum(weight) FILTER (most > weight * level)) AS next
+    FROM levels, sources WHERE i < 1000 GROUP BY i, level
+    HAVING next IS NOT NULL AND next <> level
+),
+targets AS (SELECT source, source_size, number, least(most::DOUBLE, weight * (SELECT max(level) FROM levels)) AS target FROM sources),
+offered AS (
+    SELECT r, doc_id, size, digest, number, target, unnest(range(0, ceil(target / source_size)::BIGINT)) AS round
+    FROM doc JOIN targets ON doc.source IS NOT DISTINCT FROM targets.source WHERE size > 0 AND target > 0
+),
+queued AS (
+    SELECT *, sum(size) OVER (PARTITION BY number ORDER BY round, md5(round || ':0:' || coalesce(doc_id::VARCHAR, '') || ':' || digest), r)::BIGINT AS served
+    FROM offered
+),
+pieces AS (SELECT r, size, number, target, served, unnest(range(0, size, 128)) AS begins FROM queued),
+ended AS (
+    SELECT r, number, least(128, size - begins) AS words, served - size + begins + least(128, size - begins) AS served,
+        (served - size + begins + least(128, size - begins)) / target AS finish FROM pieces
+),
+placed AS (SELECT r, words, sum(words) OVER (ORDER BY finish, number, served)::BIGINT - words AS before FROM ended),
+budget AS (SELECT floor(sum(size) * 1.5)::BIGINT AS budget FROM doc),
+taken AS (SELECT r, sum(least(words, budget - before))::BIGINT AS taken FROM placed, budget WHERE before < budget GROUP BY r)
+SELECT doc_id, size::BIGINT AS size, source_size, target, coalesce(taken, 0)::BIGINT AS taken
+FROM doc JOIN targets ON doc.source IS NOT DISTINCT FROM targets.source LEFT JOIN taken USING (r)
 """,
 }

@@ -4,7 +4,9 @@ import functools
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from sourcequarry.llm import bpe, chat, decontaminate, language_id, license_scan, oracle, sharding, simhash, suffix_dedup, vector_file, warc
+from sourcequarry.llm import (
+    bpe, chat, decontaminate, filter_audit, language_id, license_scan, oracle, sharding, simhash, source_mix, suffix_dedup, vector_file,
+    warc)
 from sourcequarry.llm.common import ship_package, table
 from sourcequarry.runtime import materialize
 
@@ -133,3 +135,20 @@ def op10_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return hits.select(
         "doc_id", "n_words", "n_hit", F.size("items").cast("long").alias("n_items"),
         F.sha2(F.array_join(ids, ",").cast("binary"), 256).alias("items_sha256"), (F.col("n_hit") > 0).alias("contaminated"))
+
+
+@query
+def op12_filter_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What five filters remove from every source, in all 120 orders."""
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text", "source")
+    return filter_audit.audit_documents(docs, table(spark, sf_dir, "labels"))
+
+
+@query
+def op13_source_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All documents mixed by weights 5, 2, 1 to one and a half times their words."""
+    text = F.coalesce(F.col("text"), F.lit(""))
+    words = F.size(F.filter(F.split(text, r"[\x20\x09-\x0D]+"), lambda w: w != "")).cast("long")
+    docs = table(spark, sf_dir, "documents").select("doc_id", "source", words.alias("size"), F.md5(text).alias("digest"))
+    mix = source_mix.mix_sources(docs, [5, 2, 1], 1.5, 2, ["doc_id", "digest"])
+    return mix.select("doc_id", "size", "source_size", "target", "taken")
