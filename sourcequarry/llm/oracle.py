@@ -5,6 +5,12 @@ _WORDS = r"""[x for x in string_split_regex(translate(coalesce({0}, ''), 'ABCDEF
 
 _CONTROL = r"<s>|</s>|\[INST\]|\[/INST\]|<<SYS>>|<</SYS>>|\[ROLE\]|\[/ROLE\]"
 
+
+def _more(edits: str, cost: str, edit: str) -> str:
+    """Edits that are held as nine digits of cost and an audit, and one more of them."""
+    return f"CASE WHEN {edits} = 'z' THEN 'z' ELSE lpad(({edits}[1:9]::BIGINT + {cost})::VARCHAR, 9, '0') || {edits}[10:] || '{edit}' END"
+
+
 STATEMENTS = {
     "op3_top_k": """
 WITH v AS (
@@ -158,5 +164,86 @@ budget AS (SELECT floor(sum(size) * 1.5)::BIGINT AS budget FROM doc),
 taken AS (SELECT r, sum(least(words, budget - before))::BIGINT AS taken FROM placed, budget WHERE before < budget GROUP BY r)
 SELECT doc_id, size::BIGINT AS size, source_size, target, coalesce(taken, 0)::BIGINT AS taken
 FROM doc JOIN targets ON doc.source IS NOT DISTINCT FROM targets.source LEFT JOIN taken USING (r)
+""",
+    "op11_conversation_repair": rf"""
+WITH RECURSIVE crc_table AS (
+    SELECT list(list_reduce(range(0, 9), lambda c, k: CASE WHEN k = 0 THEN c WHEN c & 1 = 1 THEN xor(c >> 1, 3988292384) ELSE c >> 1 END, n) ORDER BY n) AS t
+    FROM (SELECT unnest(range(0, 256)) AS n)
+),
+keyed AS (
+    SELECT conv_id, turn, coalesce(role, ' ') AS role, coalesce(text, ' ') AS text,
+        [ascii(c)::BIGINT for c in string_split(coalesce(conv_id::VARCHAR, ' ') || ':' || coalesce(turn::VARCHAR, ' '), '')] AS bytes FROM conversations
+),
+drawn AS (
+    SELECT conv_id, turn, role, text, xor(list_reduce(bytes, lambda c, b: xor(c >> 8, t[(xor(c, b) & 255) + 1]), 4294967295), 4294967295) % 20 AS damage
+    FROM keyed, crc_table
+),
+spoilt AS (
+    SELECT conv_id, turn, CASE WHEN damage = 4 THEN 'user' ELSE role END AS role, unnest(range(0, CASE WHEN damage = 3 THEN 2 ELSE 1 END)) AS copy,
+        CASE damage WHEN 1 THEN '' WHEN 2 THEN regexp_replace(text, '[.!?]', '', 'g') ELSE text END AS text
+    FROM drawn WHERE damage <> 0
+),
+placed AS (
+    SELECT *, row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST, role, sha256(text)) AS i, sha256(text) AS digest FROM spoilt
+),
+faults AS (
+    SELECT *, CASE WHEN NOT regexp_matches(text, '[^\x20\x09-\x0D]') THEN 'blank'
+        WHEN row_number() OVER (PARTITION BY conv_id, role, text ORDER BY i) > 1 THEN 'duplicate'
+        WHEN NOT regexp_matches(text, '[.!?][\x20\x09-\x0D]*$') THEN 'truncated' ELSE '' END AS fault,
+        left(role, 1) AS r, lag(left(role, 1)) OVER (PARTITION BY conv_id ORDER BY i) AS before
+    FROM placed
+),
+-- a state's cheapest edits so far as a text: nine digits of cost, then the audit; z sorts after all
+walk AS (
+    SELECT conv_id, 0::BIGINT AS i, '000000000' AS n, 'z' AS s, '000000002I' AS u, '000000004II' AS a FROM (SELECT DISTINCT conv_id FROM placed)
+    UNION ALL
+    SELECT conv_id, i, n2, s2, u3, a3
+    FROM (
+        SELECT *, least(u2, {_more('least(n2, s2, a2)', '2', 'I')}) AS u3, least(a2, {_more('u3', '2', 'I')}) AS a3
+        FROM (
+            SELECT conv_id, f_i AS i, {_more('n', '3', 'D')} AS n2,
+                least({_more('s', '3', 'D')}, CASE WHEN sound AND r = 's' THEN {_more('n', 'cut', 'K')} ELSE 'z' END) AS s2,
+                least({_more('u', '3', 'D')}, CASE WHEN sound THEN {_more('to_user', '2 + cut', 'R')} ELSE 'z' END,
+                    CASE WHEN sound AND r = 'u' THEN {_more('to_user', 'cut', 'K')} ELSE 'z' END) AS u2,
+                least({_more('a', '3', 'D')}, CASE WHEN sound THEN {_more('u', '2 + cut', 'R')} ELSE 'z' END,
+                    CASE WHEN sound AND r = 'a' THEN {_more('u', 'cut', 'K')} ELSE 'z' END) AS a2
+            FROM (
+                SELECT w.*, f.i AS f_i, r, fault NOT IN ('blank', 'duplicate') AS sound, (fault = 'truncated')::INT AS cut, least(n, s, a) AS to_user
+                FROM walk w JOIN faults f ON w.conv_id IS NOT DISTINCT FROM f.conv_id AND f.i = w.i + 1
+            )
+        )
+    )
+),
+cheapest AS (
+    SELECT conv_id, arg_max(least(n, a), i) AS best FROM walk GROUP BY conv_id
+),
+edits AS (SELECT conv_id, best[1:9]::BIGINT AS cost, best[10:] AS audit, unnest(range(1, len(best) - 8)) AS k FROM cheapest),
+told AS (
+    SELECT conv_id, audit, k, audit[k] AS edit, sum((audit[k] <> 'I')::INT) OVER (PARTITION BY conv_id ORDER BY k) AS i,
+        sum((audit[k] <> 'D')::INT) OVER (PARTITION BY conv_id ORDER BY k) AS place
+    FROM edits WHERE k <= len(audit)
+),
+lines AS (
+    SELECT t.conv_id, k, edit, f.role, CASE edit WHEN 'I' THEN '' ELSE f.text END AS text,
+        place + (NOT coalesce(bool_or(edit = 'K' AND place = 1 AND f.r = 's') OVER (PARTITION BY t.conv_id), false))::INT AS from_user
+    FROM told t LEFT JOIN faults f ON t.conv_id IS NOT DISTINCT FROM f.conv_id AND t.i = f.i WHERE edit <> 'D'
+),
+written AS (
+    SELECT conv_id, string_agg(CASE WHEN edit = 'K' THEN role WHEN from_user % 2 = 0 THEN 'user' ELSE 'assistant' END || ':' || text, chr(10) ORDER BY k) AS repaired
+    FROM lines GROUP BY conv_id
+),
+counted AS (
+    SELECT conv_id, coalesce(max(turn) - min(turn) + 1 - count(DISTINCT turn), 0) AS gaps, count(*) FILTER (fault = 'blank') AS blank,
+        count(*) FILTER (fault = 'duplicate') AS duplicate, count(*) FILTER (fault = 'truncated') AS truncated,
+        count(*) FILTER (i > 1 AND before || r NOT IN ('su', 'ua', 'au')) AS illegal
+    FROM faults GROUP BY conv_id
+)
+SELECT o.conv_id, coalesce(gaps, 0)::BIGINT AS gaps, coalesce(blank, 0)::BIGINT AS blank, coalesce(duplicate, 0)::BIGINT AS duplicate,
+    coalesce(truncated, 0)::BIGINT AS truncated, coalesce(illegal, 0)::BIGINT AS illegal, coalesce(best[1:9]::BIGINT, 0) AS cost,
+    coalesce(best[10:], '') AS audit, sha256(coalesce(repaired, '')) AS repaired_sha256
+FROM (SELECT DISTINCT conv_id FROM conversations) o
+LEFT JOIN cheapest c ON o.conv_id IS NOT DISTINCT FROM c.conv_id
+LEFT JOIN counted n ON o.conv_id IS NOT DISTINCT FROM n.conv_id
+LEFT JOIN written w ON o.conv_id IS NOT DISTINCT FROM w.conv_id
 """,
 }

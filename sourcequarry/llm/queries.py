@@ -5,8 +5,8 @@ import functools
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from sourcequarry.llm import (
-    bpe, chat, decontaminate, filter_audit, language_id, license_scan, oracle, sharding, simhash, source_mix, suffix_dedup, vector_file,
-    warc)
+    bpe, chat, conversation_repair, decontaminate, filter_audit, language_id, license_scan, oracle, sharding, simhash, source_mix,
+    suffix_dedup, vector_file, warc)
 from sourcequarry.llm.common import ship_package, table
 from sourcequarry.runtime import materialize
 
@@ -152,3 +152,27 @@ def op13_source_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "source", words.alias("size"), F.md5(text).alias("digest"))
     mix = source_mix.mix_sources(docs, [5, 2, 1], 1.5, 2, ["doc_id", "digest"])
     return mix.select("doc_id", "size", "source_size", "target", "taken")
+
+
+def damaged(turns: DataFrame) -> DataFrame:
+    """Turns with one row in four spoilt: gone, emptied, without its ends, doubled, or all users."""
+    shown = [F.coalesce(F.col(c).cast("string"), F.lit(" ")) for c in ("conv_id", "turn")]
+    kind = F.crc32(F.concat_ws(":", *shown).cast("binary")) % 20
+    role, text = (F.coalesce(c, F.lit(" ")) for c in ("role", "text"))
+    spoilt = turns.withColumn("damage", kind).where("damage <> 0").select(
+        "conv_id", "turn", F.when(F.col("damage") == 4, "user").otherwise(role).alias("role"),
+        F.when(F.col("damage") == 1, "").when(F.col("damage") == 2, F.regexp_replace(text, "[.!?]", "")).otherwise(text).alias("text"),
+        F.explode(F.sequence(F.lit(0), F.when(F.col("damage") == 3, 1).otherwise(0))).alias("copy"))
+    return spoilt.drop("copy")
+
+
+@query
+def op11_conversation_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All conversations, damaged, and the cheapest edits that make them well formed."""
+    turns = table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text")
+    _, led = conversation_repair.repair(damaged(turns))
+    found = conversation_repair.repaired_digests(led)
+    all_ids = turns.select("conv_id").distinct()
+    numbers = [F.coalesce(c, F.lit(0)).cast("long").alias(c) for c in ("gaps", "blank", "duplicate", "truncated", "illegal", "cost")]
+    return all_ids.join(found, all_ids["conv_id"].eqNullSafe(found["id"]), "left").select(
+        "conv_id", *numbers, F.coalesce("audit", F.lit("")).alias("audit"), F.coalesce("repaired_sha256", F.sha2(F.lit(""), 256)).alias("repaired_sha256"))
