@@ -1,7 +1,7 @@
 """Cache operators: entries and log rows in, log rows out.
 
-The current state is the last row per hash. Counting the rows of a result says how many
-entries an operation stored, rejected or removed.
+The current state is the last row per hash, unless a later row clears it. Counting the rows of a
+result says how many entries an operation stored, rejected or removed.
 """
 
 from pyspark.sql import Column, DataFrame, functions as F
@@ -52,22 +52,45 @@ def cache_put(entries: DataFrame, on_invalid: str = "fail") -> DataFrame:
     )
 
 
+#: Requested hashes that are named in the plan, for each bucket of a log: beyond them all buckets are asked for.
+NAMED_PER_BUCKET = 4
+
+
 def cache_current(log: DataFrame) -> DataFrame:
     """The valid entry per hash: the last write wins, and of writes at one time and place in
     order the one whose response hashes highest, so the answer never depends on the run.
-    Writes of one hash are reduced per task before the shuffle; columns nobody asks for are
-    not carried along."""
-    order = F.struct("ts", "seq", "op", F.xxhash64("response_b64"))
-    columns = ("prompt_b64", "response_b64", "ts", "metadata", "seq")
-    rows = log.groupBy("query_hash").agg(*[F.max_by(c, order).alias(c) for c in (*columns, "op")])
-    return rows.where(F.col("op") == "put").select(
-        "query_hash", *columns, F.substring("query_hash", 1, 2).alias("hash_prefix"))
+    Of a stored log the rows of a hash are reduced where they lie; of any other, per task before
+    the shuffle. ``clear`` rows, few as they are, are one value that every row is compared with."""
+    return _reduced(log, log)
+
+
+def _reduced(log: DataFrame, asked: DataFrame) -> DataFrame:
+    """The current entries of the ``asked`` rows of a log."""
+    cleared = log.where((F.col("query_hash") == "") & (F.col("op") == "clear")).agg(F.max(F.struct("ts", "seq"))).scalar()
+    alive = F.coalesce(F.struct("ts", "seq") >= cleared, F.lit(True))
+    columns = ("prompt_b64", "response_b64", "metadata")
+    last = F.max(F.struct("ts", "seq", "op", F.xxhash64("response_b64").alias("tie"), *columns)).alias("last")
+    rows = asked.where((F.col("op") != "clear") & alive).groupBy("query_hash").agg(last)
+    return rows.where(F.col("last.op") == "put").select(
+        "query_hash", *[F.col(f"last.{c}").alias(c) for c in ("prompt_b64", "response_b64", "ts", "metadata", "seq")],
+        F.substring("query_hash", 1, 2).alias("hash_prefix"))
+
+
+def cache_entries(log: DataFrame, requests: DataFrame, buckets: int) -> DataFrame:
+    """The current entries that ``requests`` (with ``query_hash``) ask for.
+
+    A log stored in ``buckets`` stays where it is: the different hashes come to its buckets, and
+    where they are too few to ask for all of these, they are named, and the others are not read."""
+    wanted = requests.select("query_hash").where(F.col("query_hash").isNotNull()).distinct()
+    few = [r[0] for r in wanted.limit(NAMED_PER_BUCKET * buckets + 1).collect()]
+    if len(few) <= NAMED_PER_BUCKET * buckets:
+        return _reduced(log, log.where(F.col("query_hash").isin(few)))
+    return _reduced(log, log.join(wanted, "query_hash", "left_semi"))
 
 
 def cache_get(log: DataFrame, prompt: str) -> DataFrame:
-    """The entry of one prompt: reads one folder of the log."""
-    key = F.sha2(F.lit(prompt), 256)
-    return cache_current(log.where((F.col("hash_prefix") == F.substring(key, 1, 2)) & (F.col("query_hash") == key)))
+    """The entry of one prompt: reads one bucket of a stored log."""
+    return _reduced(log, log.where(F.col("query_hash") == F.sha2(F.lit(prompt), 256)))
 
 
 def cache_lookup(requests: DataFrame, current: DataFrame, spread_by: list[str]) -> DataFrame:
@@ -107,6 +130,23 @@ def cache_clear(current: DataFrame, older_than: Column | None = None, ts: Column
     return _tombstones(current if older_than is None else current.where(F.col("ts") < older_than), ts)
 
 
+def cache_clear_range(log: DataFrame, older_than: Column | None = None, ts: Column | None = None) -> DataFrame:
+    """One log row that clears everything written so far, or before ``older_than``. It holds the
+    end of what it clears as its place in the order of writes; later writes count again."""
+    if older_than is not None:
+        ends = log.sparkSession.range(1).select(older_than.cast("timestamp_ntz").alias("ts"), F.lit(-(1 << 63)).cast("long").alias("seq"))
+    else:
+        when = (ts if ts is not None else F.localtimestamp()).cast("timestamp_ntz")
+        last = log.where(F.col("op") != "clear").agg(F.max(F.struct("ts", "seq")).alias("last")).select("last.*")
+        beyond = F.coalesce(F.col("ts") < when, F.lit(True))
+        ends = last.select(F.when(beyond, when).otherwise(F.col("ts")).alias("ts"),
+                           F.when(beyond, F.lit(-(1 << 63)).cast("long")).otherwise(F.col("seq") + 1).alias("seq"))
+    no_text = F.lit(None).cast("string")
+    return ends.select(
+        F.lit("").alias("query_hash"), no_text.alias("prompt_b64"), no_text.alias("response_b64"), "ts", no_text.alias("metadata"), "seq",
+        F.lit("clear").alias("op"), F.lit("").alias("hash_prefix"))
+
+
 def cache_stats(current: DataFrame) -> DataFrame:
     size = F.length("prompt_b64") + F.length("response_b64")
     return current.agg(

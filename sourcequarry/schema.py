@@ -73,6 +73,6 @@ CACHE_LOG = _struct(
     ts=T.TimestampNTZType(),
     metadata=_S,
     seq=T.LongType(),
-    op=_S,                      # put | delete
-    hash_prefix=_S,             # first two hex digits: the partition column
+    op=_S,                      # put | delete | clear (all before its ts and seq)
+    hash_prefix=_S,             # first two hex digits
 )

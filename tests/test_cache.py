@@ -1,6 +1,7 @@
 """The response cache as a table."""
 
 import datetime as dt
+import re
 
 import pytest
 from pyspark.sql import functions as F
@@ -123,11 +124,74 @@ def test_storage_round_trip_and_compaction(spark, entries, tmp_path):
     assert rows.count() == 49 and decoded(rows) == before
 
 
-def test_point_lookup_reads_one_folder(spark, entries, tmp_path):
-    path = str(tmp_path / "log")
-    cache_table.append_cache_log(cache.cache_put(entries(*[(f"p{i}", str(i), None, EARLY, 0) for i in range(50)])), path)
-    one = cache.cache_get(cache_table.read_cache_log(spark, path), "p7")
+def plan_of(df):
+    return df._jdf.queryExecution().executedPlan().toString()
+
+
+def stored(spark, entries, path, n=50):
+    cache_table.append_cache_log(cache.cache_put(entries(*[(f"p{i}", str(i), None, EARLY, 0) for i in range(n)])), path)
+    return cache_table.read_cache_log(spark, path)
+
+
+def asked_for(spark, *prompts):
+    return spark.createDataFrame([(i, p) for i, p in enumerate(prompts)], "id int, prompt string").withColumn("query_hash", F.sha2("prompt", 256))
+
+
+def test_point_lookup_reads_one_bucket(spark, entries, tmp_path):
+    one = cache.cache_get(stored(spark, entries, str(tmp_path / "log")), "p7")
     assert cache_table.cache_scan(one).first().response == "7"
-    plan = one._jdf.queryExecution().executedPlan().toString()
-    assert "PartitionFilters: [isnotnull(hash_prefix" in plan
-    assert "EqualTo(query_hash" in plan
+    assert "SelectedBucketsCount: 1 out of 4" in plan_of(one)
+    assert "EqualTo(query_hash" in plan_of(one)
+
+
+def test_a_stored_log_is_not_moved(spark, entries, tmp_path):
+    log = stored(spark, entries, str(tmp_path / "log"))
+    assert "Exchange hash" not in plan_of(cache.cache_current(log))
+    few = cache.cache_entries(log, asked_for(spark, "p7", "p7", "nowhere"), 4)
+    assert "Exchange hash" not in plan_of(few) and re.search("SelectedBucketsCount: [12] out of 4", plan_of(few))
+    assert [r.query_hash for r in few.collect()] == [r.query_hash for r in asked_for(spark, "p7").collect()]
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", -1)
+    try:
+        many = cache.cache_entries(log, asked_for(spark, *[f"p{i}" for i in range(20, 90)]), 4)
+        plan = plan_of(many)
+        scan = next(i for i, line in enumerate(plan.splitlines()) if "Bucketed: true" in line)
+        depth = plan.splitlines()[scan].index("FileScan")
+        above = [line for line in plan.splitlines()[:scan] if line.find(line.strip(" :+-")) < depth]
+        assert "LeftSemi" in plan and not any("Exchange hash" in line for line in above)
+        assert many.count() == 30
+    finally:
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+
+
+def test_appends_from_elsewhere_are_seen(spark, entries, tmp_path):
+    path = str(tmp_path / "it's a log")
+    stored(spark, entries, path, 5)
+    other = spark.newSession()
+    rows = cache.cache_put(other.createDataFrame([("new", "r", None, LATER, 9)], "prompt string, response string, metadata string, ts timestamp_ntz, seq long"))
+    cache_table.append_cache_log(rows, path)
+    assert cache_table.read_cache_log(spark, path).count() == 6
+    with pytest.raises(ValueError, match="already"):
+        cache_table.compact_cache(rows, path)
+
+
+def test_one_row_clears_all_that_was_written(spark, entries, tmp_path):
+    path = str(tmp_path / "log")
+    log = stored(spark, entries, path, 20)
+    assert cache.cache_clear_range(log).count() == 1
+    cache_table.append_cache_log(cache.cache_clear_range(log, ts=F.lit(EARLY).cast("timestamp_ntz")), path)
+    log = cache_table.read_cache_log(spark, path)
+    assert decoded(log) == {} and cache.cache_get(log, "p7").count() == 0
+    assert cache.cache_entries(log, asked_for(spark, "p1", "p2"), 4).count() == 0
+    again = cache.cache_put(entries(("p3", "same moment", None, EARLY, 1), ("p4", "later", None, LATER, 0)))
+    assert {p: r for p, (r, _, _) in decoded(log.unionByName(again)).items()} == {"p3": "same moment", "p4": "later"}
+    nothing = cache.cache_put(entries())
+    assert decoded(nothing.unionByName(cache.cache_clear_range(nothing))) == {}
+
+
+def test_one_row_clears_what_is_older(spark, entries):
+    log = cache.cache_put(entries(("old", "r", None, EARLY, 0), ("edge", "r", None, LATER, 0), ("edge", "r", None, EARLY, 0)))
+    row = cache.cache_clear_range(log, older_than=F.lit(LATER).cast("timestamp_ntz"))
+    earlier = cache.cache_clear_range(log, older_than=F.lit(EARLY).cast("timestamp_ntz"))
+    assert row.count() == 1
+    assert set(decoded(log.unionByName(row).unionByName(earlier))) == {"edge"}
+    assert set(decoded(log.unionByName(earlier))) == {"old", "edge"}

@@ -401,6 +401,10 @@ def _cache_statements() -> dict[str, str]:
         "cache_lookup": with_ctes(LOG, CURRENT, REQUESTS) + """SELECT event_id, req.prompt, req.query_hash, response, response IS NOT NULL AS cache_hit
   FROM req LEFT JOIN cur USING (query_hash)""",
         "cache_misses": with_ctes(LOG, CURRENT, REQUESTS) + """SELECT DISTINCT query_hash, prompt FROM req
+  WHERE query_hash NOT IN (SELECT query_hash FROM cur)""",
+        "cache_lookup_stored": with_ctes(LOG, CURRENT, REQUESTS) + """SELECT event_id, req.prompt, req.query_hash, response, response IS NOT NULL AS cache_hit
+  FROM req LEFT JOIN cur USING (query_hash)""",
+        "cache_misses_stored": with_ctes(LOG, CURRENT, REQUESTS) + """SELECT DISTINCT query_hash, prompt FROM req
   WHERE query_hash NOT IN (SELECT query_hash FROM cur)""",
         "cache_stats": with_ctes(LOG, CURRENT) + f"""SELECT count(*) AS total_entries, min(ts) AS oldest_entry, max(ts) AS newest_entry,
   CAST(coalesce(sum(length({_b64('prompt')}) + length({_b64('response')})), 0) AS BIGINT) AS total_size_bytes FROM cur""",

@@ -380,6 +380,27 @@ def cache_misses(spark, sf_dir):
     return cache.cache_misses(inputs.cache_requests(spark, sf_dir), current, ["event_id"]).select("query_hash", "prompt")
 
 
+def _stored_log(spark, sf_dir) -> tuple[DataFrame, int]:
+    path = new_table_path(spark, "cache")
+    cache_table.append_cache_log(inputs.cache_log(spark, sf_dir), path)
+    return cache_table.read_cache_log(spark, path), cache_table.bucket_count(spark, path)
+
+
+@query
+def cache_lookup_stored(spark, sf_dir):
+    """The same requests against the log on storage, which is not moved."""
+    log, buckets = _stored_log(spark, sf_dir)
+    requests = inputs.cache_requests(spark, sf_dir)
+    return cache.cache_lookup(requests, cache.cache_entries(log, requests, buckets), ["event_id"])
+
+
+@query
+def cache_misses_stored(spark, sf_dir):
+    log, buckets = _stored_log(spark, sf_dir)
+    requests = inputs.cache_requests(spark, sf_dir)
+    return cache.cache_misses(requests, cache.cache_entries(log, requests, buckets), ["event_id"]).select("query_hash", "prompt")
+
+
 @query
 def cache_stats(spark, sf_dir):
     return cache.cache_stats(cache.cache_current(inputs.cache_log(spark, sf_dir)))
@@ -401,19 +422,20 @@ def cache_invalidate(spark, sf_dir):
 
 @query
 def cache_clear_all(spark, sf_dir):
+    """One row clears everything; the entries before and after are counted."""
     log = inputs.cache_log(spark, sf_dir)
-    removed = cache.cache_clear(cache.cache_current(log), ts=_deleted_at())
-    left = cache.cache_current(log.unionByName(removed))
-    counted = removed.select(F.lit(1).alias("removed")).unionByName(left.select(F.lit(0).alias("removed")))
-    return counted.agg(F.count_if(F.col("removed") == 1).alias("n_removed"), F.count_if(F.col("removed") == 0).alias("n_left"))
+    cleared = cache.cache_current(log.unionByName(cache.cache_clear_range(log, ts=_deleted_at())))
+    both = cache.cache_current(log).select(F.lit(1).alias("before")).unionByName(cleared.select(F.lit(0).alias("before")))
+    before, after = (F.count_if(F.col("before") == x) for x in (1, 0))
+    return both.agg((before - after).alias("n_removed"), after.alias("n_left"))
 
 
 @query
 def cache_clear_older(spark, sf_dir):
+    """One row clears what was written before the cutoff."""
     log = inputs.cache_log(spark, sf_dir)
     cutoff = F.lit("2024-01-28 00:00:00").cast("timestamp_ntz")
-    removed = cache.cache_clear(cache.cache_current(log), older_than=cutoff, ts=_deleted_at())
-    return cache.cache_current(log.unionByName(removed)).select("query_hash", "ts")
+    return cache.cache_current(log.unionByName(cache.cache_clear_range(log, older_than=cutoff))).select("query_hash", "ts")
 
 
 # --- inference ------------------------------------------------------------------------
