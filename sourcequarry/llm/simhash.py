@@ -12,11 +12,6 @@ Every fingerprint meets every other one within reach: nothing is sampled and no
 capped. What it costs grows with the square of the number of different fingerprints, divided by
 what the counts rule out.
 
-``near_duplicates`` links by the distance of fingerprints alone. ``keep_one_of_each`` takes that
-distance for candidates only and links by the exact Jaccard similarity of the sets of shingles:
-equal sets merge first, then pairs that share a least hash are verified, and then all pairs within
-the radius that these have not joined. Sizes of sets take the place of bit counts there.
-
 Defined results: null and empty texts have no words and fingerprint zero, and are linked like
 any other; a text shorter than a shingle is one shingle; rows with equal ids stay separate rows;
 null ids take part, and a component's id is its smallest id that is not null; an empty table
@@ -30,14 +25,14 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame, functions as F, types as T
+from pyspark.sql import Column, DataFrame, functions as F, types as T
 
 from sourcequarry.llm.common import fresh, slices
 from sourcequarry.runtime import materialize
 
 SEED = 42
 #: Fingerprints of a tile, and cells of one comparison.
-TILE, CELLS = 4096, 1 << 21
+TILE, CELLS = 2048, 1 << 21
 
 _LOWER = bytes(c + 32 if 0x41 <= c <= 0x5A else c for c in range(256))
 
@@ -120,14 +115,11 @@ def components(prints: DataFrame, radius: int, bits: int = 64, id: str = "doc_id
 
 
 def near_duplicates(
-    docs: DataFrame, n_words: int = 5, bits: int = 256, radius: int = 52, id: str = "doc_id", text: str = "text",  # noqa: A002
-    repeats: bool = False,
+    docs: DataFrame, n_words: int = 3, bits: int = 64, radius: int = 2, id: str = "doc_id", text: str = "text",  # noqa: A002
+    repeats: bool = True,
 ) -> DataFrame:
-    """``docs`` without their text, with ``fingerprint`` and ``component_id``.
-
-    As defaults five-word shingles and fingerprints that agree in at least four fifths of 256
-    bits, which is a cosine similarity of 0.8 as SimHash estimates it. A shingle counts once
-    however often it is repeated, else a line that two texts repeat would outweigh the rest."""
+    """``docs`` without their text, with ``fingerprint`` and ``component_id``. Without ``repeats``
+    a shingle counts once however often it occurs."""
     prints = materialize(fingerprints(docs, n_words, bits, text, repeats=repeats), "prints")
     found = components(prints, radius, bits, id).select("fingerprint", "component_id")
     kept = [c for c in prints.columns if c not in ("fingerprint_high", "fingerprint_low", "component_id")]
@@ -135,151 +127,23 @@ def near_duplicates(
 
 
 def keep_one_of_each(
-    docs: DataFrame, n_words: int = 5, bits: int = 256, radius: int = 64, id: str = "doc_id", text: str = "text",  # noqa: A002
-    similarity: float = 0.8,
+    docs: DataFrame, n_words: int = 3, bits: int = 64, radius: int = 2, id: str = "doc_id", text: str = "text", repeats: bool = True,  # noqa: A002
 ) -> DataFrame:
-    """One row of each component stays, that with the smallest id, with all its columns.
-
-    Texts are linked whose sets of word shingles have that Jaccard similarity or more: SimHash
-    finds the pairs, their sets decide. Only ids and hashes take part in the choice; whole texts
-    move to be compared, if they are near any other, and to the survivors."""
-    hashed, = fresh(docs, "text_hash")
-    docs = docs.withColumn(hashed, F.xxhash64(F.coalesce(F.col(text), F.lit(""))))
-    rows = docs.select(F.col(id).alias("id"), F.col(hashed).alias("hash"), F.col(text).alias("text"))
-    prints = materialize(_sets(rows, n_words, bits), "prints")
-    at = F.min(F.struct(F.col("id").isNull(), "id", "hash"))
-    nodes = materialize(
-        prints.groupBy("node").agg(F.first("n").alias("n"), F.first("print").alias("print"), F.first("least").alias("least"), at.alias("at")), "nodes")
-    stars = _similar(materialize(_stars(nodes, radius, bits, similarity), "stars"), nodes, rows, n_words, similarity)
-    found = connect(materialize(stars, "similar"))
-    rooted = materialize(nodes.join(found, "node", "left").withColumn("root", F.coalesce("root", "node")), "rooted")
-    pairs = materialize(_pairs(rooted, radius, bits, similarity), "pairs")
-    edges = _similar(pairs, nodes, rows, n_words, similarity).unionByName(
-        rooted.where("node <> root").select(F.col("node").alias("u"), F.col("root").alias("v")))
-    found = connect(materialize(edges, "similar"))
-    chosen = nodes.join(found, "node", "left").groupBy(F.coalesce("root", "node").alias("root")).agg(
-        F.min("at").alias("best")).select("best.id", "best.hash")
-    same = docs[id].eqNullSafe(chosen["id"]) & (docs[hashed] == chosen["hash"])
-    return docs.join(chosen, same, "left_semi").dropDuplicates([id, hashed]).drop(hashed)
-
-
-# --- similar sets ----------------------------------------------------------------------------
-
-def _sets(rows: DataFrame, n_words: int, bits: int) -> DataFrame:
-    """id and hash of every row with node (a digest of its set of shingles), n (their number),
-    print and least (the least of each word of the mixed hashes, by which stars are found)."""
-    kept = [rows.schema["id"], rows.schema["hash"]]
-    schema = T.StructType([*kept, T.StructField("node", T.BinaryType()), T.StructField("n", T.LongType()),
-                           T.StructField("print", T.BinaryType()), T.StructField("least", T.ArrayType(T.LongType()))])
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            out = []
-            for text in batch.column("text"):
-                hashes = np.unique(shingle_hashes(text.as_py(), n_words))
-                least = _wide(hashes, bits).min(0).astype(np.int64).tolist() if len(hashes) else []
-                out.append((xxhash.xxh3_128_digest(hashes.tobytes()), len(hashes), fingerprint(hashes, bits), least))
-            kinds = [pa.binary(), pa.int64(), pa.binary(), pa.list_(pa.int64())]
-            yield pa.record_batch([*batch.columns[:2], *[pa.array([r[i] for r in out], k) for i, k in enumerate(kinds)]], names=schema.names)
-
-    return rows.select("id", "hash", "text").mapInArrow(run, schema)
-
-
-def _stars(nodes: DataFrame, radius: int, bits: int, similarity: float) -> DataFrame:
-    """Pairs of a node and the first one with an equal least hash. They join a large group of near
-    copies with few pairs, so that ``_pairs`` need not list all of its own."""
-    spread = nodes.select("node", "n", "print", F.posexplode("least").alias("i", "key"))
-    first = spread.groupBy("i", "key").agg(F.min(F.struct("node", "n", "print")).alias("first"), F.count(F.lit(1)).alias("many")).where("many > 1")
-    met = spread.join(first, ["i", "key"]).where(F.col("node") != F.col("first.node"))
-    met = met.where(F.least("n", "first.n") >= F.greatest("n", "first.n") * similarity)
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            a, b = (np.frombuffer(b"".join(batch.column(c).to_pylist()), "<u8").reshape(-1, bits // 64) for c in ("a", "b"))
-            near = np.bitwise_count(a ^ b).sum(1, dtype=np.int64) <= radius
-            yield batch.select(["u", "v"]).filter(pa.array(near))
-
-    return met.select(F.col("node").alias("u"), F.col("first.node").alias("v"), F.col("print").alias("a"), F.col("first.print").alias("b")).mapInArrow(
-        run, "u binary, v binary").distinct()
-
-
-def _pairs(rooted: DataFrame, radius: int, bits: int, similarity: float) -> DataFrame:
-    """All pairs (u, v) of nodes of different roots within the radius whose sets, by their sizes,
-    can be similar enough. Tiles hold nodes of about one size, and meet only those of the next."""
-    width = -math.log(similarity) * (1 + 1e-9)
-    record = F.concat("print", F.unhex(F.lpad(F.hex("n"), 16, "0")), "node", "root")
-    classed = rooted.where("n > 0").select(F.floor(F.log("n") / width).cast("int").alias("x"), "node", record.alias("print"))
-    sizes = materialize(classed.groupBy("x").agg(F.count(F.lit(1)).alias("many")), "class-sizes")
-    dealt = classed.join(sizes, "x").select(
-        "x", F.lit(0).alias("y"), F.pmod(F.xxhash64("node"), F.ceil(F.col("many") / TILE)).cast("int").alias("part"), "print")
-    tiles = materialize(dealt.repartition("x", "part").sortWithinPartitions("x", "part").mapInArrow(_pack, _TILES), "tiles")
-    salts = max(1, math.isqrt(tiles.count()))
-    left = (
-        tiles.select("x", F.col("tile").alias("tile_a"), F.col("prints").alias("prints_a"), F.explode(F.array(F.lit(0), F.lit(1))).alias("step"))
-        .select((F.col("x") + F.col("step")).alias("x"), "tile_a", "prints_a", (F.col("step") == 0).alias("own"))
-        .join(sizes.select("x"), "x", "left_semi")
-        .withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(salts - 1)))))
-    right = tiles.select("x", F.col("tile").alias("tile_b"), F.col("prints").alias("prints_b"),
-                         F.pmod(F.xxhash64("tile"), F.lit(salts)).cast("int").alias("salt"))
-    pairs = left.join(right, ["x", "salt"]).where(~F.col("own") | (F.col("tile_a") <= F.col("tile_b")))
-    pairs = pairs.select("prints_a", "prints_b", (F.col("tile_a") == F.col("tile_b")).alias("same"))
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for a, b, same in zip(*batch.columns, strict=True):
-                for u, v in _tile_pairs(a.as_py(), b.as_py(), same.as_py(), radius, bits, similarity):
-                    yield pa.record_batch([pa.array(u, pa.binary()), pa.array(v, pa.binary())], names=["u", "v"])
-
-    return pairs.mapInArrow(run, "u binary, v binary")
-
-
-def _tile_pairs(a: bytes, b: bytes, same: bool, radius: int, bits: int, similarity: float) -> Iterator[tuple[list, list]]:
-    """The pairs between two tiles, or within one, in runs."""
-    kind = np.dtype([("print", "<u8", (bits // 64,)), ("n", ">i8"), ("node", "V16"), ("root", "V16")])
-    left, right = (x[np.argsort(x["n"], kind="stable")] for x in (np.frombuffer(t, kind) for t in (a, b)))
-    n_left, n_right = (x["n"].astype(np.int64) for x in (left, right))
-    words = [np.ascontiguousarray(right["print"][:, w]) for w in range(bits // 64)]
-    step = max(1, min(256, CELLS // len(right)))
-    for start in range(0, len(left), step):
-        part = left[start:start + step]
-        of_part = n_left[start:start + step]
-        low = np.searchsorted(n_right * (1 + 1e-9), of_part[0] * similarity)
-        high = np.searchsorted(n_right * similarity, of_part[-1] * (1 + 1e-9), side="right")
-        low = max(low, start) if same else low
-        if low >= high:
-            continue
-        distance = np.zeros((len(part), high - low), np.uint16)
-        for w, word in enumerate(words):
-            distance += np.bitwise_count(part["print"][:, w, None] ^ word[None, low:high])
-        row, column = np.nonzero(distance <= radius)
-        column += low
-        fits = np.minimum(of_part[row], n_right[column]) >= np.maximum(of_part[row], n_right[column]) * similarity * (1 - 1e-9)
-        if same:
-            fits &= column > row + start
-        row, column = row[fits], column[fits]
-        apart = part["root"][row] != right["root"][column]
-        if apart.any():
-            yield [x.tobytes() for x in part["node"][row[apart]]], [x.tobytes() for x in right["node"][column[apart]]]
-
-
-def _similar(pairs: DataFrame, nodes: DataFrame, rows: DataFrame, n_words: int, similarity: float) -> DataFrame:
-    """Those of the stored pairs whose sets of shingles are as similar as that, by the sets."""
-    ends = pairs.select(F.col("u").alias("node")).union(pairs.select("v")).distinct()
-    wanted = nodes.join(ends, "node", "left_semi").select("node", F.col("at.id").alias("of_id"), F.col("at.hash").alias("of_hash"))
-    met = rows.join(wanted, rows["id"].eqNullSafe(wanted["of_id"]) & (rows["hash"] == wanted["of_hash"]))
-    met = met.select("node", "text").dropDuplicates(["node"])
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for part in slices(batch):
-                sets = [np.unique(shingle_hashes(t.as_py(), n_words)).view(np.int64) for t in part.column("text")]
-                yield pa.record_batch([part.column("node"), pa.array(sets, pa.list_(pa.int64()))], names=["node", "shingles"])
-
-    sets = materialize(met.mapInArrow(run, "node binary, shingles array<bigint>"), "sets")
-    both = pairs.join(sets.select(F.col("node").alias("u"), F.col("shingles").alias("a")), "u").join(
-        sets.select(F.col("node").alias("v"), F.col("shingles").alias("b")), "v")
-    shared = F.size(F.array_intersect("a", "b"))
-    return both.where(shared / (F.size("a") + F.size("b") - shared) >= similarity).select("u", "v")
+    """One row of each component stays, that with the smallest id (null last, then by the text's
+    hash), with all its columns. Only ids and hashes take part in the choice; whole texts move
+    once, to meet the chosen ids, and rows alike in id and text are told there."""
+    key, hashed = fresh(docs, "row_key", "text_hash")
+    docs = docs.withColumns({
+        key: F.when(F.col(id).isNull(), F.lit("")).otherwise(F.concat(F.lit("="), F.col(id).cast("string"))),
+        hashed: F.xxhash64(F.coalesce(F.col(text), F.lit("")))})
+    rows = docs.select(F.col(id).alias("id"), F.col(key).alias("key"), F.col(hashed).alias("hash"), F.col(text).alias("text"))
+    prints = materialize(fingerprints(rows, n_words, bits, repeats=repeats), "prints")
+    found = components(prints, radius, bits, "id").select("fingerprint", "root")
+    first = F.min(F.struct(F.col("id").isNull(), "id", "key", "hash")).alias("best")
+    each = prints.groupBy("fingerprint").agg(first)
+    chosen = each.join(found, "fingerprint").groupBy("root").agg(F.min("best").alias("best")).select(
+        F.col("best.key").alias(key), F.col("best.hash").alias(hashed))
+    return docs.join(chosen, [key, hashed], "left_semi").dropDuplicates([key, hashed]).drop(key, hashed)
 
 
 # --- links -----------------------------------------------------------------------------------
@@ -293,7 +157,7 @@ def links(different: DataFrame, radius: int, bits: int) -> DataFrame:
         "x", "y", F.pmod(F.xxhash64("print"), F.ceil(F.col("n") / TILE)).cast("int").alias("part"), "print")
     tiles = materialize(
         dealt.repartition("x", "y", "part").sortWithinPartitions("x", "y", "part").mapInArrow(_pack, _TILES), "tiles")
-    salts = max(1, math.isqrt(tiles.count()))
+    salts = max(1, math.isqrt(tiles.count()))  # the pairs of a class are dealt to a grid of salts
     steps = [(0, 0), (0, 1), (1, -1), (1, 0), (1, 1)]  # half of the neighbours: each pair of tiles once
     near = F.explode(F.array(*[F.struct(F.lit(a).alias("a"), F.lit(b).alias("b")) for a, b in steps]))
     left = (
@@ -301,10 +165,10 @@ def links(different: DataFrame, radius: int, bits: int) -> DataFrame:
         .select((F.col("x") + F.col("step.a")).alias("x"), (F.col("y") + F.col("step.b")).alias("y"), "tile_a", "prints_a",
                 ((F.col("step.a") == 0) & (F.col("step.b") == 0)).alias("own"))
         .join(sizes.select("x", "y"), ["x", "y"], "left_semi")  # neighbours that hold anything
-        .withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(salts - 1)))))
-    right = tiles.select("x", "y", F.col("tile").alias("tile_b"), F.col("prints").alias("prints_b"),
-                         F.pmod(F.xxhash64("tile"), F.lit(salts)).cast("int").alias("salt"))
-    pairs = left.join(right, ["x", "y", "salt"]).where(~F.col("own") | (F.col("tile_a") <= F.col("tile_b")))
+        .withColumns({"row": _salt("tile_a", salts), "column": F.explode(F.sequence(F.lit(0), F.lit(salts - 1)))}))
+    right = tiles.select("x", "y", F.col("tile").alias("tile_b"), F.col("prints").alias("prints_b"), _salt("tile", salts).alias("column"),
+                         F.explode(F.sequence(F.lit(0), F.lit(salts - 1))).alias("row"))
+    pairs = left.join(right, ["x", "y", "row", "column"]).where(~F.col("own") | (F.col("tile_a") <= F.col("tile_b")))
     pairs = pairs.select("prints_a", "prints_b", (F.col("own") & (F.col("tile_a") == F.col("tile_b"))).alias("same"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -319,6 +183,10 @@ def links(different: DataFrame, radius: int, bits: int) -> DataFrame:
 _TILES = "x int, y int, tile string, prints binary"
 
 
+def _salt(tile: str, salts: int) -> Column:
+    return F.pmod(F.xxhash64(tile), F.lit(salts)).cast("int")
+
+
 def _pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Rows in order of (x, y, part) as tiles: one for each part, more where it came out large."""
     key, held = None, []

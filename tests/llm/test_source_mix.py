@@ -1,0 +1,82 @@
+"""Mixes against a plain walk through all queues."""
+
+import hashlib
+import math
+
+import pytest
+
+from sourcequarry.llm import source_mix
+
+
+def brute(docs, weights, share, most_times, piece=source_mix.PIECE):
+    """(id, key, size, source) rows -> {row: (source_size, target, taken)}."""
+    sizes = {}
+    for _, _, size, source in docs:
+        sizes[source] = sizes.get(source, 0) + (size or 0)
+    names = sorted(sizes, key=lambda s: (s is None, (s or "").encode()))
+    weight = {s: weights[i % len(weights)] for i, s in enumerate(names)}
+    total = sum(sizes.values())
+    open_, targets, left = {s for s in names if sizes[s]}, dict.fromkeys(names, 0.0), total * share
+    while open_:
+        level = left / sum(weight[s] for s in open_)
+        full = {s for s in open_ if weight[s] * level >= most_times * sizes[s]}
+        if not full:
+            targets |= {s: weight[s] * level for s in open_}
+            break
+        targets |= {s: float(most_times * sizes[s]) for s in full}
+        left -= sum(most_times * sizes[s] for s in full)
+        open_ -= full
+    pieces = []
+    for number, s in enumerate(names, 1):
+        served = 0
+        for round_ in range(math.ceil(targets[s] / sizes[s]) if sizes[s] else 0):
+            own = [(hashlib.md5(f"{round_}:0:{'' if i is None else i}:{k}".encode()).hexdigest(), r) for r, (i, k, size, src) in enumerate(docs) if src == s and size]
+            for _, r in sorted(own):
+                for begin in range(0, docs[r][2], piece):
+                    words = min(piece, docs[r][2] - begin)
+                    served += words
+                    pieces.append((served / targets[s], number, served, words, r))
+    taken, left = [0] * len(docs), int(total * share)
+    for *_, words, r in sorted(pieces):
+        taken[r] += min(words, left)
+        left -= min(words, left)
+    return [(sizes[src], targets[src], t) for (_, _, _, src), t in zip(docs, taken)]
+
+
+DOCS = (
+    [(i, f"k{i}", 40 + i * 37 % 300, "big") for i in range(60)] + [(100 + i, f"k{i}", 30, "mid") for i in range(20)]
+    + [(200, "huge", 5000, "long"), (201, "k", 10, "long"), (202, "k", 3, None), (203, "k", None, "void"), (204, "k", 0, "big"), (None, "x", 7, "mid")]
+    + [(205, "k", 64, "Ünder"), (206, "k", 64, "\U0001f9ed")])
+
+
+@pytest.mark.parametrize("ranges", [1, 7])
+def test_mix_equals_brute_force(spark, ranges):
+    spark.conf.set("spark.sql.shuffle.partitions", ranges)
+    try:
+        docs = spark.createDataFrame(DOCS, "doc_id long, key string, size long, source string")
+        docs = docs.selectExpr("*", "1 AS row", "2 AS number", "3 AS taken", "4 AS `odd.name`")
+        got = source_mix.mix_sources(docs, [5, 2, 1], 1.5, 2, ["doc_id", "key"])
+        assert got.columns == ["doc_id", "key", "size", "source", "row", "number", "odd.name", "source_size", "target", "taken"]
+        rows = got.collect()
+    finally:
+        spark.conf.set("spark.sql.shuffle.partitions", 4)
+    found = {(r["doc_id"], r["key"]): (r["source_size"], r["target"], r["taken"]) for r in rows}
+    want = {(d, k): v for (d, k, _, _), v in zip(DOCS, brute(DOCS, [5, 2, 1], 1.5, 2))}
+    assert len(rows) == len(DOCS) and set(found) == set(want)
+    for at, (size, target, taken) in want.items():
+        assert found[at][0] == size and found[at][1] == pytest.approx(target) and found[at][2] == taken
+    assert sum(v[2] for v in found.values()) == sum(d[2] or 0 for d in DOCS) * 3 // 2
+    for source in {d[3] for d in DOCS}:
+        own = [found[d[0], d[1]] for d in DOCS if d[3] == source]
+        assert abs(sum(v[2] for v in own) - own[0][1]) <= source_mix.PIECE
+    assert all(v[2] <= 2 * (s or 0) for (d, k, s, _), v in zip(DOCS, (found[d[0], d[1]] for d in DOCS)))
+
+
+def test_repeated_rows_and_nothing_to_mix(spark):
+    schema = "doc_id long, key string, size long, source string"
+    same = spark.createDataFrame([(1, "k", 10, "s")] * 4, schema)
+    rows = source_mix.mix_sources(same, [1], 1.5, 2, ["doc_id", "key"]).collect()
+    assert sorted(r["taken"] for r in rows) == [10, 10, 20, 20]
+    for nothing in (same.limit(0), spark.createDataFrame([(1, "k", None, None), (2, "k", 0, "s")], schema)):
+        rows = source_mix.mix_sources(nothing, [5, 2, 1], 1.5, 2, ["doc_id", "key"]).collect()
+        assert len(rows) == nothing.count() and all((r["target"], r["taken"]) == (0.0, 0) for r in rows)
