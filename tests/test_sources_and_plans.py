@@ -1,11 +1,11 @@
 """Reading files, joins across files, and the shape of plans."""
 
 import pytest
-from pyspark.sql import functions as F
+from pyspark.sql import datasource, functions as F
 
 from sourcequarry.operators import extract, prompts, rollups, skew, views
 from sourcequarry.runtime import work_dir
-from sourcequarry.sources import files as file_source
+from sourcequarry.sources import files as file_source, folder
 from workload import inputs
 
 SF = "/root/testdata/sf0.001"
@@ -34,6 +34,58 @@ def test_scanning_a_folder(spark, tmp_path):
     assert "content" not in plan(listed).split("ReadSchema")[-1]
 
 
+@pytest.fixture
+def many_files(tmp_path):
+    for i in range(300):
+        path = tmp_path / "root" / f"r{i % 3}" / f"d{i % 20}" / f"{'.' * (i % 7 == 0)}f{i}{('.py', '.txt')[i % 5 == 0]}"
+        path.parent.mkdir(parents=True, exist_ok=True)
+        path.write_text("x" * (i * 40))
+    return str(tmp_path / "root")
+
+
+def test_folder_tasks_hold_about_equal_bytes(spark, many_files):
+    rows = folder.read_folder(spark, many_files, suffix=".py", part_bytes=1 << 20)
+    sizes = {r.p: r.s for r in rows.groupBy(F.spark_partition_id().alias("p")).agg(F.sum(F.length("content") + folder.OPENING).alias("s")).collect()}
+    assert len(sizes) > 4 and max(sizes.values()) <= 1 << 20 and sorted(sizes.values())[1] > (1 << 20) * 0.9
+    assert rows.count() == 240 and folder.read_folder(spark, many_files).rdd.getNumPartitions() == 1
+
+
+@pytest.mark.parametrize("list_limit", [1, 30, 1_000_000])
+def test_folders_beyond_the_limit_are_walked_by_tasks(spark, many_files, list_limit):
+    rows = folder.read_folder(spark, many_files, list_limit=list_limit)
+    assert rows.count() == rows.distinct().count() == 300
+    listed = folder.read_folder(spark, many_files, content=False, list_limit=list_limit)
+    assert {tuple(r) for r in listed.collect()} == {(r.repo_id, r.rel_path) for r in rows.collect()}
+
+
+def test_listing_opens_no_file(spark, many_files, monkeypatch):
+    reader = folder.FolderReader(["repo_id", "rel_path"], {"path": many_files})
+    monkeypatch.setattr(folder, "_text", None)  # would fail
+    assert sum(b.num_rows for part in reader.partitions() for b in reader.read(part)) == 300
+    assert spark.read.format(folder.FORMAT).schema("rel_path string").load(many_files).columns == ["rel_path"]
+
+
+def test_name_filters_reach_the_listing(spark, many_files):
+    spark.conf.set("spark.sql.python.filterPushdown.enabled", True)
+    try:
+        rows = file_source.list_files(spark, many_files).where("repo_id IN ('r1', 'r2') AND rel_path LIKE '%3.py' AND rel_path NOT LIKE 'd1/%'")
+        found = {(r.repo_id, r.rel_path) for r in rows.collect()}
+        shown = plan(rows)
+    finally:
+        spark.conf.unset("spark.sql.python.filterPushdown.enabled")
+    assert found == {(r.repo_id, r.rel_path) for r in file_source.list_files(spark, many_files).collect()
+                     if r.repo_id != "r0" and r.rel_path.endswith("3.py") and not r.rel_path.startswith("d1/")}
+    assert found and "IN (r1,r2)" not in shown.split("BatchScan")[0]
+    reader = folder.FilteringReader(["repo_id", "rel_path"], {"path": many_files})
+    odd = datasource.GreaterThan(("rel_path",), "d3")
+    assert list(reader.pushFilters([datasource.EqualTo(("repo_id",), "r1"), odd, datasource.StringEndsWith(("rel_path",), ".txt")])) == [odd]
+    assert sum(len(p.files) for p in reader.partitions()) == 20
+
+
+def test_an_empty_folder_has_no_files(spark, tmp_path):
+    assert file_source.scan_source_files(spark, str(tmp_path)).count() == 0
+
+
 def test_tables_are_read_with_universal_newlines(spark, tmp_path):
     spark.createDataFrame([("r", "a.py", "x\r\ny\rz\n"), ("r", "b.py", None)], "repo_id string, rel_path string, content string").write.parquet(
         f"{tmp_path}/t")

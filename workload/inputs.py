@@ -74,6 +74,28 @@ def source_files(spark: SparkSession, sf_dir: str, broken: bool = False) -> Data
     )
 
 
+def source_folder(spark: SparkSession, sf_dir: str, root: str) -> None:
+    """The same modules as files below ``root``, a folder for each repository."""
+    def write(batches):
+        import pyarrow as pa
+        import pyarrow.fs
+
+        store, base = pyarrow.fs.FileSystem.from_uri(root)
+        made, n = set(), 0
+        for batch in batches:
+            for repo, path, content in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+                folder = f"{base}/{repo}/{path}".rpartition("/")[0]
+                if folder not in made:
+                    store.create_dir(folder, recursive=True)
+                    made.add(folder)
+                with store.open_output_stream(f"{base}/{repo}/{path}", compression=None) as file:
+                    file.write(content.encode())
+                n += 1
+        yield pa.record_batch([pa.array([n], pa.int64())], names=["n"])
+
+    source_files(spark, sf_dir).mapInArrow(write, "n long").agg(F.sum("n")).collect()
+
+
 def cache_log(spark: SparkSession, sf_dir: str) -> DataFrame:
     """One cache write per event: few prompts, written again and again."""
     events = table(spark, sf_dir, "events").select(

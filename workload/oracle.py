@@ -267,6 +267,8 @@ def _source_statements() -> dict[str, str]:
     statements = {
         "scan_source_files": with_ctes(src) + f"SELECT {on}, md5({CODE}) AS content_md5, length({CODE}) AS n_chars FROM src",
         "list_files": with_ctes(src) + f"SELECT {on} FROM src",
+        "scan_folder": with_ctes(src) + f"SELECT {on}, md5({CODE}) AS content_md5, length({CODE}) AS n_chars FROM src",
+        "list_folder": with_ctes(src) + f"SELECT {on} FROM src",
         "eligible_files": with_ctes(src) + f"""SELECT repo_id, 'd' || (k // 100) || '/' || {prefixed} || 'o' || k || '.py' AS rel_path
   FROM src WHERE k % 10 NOT IN (0, 1)""",
         "relative_path": with_ctes(src) + f"""SELECT path, CASE WHEN starts_with(path, '/srv/code/') THEN substring(path, 11) ELSE path END AS rel_path

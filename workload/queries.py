@@ -60,6 +60,22 @@ def list_files(spark, sf_dir):
     return _stored_files(spark, sf_dir).select(*FILE)
 
 
+@query
+def scan_folder(spark, sf_dir):
+    """The source files as the loader reads them from a folder of files."""
+    root = new_table_path(spark, "source-folder")
+    inputs.source_folder(spark, sf_dir, root)
+    return file_source.scan_source_files(spark, root).select(
+        *FILE, F.md5("content").alias("content_md5"), F.length("content").cast("long").alias("n_chars"))
+
+
+@query
+def list_folder(spark, sf_dir):
+    root = new_table_path(spark, "source-folder")
+    inputs.source_folder(spark, sf_dir, root)
+    return file_source.list_files(spark, root).select(*FILE)
+
+
 @query
 def eligible_files(spark, sf_dir):
     """File names get prefixes by the last digit of their key, so some are not eligible."""
