@@ -357,6 +357,11 @@ def _source_statements() -> dict[str, str]:
         "save_report": with_ctes(src) + f"""SELECT {on}, md5({CODE}) AS code_md5, 'classes|functions|imports|path|raw_code' AS keys,
   array_to_string(list_sort(list_distinct(list_transform(range(1, n + 1), lambda i: 'step_' || ((i * c) % 3)))), '|') AS functions,
   'Order' || k AS classes, '["os","' || imp1 || '","' || imp2 || '"]' AS direct_imports FROM src""",
+        "answered_reports": with_ctes(src) + f"""SELECT {on}, path || name AS prompt, substring(md5(path || name), 1, 8) AS module_analysis,
+  CASE WHEN one THEN path || 'step_1' END AS step_prompt, CASE WHEN one THEN substring(md5(path || 'step_1'), 1, 8) END AS step_analysis,
+  CASE WHEN one THEN 'short' END AS step_summary, len(steps) + 2 AS n_functions, CAST(1 AS BIGINT) AS n_classes
+  FROM (SELECT {on}, repo_id || '/' || rel_path || '/' AS path, 'o' || k || '.py' AS name, list_contains(steps, 1) AS one, steps
+    FROM (SELECT *, list_distinct(list_transform(range(1, n + 1), lambda i: (i * c) % 3)) AS steps FROM src))""",
         "format_list": with_ctes(*fct, SHOWN) + f"SELECT {on}, scope, calls, reads_from AS reads FROM shw",
         "format_dict": with_ctes(*fct, SHOWN) + f"""SELECT {on}, scope,
   CASE WHEN starts_with(scope, 'step_') THEN 'qty: float, return: int' ELSE 'None' END AS type_hints FROM shw""",

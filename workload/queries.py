@@ -527,9 +527,9 @@ def compact_report(spark, sf_dir):
 @query
 def save_report(spark, sf_dir):
     """Whole reports, written as JSON lines and read back."""
-    facts = materialize(_facts(spark, sf_dir, "entities", "scopes", "imports", with_source=True), "facts")
+    facts = _facts(spark, sf_dir, "entities", "scopes", "imports", with_source=True)
     path = new_table_path(spark, "report")
-    report_files.save_reports(report.module_reports(facts, report.report_entities(facts)), path)
+    report_files.save_reports(report.file_reports(facts), path)
     line = spark.read.text(path)
     at = lambda p: F.get_json_object("value", p)
     return line.select(
@@ -542,6 +542,25 @@ def save_report(spark, sf_dir):
     )
 
 
+@query
+def answered_reports(spark, sf_dir):
+    """Reports with stub answers for modules and functions, which come to their files in one join."""
+    facts = materialize(_facts(spark, sf_dir, "entities", "scopes", "imports", with_source=True), "facts")
+    none = F.lit(None).cast("string")
+    modules = facts.select(*FILE, F.lit("module").alias("entity_type"), none.alias("owner_qualname"), text.file_name("rel_path").alias("name"))
+    entity_rows = views.entities(facts).select(*FILE, "entity_type", "owner_qualname", "name")
+    asked = modules.unionByName(entity_rows).withColumn("prompt", F.concat_ws("/", *FILE, "name"))
+    said = asked.where(F.col("entity_type").isin("module", "function")).drop("prompt").withColumns(
+        {"initial_analysis": text.short_hash(F.concat_ws("/", *FILE, "name")), "summary": F.lit("short")})
+    reports = report.file_reports(facts, report.nested_answers(asked, said))
+    at = lambda p: F.get_json_object("report", p)
+    return reports.select(
+        *FILE, at("$.prompt").alias("prompt"), at("$.llm_analysis.initial_analysis").alias("module_analysis"),
+        at("$.functions.step_1.prompt").alias("step_prompt"), at("$.functions.step_1.llm_analysis.initial_analysis").alias("step_analysis"),
+        at("$.functions.step_1.llm_analysis.summary").alias("step_summary"),
+        F.col("n_functions").cast("long").alias("n_functions"), F.col("n_classes").cast("long").alias("n_classes"))
+
+
 # --- text functions -------------------------------------------------------------------
 
 def _documents(spark, sf_dir, **columns: Column) -> DataFrame:
