@@ -14,7 +14,7 @@ are not stored.
 Defined results: a null payload is empty; a null url gives a record without a target; of rows
 with the same page id and equal payloads each is a response; a row without page id is a revisit
 only if a row with one has its payload; an archive with too few records to build a dictionary
-from has none; an empty table gives no archive; other columns of the input are not archived.
+from has the records themselves as one; an empty table gives no archive; other columns of the input are not archived.
 """
 
 import hashlib
@@ -158,11 +158,11 @@ class _Archive:
         samples = [r[:64 << 10] for r in self.waiting]
         try:
             dictionary = zstandard.train_dictionary(DICTIONARY_BYTES, samples)
-            data = dictionary.as_bytes()
-            self._write(struct.pack("<II", SKIPPABLE, len(data)) + data)
-            self.compressor = zstandard.ZstdCompressor(level=LEVEL, dict_data=dictionary, write_content_size=True)
-        except zstandard.ZstdError:  # too few records to build one from
-            self.compressor = zstandard.ZstdCompressor(level=LEVEL, write_content_size=True)
+        except zstandard.ZstdError:  # too few records to build statistics from: their text is the dictionary
+            dictionary = zstandard.ZstdCompressionDict(b"".join(samples)[:DICTIONARY_BYTES], dict_type=zstandard.DICT_TYPE_RAWCONTENT)
+        data = dictionary.as_bytes()
+        self._write(struct.pack("<II", SKIPPABLE, len(data)) + data)
+        self.compressor = zstandard.ZstdCompressor(level=LEVEL, dict_data=dictionary, write_content_size=True)
         for record in self.waiting:
             self._write(self.compressor.compress(record))
         self.waiting = []

@@ -38,6 +38,19 @@ def test_dictionary_frame_comes_first_and_records_stand_alone(spark, tmp_path):
     assert first.startswith(b"WARC/1.1\r\nWARC-Type: response") and first.endswith(b"\r\n\r\n") and first.count(b"WARC/1.1") == 1
 
 
+def test_small_archives_have_a_dictionary_too(spark, tmp_path):
+    for n in (1, 5):
+        rows = [(i, "u", f"<html><head><title>Page {i}</title></head><body>{'word ' * 30}{i}</body></html>") for i in range(n)]
+        pages = spark.createDataFrame(rows, "page_id long, url string, html string")
+        archives = warc.write_archives(warc.plan_records(pages).coalesce(1), f"{tmp_path}/{n}")
+        data = open(archives.first()["archive"], "rb").read()
+        magic, size = struct.unpack("<II", data[:8])
+        assert magic == 0x184D2A5D and size > 100
+        one = zstandard.ZstdDecompressor(dict_data=zstandard.ZstdCompressionDict(data[8:8 + size])).decompress(data[8 + size:])
+        assert one.startswith(b"WARC/1.1\r\nWARC-Type: response") and one.count(b"WARC/1.1") == 1
+        assert sorted((r["page_id"], bytes(r["payload"]).decode()) for r in warc.read_archives(archives).collect()) == [(i, t) for i, _, t in rows]
+
+
 def test_empty_table(spark):
     pages = spark.createDataFrame([], "page_id long, url string, html string")
     assert warc.read_archives(warc.write_archives(warc.plan_records(pages))).count() == 0
