@@ -14,15 +14,15 @@ def _more(edits: str, cost: str, edit: str) -> str:
 STATEMENTS = {
     "op3_top_k": """
 WITH v AS (
-    SELECT vec_id, [floor(64 * x::DOUBLE)::BIGINT for x in embedding] AS x FROM embeddings
+    SELECT row_number() OVER () AS r, vec_id, [floor(64 * x::DOUBLE)::BIGINT for x in embedding] AS x FROM embeddings
     WHERE embedding IS NOT NULL AND len([x for x in embedding if x IS NULL OR NOT isfinite(x)]) = 0
 ),
-part AS (SELECT vec_id, unnest(x) AS x, generate_subscripts(x, 1) AS i FROM v),
+part AS (SELECT r, vec_id, unnest(x) AS x, generate_subscripts(x, 1) AS i FROM v),
 score AS (
-    SELECT q.vec_id AS query_id, c.vec_id, sum(q.x * c.x)::BIGINT AS score
-    FROM part q JOIN part c ON q.i = c.i WHERE q.vec_id % 20 = 0 AND q.vec_id <> c.vec_id GROUP BY ALL
+    SELECT q.r AS query_row, c.r, q.vec_id AS query_id, c.vec_id, sum(q.x * c.x)::BIGINT AS score
+    FROM part q JOIN part c ON q.i = c.i WHERE q.vec_id % 20 = 0 AND q.r <> c.r GROUP BY ALL
 ),
-ranked AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id)::INTEGER AS rank FROM score)
+ranked AS (SELECT *, row_number() OVER (PARTITION BY query_row ORDER BY score DESC, vec_id)::INTEGER AS rank FROM score)
 SELECT query_id, rank, vec_id, score FROM ranked WHERE rank <= 20
 """,
     "op6_chat": f"""

@@ -8,12 +8,12 @@ score, then reads exact vectors in the order of their upper bounds until the nex
 the k-th exact score, which then is certain. What is known of the k-th score goes on from block
 to block of a strip; the strips of a query are merged by score.
 
-Blocks and strips are dealt by a hash of the id, so equal or close vectors spread evenly, and
+Blocks and strips are dealt by a hash of the row's number, so equal or close vectors spread evenly, and
 every group has a size that does not depend on the table.
 
 Defined results: vectors that are null or hold a null or a component that is not finite take no
-part, nor do rows without an id; of rows with the same id the least vector counts; shorter
-vectors end in zeros; equal scores are ranked by smaller id; fewer than k candidates give fewer
+part, nor do rows without an id; rows of the same id each count, as candidates of each other
+too; shorter vectors end in zeros; equal scores are ranked by smaller id; fewer than k candidates give fewer
 rows; an empty table gives none. Scores must fit in 62 bits, or the search is refused.
 """
 
@@ -31,16 +31,17 @@ BLOCK, STRIP, QUERIES = 8192, 16, 1024
 #: Exact vectors that are read at a time.
 STEP = 64
 
-FILE = "block int, ids binary, cells binary, vectors binary"
-FOUND = "query_id bigint, vec_id bigint, score bigint"
+FILE = "block int, rows binary, ids binary, cells binary, vectors binary"
+FOUND = "query_row bigint, query_id bigint, vec_id bigint, score bigint"
 
 
 def integer_vectors(rows: DataFrame, vector: Column, id: str = "vec_id") -> DataFrame:  # noqa: A002
-    """vec_id and vector (array of long): one row for each id whose vector is whole and finite."""
+    """row (a number of its own), vec_id and vector (array of long) of every row whose vector is
+    whole and finite. Store it before it is used: a row keeps its number only then."""
     whole = vector.isNotNull() & F.forall(vector, lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) < F.lit(float("inf"))))
     scaled = F.transform(vector, lambda x: F.floor(x).cast("long"))
-    return rows.where(F.col(id).isNotNull() & whole).select(F.col(id).cast("long").alias("vec_id"), scaled.alias("vector")).groupBy(
-        "vec_id").agg(F.min("vector").alias("vector"))
+    return rows.where(F.col(id).isNotNull() & whole).select(
+        F.monotonically_increasing_id().alias("row"), F.col(id).cast("long").alias("vec_id"), scaled.alias("vector"))
 
 
 class Cells:
@@ -78,54 +79,53 @@ def write_file(vectors: DataFrame, cells: Cells, n_vectors: int, label: str = "v
     n_blocks = -(-n_vectors // BLOCK) or 1
 
     def pack(table: pa.Table) -> pa.Table:
-        ids, exact = _arrays(table, cells.dimensions)
-        return _row([("block", table["block"][0].as_py(), pa.int32()), ("ids", ids.tobytes(), pa.binary()),
+        rows, ids, exact = _arrays(table, cells.dimensions)
+        return _row([("block", table["block"][0].as_py(), pa.int32()), ("rows", rows.tobytes(), pa.binary()), ("ids", ids.tobytes(), pa.binary()),
                      ("cells", cells.of(exact).tobytes(), pa.binary()), ("vectors", exact.tobytes(), pa.binary())])
 
-    blocks = vectors.withColumn("block", F.pmod(F.xxhash64("vec_id"), F.lit(n_blocks)).cast("int"))
+    blocks = vectors.withColumn("block", F.pmod(F.xxhash64("row"), F.lit(n_blocks)).cast("int"))
     return materialize(blocks.groupBy("block").applyInArrow(pack, FILE), label)
 
 
 def exact_top_k(vectors: DataFrame, queries: DataFrame, k: int) -> DataFrame:
-    """query_id, rank, vec_id, score: the k best of ``vectors`` for each of ``queries``, own ids
-    left out. Both as ``integer_vectors`` gives them, and stored."""
+    """query_id, rank, vec_id, score: the k best of ``vectors`` for each of ``queries``, but its own
+    row. ``vectors`` as ``integer_vectors`` gives them, stored; ``queries`` are some of their rows."""
     cells, n = find_cells(vectors.unionByName(queries)), vectors.count()
     file = write_file(vectors, cells, n)
     n_strips, n_parts = -(-n // (BLOCK * STRIP)) or 1, -(-queries.count() // QUERIES) or 1
     d = cells.dimensions
 
     def search(query_rows: pa.Table, file_rows: pa.Table) -> pa.Table:
-        query_ids, wanted = _arrays(query_rows, d)
+        query_at, query_ids, wanted = _arrays(query_rows, d)
         best = [(np.empty(0, np.int64), np.empty(0, np.int64)) for _ in query_ids]
         for i in range(file_rows.num_rows):
-            ids = np.frombuffer(file_rows["ids"][i].as_py(), np.int64)
+            at, ids = (np.frombuffer(file_rows[c][i].as_py(), np.int64) for c in ("rows", "ids"))
             codes = np.frombuffer(file_rows["cells"][i].as_py(), np.uint8).reshape(-1, d)
             exact = np.frombuffer(file_rows["vectors"][i].as_py(), np.int64).reshape(-1, d)
-            best = list(_search_block(cells, query_ids, wanted, ids, codes, exact, best, k))
-        found = [(q, v, s) for q, (scores, of) in zip(query_ids.tolist(), best, strict=True)
+            best = list(_search_block(cells, query_at, wanted, at, ids, codes, exact, best, k))
+        found = [(r, q, v, s) for r, q, (scores, of) in zip(query_at.tolist(), query_ids.tolist(), best, strict=True)
                  for s, v in zip(scores.tolist(), of.tolist(), strict=True)]
-        return pa.table({"query_id": pa.array([f[0] for f in found], pa.int64()), "vec_id": pa.array([f[1] for f in found], pa.int64()),
-                         "score": pa.array([f[2] for f in found], pa.int64())})
+        return pa.table({c: pa.array([f[i] for f in found], pa.int64()) for i, c in enumerate(("query_row", "query_id", "vec_id", "score"))})
 
     parts, strips = (F.sequence(F.lit(0), F.lit(x - 1)) for x in (n_parts, n_strips))
-    asked = queries.withColumn("part", F.pmod(F.xxhash64("vec_id"), F.lit(n_parts)).cast("int")).withColumn("strip", F.explode(strips))
+    asked = queries.withColumn("part", F.pmod(F.xxhash64("row"), F.lit(n_parts)).cast("int")).withColumn("strip", F.explode(strips))
     held = file.withColumn("strip", F.col("block") % n_strips).withColumn("part", F.explode(parts))
     found = asked.groupBy("part", "strip").cogroup(held.groupBy("part", "strip")).applyInArrow(search, FOUND)
-    ranked = Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
+    ranked = Window.partitionBy("query_row").orderBy(F.desc("score"), "vec_id")
     return found.withColumn("rank", F.row_number().over(ranked)).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
 
 
-def _search_block(cells, query_ids, wanted, ids, codes, exact, best, k) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+def _search_block(cells, query_at, wanted, at, ids, codes, exact, best, k) -> Iterator[tuple[np.ndarray, np.ndarray]]:
     """For each query the k best so far (scores, ids), after this block."""
     low, high = (x.astype(np.float64) for x in cells.bounds(codes.astype(np.int64)))
     step = max(1, (1 << 21) // len(ids))
-    for start in range(0, len(query_ids), step):
+    for start in range(0, len(query_at), step):
         q = wanted[start:start + step].astype(np.float64)
         up, down = np.maximum(q, 0), np.minimum(q, 0)
         least, most = up @ low.T + down @ high.T, up @ high.T + down @ low.T
         slack = 1e-9 * np.maximum(np.abs(least), np.abs(most)) if np.abs(most).max(initial=0) >= 1 << 52 else 0
         least, most = least - slack, most + slack
-        own = query_ids[start:start + step, None] == ids
+        own = query_at[start:start + step, None] == at
         least[own] = most[own] = -np.inf
         certain = np.partition(least, -k, axis=1)[:, -k] if len(ids) >= k else np.full(len(q), -np.inf)
         for row, most_of in enumerate(most):
@@ -144,8 +144,8 @@ def _search_block(cells, query_ids, wanted, ids, codes, exact, best, k) -> Itera
             yield scores, of
 
 
-def _arrays(table: pa.Table, dimensions: int) -> tuple[np.ndarray, np.ndarray]:
-    ids = table["vec_id"].to_numpy().astype(np.int64) if table.num_rows else np.empty(0, np.int64)
+def _arrays(table: pa.Table, dimensions: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    rows, ids = (table[c].to_numpy().astype(np.int64) if table.num_rows else np.empty(0, np.int64) for c in ("row", "vec_id"))
     exact = np.zeros((len(ids), dimensions), np.int64)
     vectors = table["vector"].combine_chunks() if table.num_rows else None
     if vectors is not None:
@@ -154,7 +154,7 @@ def _arrays(table: pa.Table, dimensions: int) -> tuple[np.ndarray, np.ndarray]:
         row = np.repeat(np.arange(len(ids)), lengths)
         place = np.arange(len(row)) - np.repeat(np.cumsum(lengths) - lengths, lengths)
         exact[row, place] = vectors.flatten().to_numpy()
-    return ids, exact
+    return rows, ids, exact
 
 
 def _row(values: list) -> pa.Table:

@@ -8,16 +8,15 @@ from sourcequarry.runtime import materialize
 
 
 def brute(rows, k):
-    vectors = {}
+    vectors = []
     for vec_id, x in rows:
         if vec_id is not None and x is not None and all(v is not None and math.isfinite(v) for v in x):
-            whole = [math.floor(v) for v in x]
-            vectors[vec_id] = min(vectors.get(vec_id, whole), whole)
+            vectors.append((vec_id, [math.floor(v) for v in x]))
     out = []
-    for q, a in vectors.items():
+    for i, (q, a) in enumerate(vectors):
         if q % 5 == 0:
-            scored = sorted((-sum(x * y for x, y in zip(a, b)), v) for v, b in vectors.items() if v != q)[:k]
-            out += [(q, i + 1, v, -s) for i, (s, v) in enumerate(scored)]
+            scored = sorted((-sum(x * y for x, y in zip(a, b)), v) for j, (v, b) in enumerate(vectors) if j != i)[:k]
+            out += [(q, n + 1, v, -s) for n, (s, v) in enumerate(scored)]
     return sorted(out)
 
 
@@ -33,7 +32,7 @@ def test_equals_brute_force_with_ties_and_small_blocks(spark, monkeypatch):
     rows = [(i, [float(r.randrange(-9, 9)) for _ in range(6)]) for i in range(150)]
     rows += [(200 + i, [3.0] * 6) for i in range(60)]  # one very common vector
     rows += [(7, [0.5] * 6), (7, [0.5] * 6), (None, [1.0] * 6), (300, None), (305, [1.0, None, 2.0]), (310, [math.inf] * 6), (315, [math.nan] * 6)]
-    rows += [(320, [4.0, 5.0]), (325, [])]
+    rows += [(320, [4.0, 5.0]), (325, []), (10, [9.0] * 6), (10, [9.0] * 6), (11, [8.0] * 6), (11, [-8.0] * 6)]
     for block, strip, queries in ((8192, 16, 1024), (20, 2, 7)):
         monkeypatch.setattr(vector_file, "BLOCK", block)
         monkeypatch.setattr(vector_file, "STRIP", strip)
