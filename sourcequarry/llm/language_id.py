@@ -5,7 +5,7 @@ For every language l and document
     P(l | all)  ~  P(text | l) * P(declared | l) * P(suffix | l) * P(l | host)
 
 * **text**: letter trigrams under a multinomial model of each language, fitted on a bounded
-  sample of labelled rows (``SAMPLE`` expected for each language). Every label is a language,
+  sample of different labelled texts (``SAMPLE`` expected for each language). Every label is a language,
   however many there are and however few rows one has; a document's scores are as many. The whole text is read; its
   mean log likelihood counts as that of at most ``GRAMS`` independent trigrams. One more
   hypothesis, "und", spreads evenly over all trigrams: text that fits no language better.
@@ -36,7 +36,7 @@ from pyspark.sql import Column, DataFrame, functions as F, types as T
 from sourcequarry.llm.common import fresh, slices, with_computed
 from sourcequarry.runtime import materialize
 
-#: Labelled rows of each language that the text model is fitted on, as expected.
+#: Labelled texts of each language that the text model is fitted on, as expected.
 SAMPLE = 2_000
 #: Share of the usual weight of an unseen trigram in a language of which nothing was seen; it is
 #: whole from ``BUCKETS`` trigrams on. Text that fits no language then stays so however few rows
@@ -102,16 +102,19 @@ def trigrams(text: str | None) -> np.ndarray:
 
 
 def fit(docs: DataFrame, label: str, text: str = "text", sample: int = SAMPLE) -> TextModel:
-    """The text model of all labels, from labelled rows drawn by a hash of their text."""
-    labelled = docs.where(F.col(label).isNotNull() & (F.col(label) != ""))
-    counted = labelled.groupBy(F.col(label).alias("label")).count().collect()
+    """The text model of all labels, from different labelled texts, drawn by their hash: all of a
+    label that has few, however often each is repeated."""
+    hashed, = fresh(docs, "text_hash")
+    labelled = docs.where(F.col(label).isNotNull() & (F.col(label) != "")).withColumn(hashed, F.xxhash64(text, F.lit(1)))
+    different = labelled.groupBy(F.col(label).alias("label"), hashed).agg(F.count(F.lit(1)).alias("n"))
+    counted = different.groupBy("label").count().collect()
     languages = sorted(r["label"] for r in counted)
     number = {name: i for i, name in enumerate(languages)}
     shares = {r["label"]: sample / r["count"] for r in counted if r["count"] > sample}
     share = F.lit(1.0)
     if shares:
         share = F.coalesce(F.try_element_at(F.from_json(F.lit(json.dumps(shares)), "map<string,double>"), F.col(label)), share)
-    drawn = labelled.where(F.pmod(F.xxhash64(text, F.lit(1)), F.lit(1_000_000)) < share * 1_000_000)
+    drawn = labelled.where(F.pmod(F.col(hashed), F.lit(1_000_000)) < share * 1_000_000).groupBy(label, hashed).agg(F.first(text).alias(text))
 
     def counts_of(totals: dict[int, np.ndarray]) -> pa.RecordBatch:
         found = {i: np.flatnonzero(t) for i, t in totals.items()}

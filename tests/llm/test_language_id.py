@@ -84,3 +84,17 @@ def test_every_label_is_a_language(spark):
     both = docs.unionByName(spark.createDataFrame(new, "doc_id int, text string, lang string"))
     found = {r["doc_id"]: r["language"] for r in language_id.identify(both, model).collect()}
     assert [found[i] for i, _, _ in new] == [lang or "und" for _, _, lang in new]
+
+
+def test_copies_of_one_text_are_one_text(spark, monkeypatch):
+    """A label of thousands of copies is drawn whatever the hash, and outweighs no other."""
+    docs = spark.read.parquet(f"{SF}/documents.parquet").select("doc_id", "text", "lang").where("lang IN ('en', 'de')").limit(300)
+    for i in range(4):
+        one = f"zorq blik{i * "k"} vunt wexil ypoq jarrub zikvo quxom blorp vynt fjuz"
+        copies = spark.range(5000).selectExpr("-1 - id AS doc_id", f"'{one}' AS text", "'xx' AS lang")
+        fitted = language_id.fit(docs.unionByName(copies), "lang", sample=20)
+        assert fitted.languages == ["de", "en", "xx"]
+        named = [r["language"] for r in language_id.identify(copies.limit(20), fitted).collect()]
+        assert named == ["xx"] * 20
+        rest = language_id.identify(docs, fitted).collect()
+        assert sum(r["language"] == r["lang"] for r in rest) > 0.95 * len(rest)
