@@ -2,8 +2,9 @@
 
 The words of all licence templates build one automaton. A file streams through it word by word:
 at each word the automaton knows the longest run of words ending there that occurs in any
-template, and where. Runs that cannot grow further and are long enough are the file's matches;
-matches of one template that go forward in both file and template are chained, and a chain that
+template, and where; its suffix links lead to the shorter runs that other templates have. A run
+that is long enough and does not go on in a template is a match of that template, whether or not
+it goes on in another one; matches of one template that go forward in both file and template are chained, and a chain that
 covers enough of the template is a span with the template's label. Short phrases are templates
 that must occur whole: a phrase occurs wherever it is a suffix of the current run.
 
@@ -22,6 +23,8 @@ from typing import NamedTuple
 import pyarrow as pa
 from pyspark.sql import DataFrame, types as T
 
+from sourcequarry.llm.common import slices
+
 #: Words of the shortest match that counts towards a template.
 MIN_MATCH = 5
 #: Part of a template that a chain must cover.
@@ -127,6 +130,9 @@ class LicenseAutomaton:
         for state in sorted(range(len(self.next)), key=lambda s: -self.length[s]):
             own = sorted({*ends[state], *(p for c in children[state] for p in self.places[c])})
             self.places[state] = own
+        #: words of the shortest match that counts, for each template and for all
+        self.least = [1 << 62 if phrase else min(MIN_MATCH, len(words)) for _, words, phrase in self.texts]
+        self.shortest = max(2, min(self.least, default=2))
         #: phrases that end every string of a state of at least their length
         self.phrases: list[list[int]] = [[] for _ in self.next]
         whole = defaultdict(list)
@@ -172,40 +178,51 @@ class LicenseAutomaton:
         known = [(i, w) for i, w in enumerate(map(self.vocabulary.get, words)) if w is not None]
         spans: list[Span] = []
         matches: dict[int, list[tuple[int, int, int]]] = defaultdict(list)
+        held: dict[tuple[int, int], int] = {}  # length of the match that ends at each (template, place)
         state = length = 0
         before = -2
         for i, word in known:
             if i != before + 1:
-                self._keep(matches, state, length, before)
+                self._keep(matches, held, {}, before)
+                held = {}
                 state = length = 0
-            before = i
             after = self.next[state].get(word)
-            if after is None:
-                self._keep(matches, state, length, i - 1)
-                while state > 0 and after is None:
-                    state = self.link[state]
-                    length = self.length[state]
-                    after = self.next[state].get(word)
+            while state > 0 and after is None:
+                state = self.link[state]
+                length = self.length[state]
+                after = self.next[state].get(word)
             if after is None:
                 state = length = 0
             else:
                 state, length = after, length + 1
+            going = self._matches(state, length) if length >= self.shortest else {}
+            if held:
+                self._keep(matches, held, going, before)
+            held, before = going, i
             for t in self.phrases[state]:
                 n = len(self.texts[t][1])
                 if n <= length:
                     spans.append(Span(self.texts[t][0], i + 1 - n, i + 1, 1.0, True))
-        self._keep(matches, state, length, before)
+        self._keep(matches, held, {}, before)
         for t, found in matches.items():
             spans += self._chains(t, found)
         return sorted(spans, key=lambda s: (s.first, s.end, s.label))
 
-    def _keep(self, matches: dict, state: int, length: int, last: int) -> None:
-        """A run of ``length`` words up to ``last`` cannot grow: note it for the templates that have it."""
-        if length < 2:
-            return
-        for t, end in self.places[state]:
-            label, words, phrase = self.texts[t]
-            if not phrase and length >= min(MIN_MATCH, len(words)):
+    def _matches(self, state: int, length: int) -> dict[tuple[int, int], int]:
+        """Where the run, or the longest end of it that a template has, ends in each template."""
+        out: dict[tuple[int, int], int] = {}
+        while length >= self.shortest:
+            for place in self.places[state]:
+                if place not in out and length >= self.least[place[0]]:
+                    out[place] = length
+            state = self.link[state]
+            length = self.length[state]
+        return out
+
+    def _keep(self, matches: dict, held: dict[tuple[int, int], int], going: dict[tuple[int, int], int], last: int) -> None:
+        """Matches up to the word ``last`` of the file that do not go on are complete."""
+        for (t, end), length in held.items():
+            if (t, end + 1) not in going:
                 matches[t].append((last + 1 - length, end + 1 - length, length))
 
     def _chains(self, t: int, found: list[tuple[int, int, int]]) -> Iterator[Span]:
@@ -225,9 +242,11 @@ class LicenseAutomaton:
             if chain and covered() >= MIN_COVER * len(words):
                 yield Span(label, chain[0][0], max(a + n for a, _, n in chain), covered() / len(words), False)
 
-        for at, place, n in sorted(found):
+        for at, place, n in sorted(found, key=lambda m: (m[0], -m[2], m[1])):
             if chain:
                 last_at, last_place, last_n = chain[-1]
+                if at + n <= last_at + last_n and (at, n) != (last_at, last_n):
+                    continue  # within a match of the chain, so it adds nothing
                 near = at - (last_at + last_n) <= MAX_GAP
                 if at == last_at and place != last_place:  # the same words elsewhere in the template
                     if near and len(chain) == 1 and place < last_place:
@@ -260,13 +279,14 @@ def scan_licenses(
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         automaton = LicenseAutomaton(templates, phrases)
         for batch in batches:
-            counts, spans = [], []
-            for value in batch.column(len(kept)):
-                words = words_of(value.as_py())
-                counts.append(len(words))
-                spans.append([s._asdict() for s in automaton.scan(words)])
-            yield pa.record_batch(
-                [*batch.columns[:len(kept)], pa.array(counts, pa.int64()), pa.array(spans, arrow_spans)],
-                names=[*kept, "n_words", "license_spans"])
+            for part in slices(batch):
+                counts, spans = [], []
+                for value in part.column(len(kept)):
+                    words = words_of(value.as_py())
+                    counts.append(len(words))
+                    spans.append([s._asdict() for s in automaton.scan(words)])
+                yield pa.record_batch(
+                    [*part.columns[:len(kept)], pa.array(counts, pa.int64()), pa.array(spans, arrow_spans)],
+                    names=[*kept, "n_words", "license_spans"])
 
     return rows.mapInArrow(run, schema)

@@ -47,6 +47,40 @@ def test_whole_and_damaged_licences():
     assert [s.label for s in automaton.scan(words_of("MIT License, Apache-License general public\nLICENSE"))] == ["mit", "apache", "gpl"]
 
 
+def test_matches_are_complete_for_each_template():
+    """Against brute force: every run that a template has and that goes on at neither end."""
+    r = random.Random(6)
+    for _ in range(200):
+        texts = [[r.choice("abcde") for _ in range(r.randrange(2, 14))] for _ in range(3)]
+        texts.append(texts[0][:r.randrange(1, len(texts[0]) + 1)])
+        automaton = LicenseAutomaton({str(i): [" ".join(t)] for i, t in enumerate(texts)}, {})
+        words = [r.choice("abcdef") for _ in range(10)] + texts[0] + [r.choice("abcdef") for _ in range(5)] + texts[1] + texts[3]
+        found = {}
+        automaton._chains = lambda t, some: found.setdefault(t, sorted(some)) and []  # noqa: B023
+        automaton.scan([w.encode() for w in words])
+        for t, text in enumerate(texts):
+            want = []
+            for i in range(len(words)):
+                for j in range(len(text)):
+                    n = 0
+                    while i + n < len(words) and j + n < len(text) and words[i + n] == text[j + n]:
+                        n += 1
+                    begins = i == 0 or j == 0 or words[i - 1] != text[j - 1]
+                    if begins and n >= max(min(5, len(text)), automaton.shortest):
+                        want.append((i, j, n))
+            assert found.get(t, []) == sorted(want)
+
+
+def test_templates_within_longer_matches():
+    automaton = LicenseAutomaton(TEMPLATES, PHRASES)
+    spans = automaton.scan(words_of('Licensed under the Apache License, Version 2.0 (the "License"); you may'))
+    assert [(s.first, s.end, s.cover) for s in spans if not s.phrase] == [(0, 8, 1.0)]
+    nested = LicenseAutomaton({"short": ["a b c d e f"], "long": ["a b c d e f g h i j k l m n o p q r s t u v w x y z"]}, {})
+    assert [(s.label, s.first, s.end, s.cover) for s in nested.scan(words_of("a b c d e f g h"))] == [("short", 0, 6, 1.0)]
+    repeated = LicenseAutomaton({"x": ["a b c d e f g h a b c d e i j k"]}, {})
+    assert [(s.first, s.end, s.cover) for s in repeated.scan(words_of("y a b c d e f g h a b c d e i j k"))] == [(1, 17, 1.0)]
+
+
 def test_nulls_long_texts_and_clashing_names(spark):
     docs = spark.createDataFrame(
         [(1, None, 7, "a"), (1, "", 7, "a"), (2, "mit license " * 50_000, 7, None), (2, "mit license " * 50_000, 7, None), (None, "é!mit-License", None, None)],
