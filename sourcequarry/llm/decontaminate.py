@@ -22,6 +22,8 @@ from sourcequarry.llm.common import fresh, words_of
 
 #: Distinct benchmark windows that go to every executor (about 200 bytes each).
 SET_LIMIT = 100_000
+#: Distinct benchmark windows whose hashes go to every executor (about 20 bytes each).
+HASH_LIMIT = 2_000_000
 #: Buckets for each window of the set: most lookups find an empty bucket.
 BUCKETS_PER_WINDOW = 4
 
@@ -47,17 +49,21 @@ def find_hits(
     item_id: str = "item_id",
     item_text: str = "text",
     set_limit: int = SET_LIMIT,
+    hash_limit: int = HASH_LIMIT,
 ) -> DataFrame:
     """``docs`` with n_words, n_hit (words inside a hit), items (ids whose windows occur) and
     spans (merged runs of hit words, as [start, end) word positions)."""
     windows = benchmark_windows(benchmark, n, item_id, item_text)
-    small = windows.limit(set_limit + 1).collect()
+    kind = windows.schema["items"].dataType.elementType
+    small = windows.withColumn("items", F.col("items").cast("array<string>")).limit(set_limit + 1).collect()
     words, found = fresh(docs, "words", "found")
     docs = docs.withColumn(words, words_of(F.col(text)))
     if len(small) <= set_limit:
-        hits = _look_up(small, F.col(words))
+        hits = F.transform(_look_up(small, F.col(words)), lambda x: F.struct(
+            x["start"].alias("start"), x["m"].alias("m"), F.transform(x["items"], lambda i: i.cast(kind)).alias("items")))
     else:
-        docs = _joined(docs, windows, key, text, words, found)
+        hashes = windows.select("m", "h").distinct().limit(hash_limit + 1).collect()
+        docs = _joined(docs, windows, key, text, words, found, hashes if len(hashes) <= hash_limit else None)
         hits = _verified(F.coalesce(F.col(found), F.array().cast(docs.schema[found].dataType)), F.col(words))
     docs = docs.withColumn(found, F.array_sort(hits))
     spans = _merged(F.col(found))
@@ -124,13 +130,13 @@ def _at(words: Column, place: Column, m) -> Column:
 
 def _look_up(windows: list, words: Column) -> Column:
     """Hits by lookup in the constant set: array of (start, m, items)."""
-    parts = [F.array().cast("array<struct<start:int,m:int,items:array<bigint>>>")]
+    parts = [F.array().cast("array<struct<start:int,m:int,items:array<string>>>")]
     for m in sorted({w["m"] for w in windows}):
         of_m = [w for w in windows if w["m"] == m]
         buckets = [[] for _ in range(BUCKETS_PER_WINDOW * len(of_m))]
         for w in of_m:
             buckets[w["h"] % len(buckets)].append({"h": w["h"], "words": w["words"], "items": w["items"]})
-        held = F.from_json(F.lit(json.dumps(buckets)), "array<array<struct<h:bigint,words:string,items:array<bigint>>>>")
+        held = F.from_json(F.lit(json.dumps(buckets)), "array<array<struct<h:bigint,words:string,items:array<string>>>>")
         parts.append(_let(words, lambda ws: _let(_word_hashes(ws), lambda hs: _let(
             held, lambda held_set: _hits_of_length(m, len(buckets), ws, hs, held_set)))))  # noqa: B023
     return F.concat(*parts)
@@ -149,7 +155,23 @@ def _hits_of_length(m: int, n_buckets: int, words: Column, hashes: Column, held:
     return F.filter(named, lambda x: x["items"].isNotNull())
 
 
-def _joined(docs, windows, key, text, words, found) -> DataFrame:
+def _likely(m: int, hashes: list | None, words: Column) -> Column:
+    """(start, h) of a document's windows of m words, only of those in the set of hashes if one is given."""
+    if hashes is None:
+        chosen = lambda placed: placed
+    else:
+        of_m = [r["h"] for r in hashes if r["m"] == m]
+        buckets = [[] for _ in range(BUCKETS_PER_WINDOW * len(of_m))]
+        for h in of_m:
+            buckets[h % len(buckets)].append(h)
+        held = F.from_json(F.lit(json.dumps(buckets)), "array<array<bigint>>")
+        chosen = lambda placed: _let(held, lambda h_set: F.filter(placed, lambda x: F.array_contains(
+            F.get(h_set, F.pmod(x["h"], F.lit(len(buckets))).cast("int")), x["h"])))
+    return _let(_word_hashes(words), lambda hs: chosen(F.transform(_places(words, m), lambda i: F.struct(
+        i.alias("start"), _window_hash(F.slice(hs, i + 1, m)).alias("h")))))
+
+
+def _joined(docs, windows, key, text, words, found, hashes) -> DataFrame:
     """``docs`` with the windows whose hash they share, for a benchmark of any size.
 
     Rows are told apart by key and text: rows alike in both have the same hits."""
@@ -158,8 +180,7 @@ def _joined(docs, windows, key, text, words, found) -> DataFrame:
     lengths = [r["m"] for r in windows.select("m").distinct().collect()]  # n values at most
     seen = None
     for m in sorted(lengths):
-        placed = _let(_word_hashes(F.col(words)), lambda hs: F.transform(_places(F.col(words), m), lambda i: F.struct(  # noqa: B023
-            i.alias("start"), _window_hash(F.slice(hs, i + 1, m)).alias("h"))))  # noqa: B023
+        placed = _likely(m, hashes, F.col(words))
         at = docs.select(key, digest, F.explode(placed).alias(place))
         at = at.select(key, digest, F.col(place)["start"].alias("start"), F.lit(m).alias("m"), F.col(place)["h"].alias("h"))
         seen = at if seen is None else seen.unionByName(at)

@@ -47,6 +47,33 @@ def test_equals_brute_force_both_ways(tables, limit):
         assert (r["n_words"], r["n_hit"], r["items"]) == brute(r["text"], items, 5)
 
 
+@pytest.mark.parametrize("kind", ["string", "decimal(20,3)", "date", "int"])
+def test_item_ids_keep_their_type_every_way(spark, tables, kind):
+    docs, benchmark, rows, items = tables
+    typed = {"string": "concat('item ', item_id)", "date": "date_add(DATE '2024-01-01', CAST(item_id AS int))"}.get(kind, f"CAST(item_id AS {kind})")
+    benchmark = benchmark.selectExpr(f"{typed} AS item_id", "text")
+    names = [r["item_id"] for r in benchmark.collect()]
+    limits = ({}, {"set_limit": 0}, {"set_limit": 0, "hash_limit": 0})
+    found = [decontaminate.find_hits(docs, benchmark, n=5, **limit) for limit in limits]
+    assert all(dict(f.dtypes)["items"] == f"array<{kind}>" for f in found)
+    for f in found:
+        got = f.collect()
+        assert len(got) == len(rows) and sum(r["n_hit"] > 0 for r in got) > 10
+        for r in got:
+            n_words, n_hit, ids = brute(r["text"], [(name, text) for name, (_, text) in zip(names, items)], 5)
+            assert (r["n_words"], r["n_hit"], r["items"]) == (n_words, n_hit, ids)
+
+
+def test_only_likely_windows_are_exploded(tables):
+    docs, benchmark, _, _ = tables
+    windows = decontaminate.benchmark_windows(benchmark, 5, "item_id", "text")
+    hashes = windows.select("m", "h").distinct().collect()
+    some = docs.select(decontaminate.words_of(docs["text"]).alias("w"))
+    likely = some.select(decontaminate._likely(5, hashes, some["w"]).alias("x")).selectExpr("sum(size(x))").first()[0]
+    every = some.select(decontaminate._likely(5, None, some["w"]).alias("x")).selectExpr("sum(size(x))").first()[0]
+    assert 0 < likely < every / 50
+
+
 def test_documents_and_spans_go(spark, tables):
     docs, benchmark, rows, items = tables
     kept = decontaminate.drop_documents(docs, benchmark, n=5)
