@@ -16,6 +16,7 @@ give equal rows; an empty table stays empty; columns of the input that carry a r
 replaced, all others stay. Ids are packed as little-endian unsigned 32-bit integers.
 """
 
+import functools
 import json
 import unicodedata
 
@@ -43,6 +44,34 @@ def _byte_symbols() -> list[str]:
     return [chr(b if b in printable else next(others)) for b in range(256)]
 
 
+# --- fixed values: what the vocabulary's library knows of Unicode beyond Python's tables ---------
+#: Letters and numbers that Unicode 16 added.
+LETTERS_16 = [
+    (0x1C89, 0x1C8A), (0xA7CB, 0xA7CD), (0xA7DA, 0xA7DC), (0x105C0, 0x105F3), (0x10D40, 0x10D65), (0x10D6F, 0x10D85), (0x10EC2, 0x10EC4),
+    (0x11380, 0x11389), (0x1138B, 0x1138B), (0x1138E, 0x1138E), (0x11390, 0x113B5), (0x113B7, 0x113B7), (0x113D1, 0x113D1), (0x113D3, 0x113D3),
+    (0x116D0, 0x116E3), (0x11BC0, 0x11BE0), (0x11BF0, 0x11BF9), (0x13460, 0x143FA), (0x16100, 0x1611D), (0x16130, 0x16139), (0x16D40, 0x16D6C),
+    (0x16D70, 0x16D79), (0x18CFF, 0x18CFF), (0x1CCF0, 0x1CCF9), (0x1E5D0, 0x1E5ED), (0x1E5F0, 0x1E5FA)]
+#: Capitals that Unicode 16 and 17 added, first and last, and the small letter of the first.
+CAPITALS = [
+    (0x1C89, 0x1C89, 0x1C8A), (0xA7CB, 0xA7CB, 0x264), (0xA7CC, 0xA7CC, 0xA7CD), (0xA7CE, 0xA7CE, 0xA7CF), (0xA7D2, 0xA7D2, 0xA7D3),
+    (0xA7D4, 0xA7D4, 0xA7D5), (0xA7DA, 0xA7DA, 0xA7DB), (0xA7DC, 0xA7DC, 0x19B), (0x10D50, 0x10D65, 0x10D70), (0x16EA0, 0x16EB8, 0x16EBB)]
+# --- end of fixed values -------------------------------------------------------------------------
+
+_SMALL = {c: small + c - first for first, last, small in CAPITALS for c in range(first, last + 1)}
+
+
+@functools.cache
+def _younger() -> frozenset[str]:
+    """Letters and numbers of the pattern engine that neither Python's Unicode nor Unicode 16 has, and
+    the library does not either."""
+    classed = regex.compile(r"[\p{L}\p{N}]+")
+    known = {c for first, last in LETTERS_16 for c in range(first, last + 1)}
+    out = []
+    for run in classed.finditer("".join(map(chr, [*range(0xD800), *range(0xE000, 0x110000)]))):
+        out += [c for c in run[0] if unicodedata.category(c) == "Cn" and ord(c) not in known]
+    return frozenset(out)
+
+
 class Tokenizer:
     """The tables of a vocabulary file, and encoding of whole texts."""
 
@@ -64,6 +93,8 @@ class Tokenizer:
         self.inner = [self.vocab[s] for s in symbols]
         self.last = [self.vocab[s + self.suffix] for s in symbols]
         self.words = regex.compile(splits[0])
+        self.rare = _younger().union(map(chr, _SMALL))
+        self.least_rare = min(self.rare)
         self.specials = regex.compile("(" + "|".join(map(regex.escape, self.special)) + ")") if self.special else None
         self.pairs = PairTable(self.merges)
         self.cache: dict[str, bytes] = {}
@@ -95,9 +126,17 @@ class Tokenizer:
             if i % 2:
                 out.append(np.uint32(self.special[piece]).tobytes())
             else:
-                out.append(self.words.findall(unicodedata.normalize("NFC", piece).replace("Σ", "σ").lower()))
+                out.append(self._words_of(unicodedata.normalize("NFC", piece).replace("Σ", "σ")))
         return out
 
+    def _words_of(self, text: str) -> list[str]:
+        """The pattern's words in lower case; what is younger than the library is no letter to it."""
+        if text.isascii() or max(text) < self.least_rare or self.rare.isdisjoint(text):
+            return self.words.findall(text.lower())
+        text, younger = text.translate(_SMALL).lower(), _younger()
+        plain = "".join("\ufffd" if c in younger else c for c in text)  # a symbol, one for one
+        return [text[m.start():m.end()] for m in self.words.finditer(plain)]
+
     def _learn(self, words: set[str]) -> None:
         """Encode the words that the cache lacks: short ones many at a time, long ones singly."""
         by_size: dict[int, list[tuple[str, bytes]]] = {}

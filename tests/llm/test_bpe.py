@@ -79,3 +79,15 @@ def test_nulls_long_texts_and_clashing_names(spark):
     assert bpe.encode(docs.limit(0), path).count() == 0
     with pytest.raises(Exception):
         bpe.Tokenizer("{}")
+
+
+def test_every_character_is_split_as_by_the_library():
+    """All of Unicode but private and planes without characters; of Han and Hangul a part."""
+    tokenizers = pytest.importorskip("tokenizers")
+    library = tokenizers.Tokenizer.from_file(queries.vocabulary())
+    own = bpe.Tokenizer(open(queries.vocabulary()).read())
+    points = [*range(0x4E10), *range(0x9FF0, 0xAC10), *range(0xD7A0, 0xD800), *range(0xF900, 0x20010), *range(0x2A6D0, 0x40000), *range(0xE0000, 0xE0200)]
+    for form in ("a{0}b 1{0}", "!{0}! {0}{0}1"):
+        texts = [form.format(chr(c)) for c in points]
+        ids = library.encode_batch(texts, add_special_tokens=False)
+        assert [c for c, want, got in zip(points, ids, own.encode_all(texts)) if want.ids != np.frombuffer(got, "<u4").tolist()] == []
