@@ -5,9 +5,10 @@ its row; the flat tables in ``views`` are narrow projections of it.
 """
 
 import sys
-from collections.abc import Sequence
+from collections.abc import Iterator, Sequence
 
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark import cloudpickle
 from pyspark.sql import DataFrame, functions as F, types as T
 from pyspark.sql.pandas.types import to_arrow_type
@@ -21,7 +22,8 @@ cloudpickle.register_pickle_by_value(sys.modules[__name__])
 
 MODES = ("intended", "reference")
 ON_ERROR = ("row", "fail", "sanitize")
-FILES_AT_A_TIME = 256
+#: Files read at a time, and bytes of their texts (one file at least).
+FILES_AT_A_TIME, TEXT_AT_A_TIME = 256, 8 << 20
 RECORDS = ("docstring", "entities", "scopes", "imports", "node_map")
 LIGHT_RECORDS = ("counts",)         # only where asked for by name
 
@@ -60,8 +62,7 @@ def extract_facts(
 
     def read_batches(batches):
         for batch in batches:
-            for first in range(0, batch.num_rows, FILES_AT_A_TIME):
-                part = batch.slice(first, FILES_AT_A_TIME)
+            for part in _slices(batch):
                 with module_reader.quiet_and_quick():
                     readings = [
                         module_reader.read_module(text, **options) for text in part.column("raw_code").to_pylist()
@@ -71,3 +72,16 @@ def extract_facts(
                 yield pa.RecordBatch.from_arrays(columns, names=keys + wanted)
 
     return files.mapInArrow(read_batches, out_schema)
+
+
+def _slices(batch: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
+    """Runs of files of bounded number and size."""
+    sizes = [n or 0 for n in pc.binary_length(batch.column("raw_code")).to_pylist()]
+    first = held = 0
+    for at, size in enumerate(sizes):
+        if at > first and (held + size > TEXT_AT_A_TIME or at - first == FILES_AT_A_TIME):
+            yield batch.slice(first, at - first)
+            first, held = at, 0
+        held += size
+    if batch.num_rows:
+        yield batch.slice(first)

@@ -1,5 +1,6 @@
 """Reading files, joins across files, and the shape of plans."""
 
+import pyarrow as pa
 import pytest
 from pyspark.sql import datasource, functions as F
 
@@ -92,6 +93,45 @@ def test_tables_are_read_with_universal_newlines(spark, tmp_path):
     assert {r.rel_path: r.content for r in file_source.read_source_table(spark, f"{tmp_path}/t").collect()} == {"a.py": "x\ny\nz\n", "b.py": None}
 
 
+def test_huge_files_of_one_folder_are_dealt_evenly(spark):
+    """A tenth of the files hold nearly all bytes, and lie together."""
+    size = F.when(F.col("id") < 40, 200_000).otherwise(50)
+    files = spark.range(400).select(F.lit("r").alias("repo_id"), F.concat(F.when(F.col("id") < 40, F.lit("huge/f")).otherwise(F.lit("d/f")), "id").alias("rel_path"),
+                                    F.repeat(F.lit("x"), size).alias("content"))
+    dealt = file_source.spread_by_bytes(files, 8)
+    sizes = [r.s for r in dealt.groupBy(F.spark_partition_id()).agg(F.sum(F.length("content")).alias("s")).collect()]
+    assert len(sizes) == 8 and max(sizes) <= 1.25 * sum(sizes) / 8
+    assert dealt.columns == files.columns and dealt.count() == dealt.distinct().count() == 400
+    assert file_source.spread_by_bytes(files.limit(0), 8).count() == 0
+    facts = extract.extract_facts(dealt.union(spark.createDataFrame([("r", "n.py", None)], "repo_id string, rel_path string, content string")))
+    assert facts.count() == 401
+
+
+def test_slices_are_bounded_by_bytes(monkeypatch):
+    monkeypatch.setattr(extract, "TEXT_AT_A_TIME", 100)
+    batch = pa.record_batch({"raw_code": ["x" * n for n in (10, 95, 200, 5, 5, 90, 1)] + [None]})
+    assert [part.column(0).to_pylist() for part in extract._slices(batch)] == [
+        ["x" * 10], ["x" * 95], ["x" * 200], ["x" * 5, "x" * 5, "x" * 90], ["x", None]]
+    assert list(extract._slices(batch.slice(0, 0))) == []
+
+
+@pytest.mark.parametrize("mode", ["intended", "reference"])
+def test_relational_forms_equal_the_nested_ones(files_of, mode):
+    texts = {
+        "a.py": "class C:\n    def f(self): ...\n    def old(self): ...\n\nclass C:\n    def f(self): ...\n    def f(self, x): ...\n    class D:\n        def g(self): ...\n"
+                "    class D:\n        def g(self): ...\n        class E:\n            def h(self): ...\n",
+        "b.py": "def f(): ...\ndef f():\n    def inner(): ...\n    class L:\n        def m(self): ...\n    return inner\nclass f: ...\nasync def co():\n    def f(): raise X\n",
+        "c.py": "if a:\n    class K:\n        @p.q\n        def v(self): return self.w\nelse:\n    class K(m.Base):\n        def u(self): g()\n", "d.py": "", "e.py": "def ("}
+    for include_async in (False, True):
+        facts = extract.extract_facts(files_of(texts), mode=mode, include_async=include_async)
+        every = views.entities(facts, latest_only=False)
+        want = sorted(map(str, views.entities(facts).collect()))
+        assert sorted(map(str, rollups.latest_from_rows(every).collect())) == want and every.count() > len(want)
+    if mode == "intended":
+        joined = rollups.entity_relationships_from_rows(views.entities(facts), views.relationship_sets(facts))
+        assert sorted(map(str, joined.collect())) == sorted(map(str, views.entity_relationships(facts).collect()))
+
+
 def test_eligible_files(spark):
     paths = ["a.py", "tests/x.py", "conftest.py", ".h.py", "x_test.py", "_p/q.py", "d/__init__.py", "test_x.py", "_x.py", "a.txt"]
     rows = spark.createDataFrame([("r", p) for p in paths], "repo_id string, rel_path string")

@@ -316,6 +316,9 @@ def _source_statements() -> dict[str, str]:
         "merge_relationships": with_ctes(*sets) + f"""SELECT {on}, {scope_sets},
   CASE WHEN starts_with(scope, 'step_') THEN 'qty: float, return: int' ELSE 'None' END AS type_hints FROM st""",
         "entity_relationships": with_ctes(*ent, FACTS, SETS) + f"""SELECT ent.repo_id, ent.rel_path, entity_type, qualname, defined_in, {', '.join(KINDS)}
+  FROM ent JOIN st ON st.repo_id = ent.repo_id AND st.rel_path = ent.rel_path AND st.scope = ent.qualname""",
+        "latest_definitions_from_rows": with_ctes(*ent) + f"SELECT {on}, entity_type, owner_class, name, CAST(ordinal AS INTEGER) AS ordinal FROM ent",
+        "entity_relationships_from_rows": with_ctes(*ent, FACTS, SETS) + f"""SELECT ent.repo_id, ent.rel_path, entity_type, qualname, defined_in, {', '.join(KINDS)}
   FROM ent JOIN st ON st.repo_id = ent.repo_id AND st.rel_path = ent.rel_path AND st.scope = ent.qualname""",
         "dependency_graph": with_ctes(src, edge) + "SELECT * FROM edg",
         "dependency_sets": with_ctes(src, edge) + f"""SELECT src.repo_id, rel_path, coalesce(string_agg(dst_path, '|' ORDER BY dst_path), '') AS dependencies

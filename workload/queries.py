@@ -247,6 +247,21 @@ def entity_relationships(spark, sf_dir):
     return rows.select(*FILE, "entity_type", "qualname", "defined_in", *[_joined(kind) for kind in FACT_KINDS])
 
 
+@query
+def latest_definitions_from_rows(spark, sf_dir):
+    """The same definitions, told from a flat table of all of them."""
+    rows = views.entities(_facts(spark, sf_dir, "entities"), latest_only=False)
+    return rollups.latest_from_rows(rows).select(*FILE, "entity_type", "owner_class", "name", "ordinal")
+
+
+@query
+def entity_relationships_from_rows(spark, sf_dir):
+    """Entities and relationship records as two flat tables, joined by scope."""
+    facts = materialize(_facts(spark, sf_dir, "entities", "scopes"), "facts")
+    rows = rollups.entity_relationships_from_rows(views.entities(facts), views.relationship_sets(facts))
+    return rows.select(*FILE, "entity_type", "qualname", "defined_in", *[_joined(kind) for kind in FACT_KINDS])
+
+
 def _edges(spark, sf_dir):
     rows = materialize(views.imports(_facts(spark, sf_dir, "imports")), "imports")
     return rollups.dependency_graph(rows, inputs.source_files(spark, sf_dir))
