@@ -89,12 +89,12 @@ def fingerprints(
                            T.StructField(high, T.IntegerType()), T.StructField(low, T.IntegerType())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            hashes = (shingle_hashes(t.as_py(), n_words) for t in batch.column(len(kept)))
+        for part in (part for batch in batches for part in slices(batch)):
+            hashes = (shingle_hashes(t.as_py(), n_words) for t in part.column(len(kept)))
             prints = [fingerprint(h if repeats else np.unique(h), bits) for h in hashes]
             half = np.bitwise_count(np.frombuffer(b"".join(prints), np.uint8)).reshape(-1, 2, bits // 16).sum(2, dtype=np.int32)
             yield pa.record_batch(
-                [*batch.columns[:len(kept)], pa.array(prints, pa.binary()), pa.array(half[:, 0]), pa.array(half[:, 1])],
+                [*part.columns[:len(kept)], pa.array(prints, pa.binary()), pa.array(half[:, 0]), pa.array(half[:, 1])],
                 names=[*kept, out, high, low])
 
     return rows.mapInArrow(run, schema)
