@@ -15,11 +15,16 @@ from sourcequarry.llm.common import ship_package
 from sourcequarry.llm.queries import vocabulary
 from sourcequarry.runtime import materialize
 
+#: Documents that are handed to Python at once: what is held beside them, by the executor and its workers,
+#: then stays small even where the stage before has left them large.
+ROWS_AT_A_TIME = 1_000
+
 
 def stage(function):
     @functools.wraps(function)
     def run(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
         ship_package(spark)
+        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", ROWS_AT_A_TIME)
         return function(spark, docs, sf_dir)
 
     return run
