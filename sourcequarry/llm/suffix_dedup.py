@@ -18,7 +18,8 @@ with a smaller id, or earlier in its own. Nothing is decided by a sample:
    by hash with partial minima instead, for the same result.
 5. Texts with very many copies leave before step 1: all copies but the first go whole.
 
-Texts move twice at most, by key. Contexts are told apart by gram and 64-bit hash.
+Texts move twice at most, by key. Contexts are told apart by their gram and two 64-bit hashes, strings of
+large grams by gram, offset and 128 bits.
 
 Defined results: null texts are empty; texts shorter than ``length`` keep every byte; rows with
 equal id and text are one document and get equal results; different texts under one id are
@@ -41,9 +42,11 @@ GRAM = 32
 SHALLOW_WORDS = 2
 #: Leaders sorted together; leaders of one gram that are gathered; copies that make a text hot.
 BLOCK, GROUP_LIMIT, HOT_COPIES = 50_000, 100_000, 100
+#: Bytes of text that are hashed at once, and anchors whose repeats a task looks for before they are dealt.
+PIECE, TOGETHER = 1 << 18, 100_000
 
 _LAST = (1 << 63) - 1
-_ANCHORS = "gram bigint, context bigint, doc bigint, hash bigint, pos int, before int, after int, repeat boolean"
+_ANCHORS = "gram bigint, context bigint, other bigint, doc bigint, hash bigint, pos int, before int, after int, repeat boolean"
 _FOUND = "gram bigint, doc bigint, hash bigint, start int, end int"
 _CONTEXTS = "gram bigint, doc bigint, hash bigint, pos int, before binary, after binary"
 _INTERVALS = "doc bigint, hash bigint, start int, end int"
@@ -73,7 +76,7 @@ def remove_repeats(
 
     anchors = marked.where(~F.col(whole)).select(F.col(doc).alias("doc"), F.col(hashed).alias("hash"), F.col(text).alias("text")).mapInArrow(
         _anchors_of(length), _ANCHORS)
-    order = ["gram", "context", "doc", "hash", "pos"]
+    order = ["gram", "context", "other", "doc", "hash", "pos"]
     deal = F.when(F.col("repeat"), F.xxhash64("doc", "pos")).otherwise(F.col("gram"))
     found = materialize(
         anchors.withColumn("deal", deal).repartition("deal").sortWithinPartitions("repeat", *order).mapInArrow(_repeated, _FOUND), "anchors")
@@ -88,74 +91,121 @@ def remove_repeats(
 
 # --- anchors ---------------------------------------------------------------------------------
 
-_MIX = np.uint64(0x9E3779B97F4A7C15)
+_MIX, _OTHER_MIX = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xC2B2AE3D27D4EB4F)
 
 
-def anchors_of(texts: list[bytes], length: int) -> tuple[np.ndarray, ...]:
-    """Of all anchors of the texts: number of the text, place, gram hash, context hash, and how
-    many bytes of context stand before and after the gram."""
+def anchors_of(texts: list[bytes], length: int, piece: int = PIECE) -> tuple[np.ndarray, ...]:
+    """Of all anchors of the texts: number of the text, place, gram hash, both context hashes, and
+    how many bytes of context stand before and after the gram.
+
+    Short texts are read together, long ones in pieces that overlap, so that a text of any
+    length needs the memory of one piece."""
+    reach = length - GRAM
+    found, together, held = [], [], 0
+    for number, data in enumerate(texts):
+        if len(data) < length:
+            continue
+        if len(data) > piece:
+            for start in range(0, len(data) - length + 1, piece):
+                begin = max(0, start - reach)
+                found.append(_anchors_in([(number, data[begin:start + piece + length + reach], begin, start, start + piece, len(data))], length))
+            continue
+        if together and held + len(data) > piece:
+            found.append(_anchors_in(together, length))
+            together, held = [], 0
+        together.append((number, data, 0, 0, len(data), len(data)))
+        held += len(data)
+    if together:
+        found.append(_anchors_in(together, length))
+    if not found:
+        return tuple(np.empty(0, np.int64) for _ in range(7))
+    columns = [np.concatenate(c) for c in zip(*found, strict=True)]
+    order = np.lexsort((columns[1], columns[0]))  # neighbouring pieces may share an anchor
+    number, place = columns[0][order], columns[1][order]
+    new = np.ones(len(order), bool)
+    new[1:] = (number[1:] != number[:-1]) | (place[1:] != place[:-1])
+    return tuple(c[order[new]] for c in columns)
+
+
+def _anchors_in(pieces: list[tuple], length: int) -> tuple[np.ndarray, ...]:
+    """The same for the strings that start in given places of pieces: number of the text, bytes,
+    where they begin in the text, first and last place (exclusive), and bytes of the whole text.
+    A piece holds ``length`` - ``GRAM`` bytes of context around all its strings."""
     reach = length - GRAM
-    sizes = np.array([len(t) for t in texts], np.int64)
+    sizes = np.array([len(p[1]) for p in pieces], np.int64)
+    numbers, begins, firsts, lasts, totals = (np.array([p[i] for p in pieces], np.int64) for i in (0, 2, 3, 4, 5))
     ends = np.cumsum(sizes)
     starts = ends - sizes
-    n = int(ends[-1]) if len(texts) else 0
-    whole = np.frombuffer(bytes(reach + 8) + b"".join(texts) + bytes(length + 16), np.uint8)
+    n = int(ends[-1])
+    whole = np.frombuffer(bytes(reach + 8) + b"".join(p[1] for p in pieces) + bytes(length + 16), np.uint8)
     words = np.ndarray((len(whole) - 7,), "<u8", whole, strides=(1,))  # the eight bytes from each place on
     first = reach + 8
     grams = words[first:first + n] * _MIX
     for i in range(8, GRAM, 8):
         grams = ((grams ^ (grams >> np.uint64(29))) + words[first + i:first + i + n]) * _MIX
     grams ^= grams >> np.uint64(32)
-    least, place, span = grams, np.arange(n, dtype=np.int64), 1
+    least, place, span = grams, np.arange(n, dtype=np.int32), 1
     while span < reach + 1:  # the leftmost least of span grams, then of twice as many
         step = min(span, reach + 1 - span)
-        if len(least) <= step:
-            return tuple(np.empty(0, np.int64) for _ in range(6))
         later = least[step:] < least[:-step]
         place = np.where(later, place[step:], place[:-step])
         least = np.where(later, least[step:], least[:-step])
         span += step
-    edges = np.zeros(n + 1, np.int64)  # +1 where strings may start, -1 where they no longer fit
-    long_enough = sizes >= length
-    np.add.at(edges, starts[long_enough], 1)
-    np.add.at(edges, (ends - length + 1)[long_enough], -1)
-    place = np.unique(place[np.cumsum(edges)[:len(place)] > 0])
-    number = np.searchsorted(ends, place, side="right")
-    before = np.minimum(place - starts[number], reach)
-    after = np.minimum(ends[number] - place - GRAM, reach)
+    edges = np.zeros(n + 1, np.int32)  # +1 where strings may start, -1 where they no longer may
+    np.add.at(edges, starts + firsts - begins, 1)
+    np.add.at(edges, starts + np.minimum(lasts - begins, sizes - length + 1), -1)
+    place = np.unique(place[np.cumsum(edges)[:len(place)] > 0]).astype(np.int64)
+    piece = np.searchsorted(ends, place, side="right")
+    at = place - starts[piece] + begins[piece]
+    before = np.minimum(at, reach)
+    after = np.minimum(totals[piece] - at - GRAM, reach)
     context = (before * (1 << 20) + after).astype(np.uint64)
+    other = ~context
     for i in range(-(-reach // 8) * -8, GRAM + reach, 8):
         word = words[place + first + i].view(np.uint8).reshape(-1, 8)
-        at = np.arange(i, i + 8)
-        inside = (at >= -before[:, None]) & (at < GRAM + after[:, None])
+        offsets = np.arange(i, i + 8)
+        inside = (offsets >= -before[:, None]) & (offsets < GRAM + after[:, None])
         word = np.where(inside, word, 0).astype(np.uint8).view("<u8").ravel()
         context = (context ^ word) * _MIX
         context ^= context >> np.uint64(31)
-    return number, place - starts[number], grams[place].view(np.int64), context.view(np.int64), before, after
+        other = (other + word) * _OTHER_MIX
+        other ^= other >> np.uint64(33)
+    return numbers[piece], at, grams[place].view(np.int64), context.view(np.int64), other.view(np.int64), before, after
 
 
 def _anchors_of(length: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held, n = [], 0
         for batch in batches:
             for part in slices(batch, 2 << 20):
                 texts = [(t or "").encode() for t in part.column("text").to_pylist()]
-                number, place, gram, context, before, after = anchors_of(texts, length)
-                doc, hashed = (part.column(c).to_numpy()[number] for c in ("doc", "hash"))
-                repeat = _repeats_here(gram, context, doc, hashed, place)
-                yield pa.record_batch(
-                    [pa.array(gram, pa.int64()), pa.array(context, pa.int64()), pa.array(doc, pa.int64()), pa.array(hashed, pa.int64()),
-                     *[pa.array(x.astype(np.int32)) for x in (place, before, after)], pa.array(repeat)],
-                    names=["gram", "context", "doc", "hash", "pos", "before", "after", "repeat"])
+                number, *found = anchors_of(texts, length)
+                held.append([*(part.column(c).to_numpy()[number] for c in ("doc", "hash")), *found])
+                n += len(number)
+                if n >= TOGETHER:
+                    yield _anchor_rows(held)
+                    held, n = [], 0
+        if n:
+            yield _anchor_rows(held)
 
     return run
 
 
-def _repeats_here(gram, context, doc, hashed, pos) -> np.ndarray:
+def _anchor_rows(held: list[list[np.ndarray]]) -> pa.RecordBatch:
+    doc, hashed, place, gram, context, other, before, after = (np.concatenate(c) for c in zip(*held, strict=True))
+    repeat = _repeats_here(gram, context, other, doc, hashed, place)
+    return pa.record_batch(
+        [*[pa.array(x, pa.int64()) for x in (gram, context, other, doc, hashed)],
+         *[pa.array(x.astype(np.int32)) for x in (place, before, after)], pa.array(repeat)],
+        names=["gram", "context", "other", "doc", "hash", "pos", "before", "after", "repeat"])
+
+
+def _repeats_here(gram, context, other, doc, hashed, pos) -> np.ndarray:
     """Whether an anchor has the gram and the context of an earlier one among these."""
-    order = np.lexsort((pos, hashed, doc, context, gram))
-    g, c, d, h, p = (x[order] for x in (gram, context, doc, hashed, pos))
+    order = np.lexsort((pos, hashed, doc, other, context, gram))
+    g, c, o, d, h, p = (x[order] for x in (gram, context, other, doc, hashed, pos))
     begins = np.ones(len(g), bool)
-    begins[1:] = (g[1:] != g[:-1]) | (c[1:] != c[:-1])
+    begins[1:] = (g[1:] != g[:-1]) | (c[1:] != c[:-1]) | (o[1:] != o[:-1])
     first = np.maximum.accumulate(np.where(begins, np.arange(len(g)), 0))
     out = np.zeros(len(g), bool)
     out[order] = (d != d[first]) | (h != h[first]) | (p != p[first])  # else the same row once more
@@ -170,22 +220,22 @@ def _repeated(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     last, waiting = None, None
     for batch in batches:
         known = batch.filter(batch.column("repeat"))
-        doc, hashed, pos, before, after = (known.column(i).to_numpy() for i in range(2, 7))
+        doc, hashed, pos, before, after = (known.column(i).to_numpy() for i in range(3, 8))
         if len(doc):
             yield _intervals(None, doc, hashed, pos - before, pos + GRAM + after)
         batch = batch.filter(pc.invert(batch.column("repeat")))
-        gram, context, doc, hashed, pos, before, after = (batch.column(i).to_numpy() for i in range(7))
+        gram, context, other, doc, hashed, pos, before, after = (batch.column(i).to_numpy() for i in range(8))
         n = len(gram)
         if not n:
             continue
         new_gram, new_context, again = (np.ones(n, bool) for _ in range(3))
         new_gram[1:] = gram[1:] != gram[:-1]
-        new_context[1:] = new_gram[1:] | (context[1:] != context[:-1])
+        new_context[1:] = new_gram[1:] | (context[1:] != context[:-1]) | (other[1:] != other[:-1])
         again[1:] = (doc[1:] == doc[:-1]) & (hashed[1:] == hashed[:-1]) & (pos[1:] == pos[:-1])
         if last:
             new_gram[0] = gram[0] != last[0]
-            new_context[0] = new_gram[0] or context[0] != last[1]
-            again[0] = (doc[0], hashed[0], pos[0]) == last[2:]
+            new_context[0] = new_gram[0] or (context[0], other[0]) != last[1:3]
+            again[0] = (doc[0], hashed[0], pos[0]) == last[3:]
         repeat = ~new_context & ~again
         run = np.cumsum(new_gram) - 1 + (0 if new_gram[0] else 1)  # run 0 goes on from the batch before
         contexts_in = np.bincount(run[new_context], minlength=run[-1] + 1)
@@ -198,7 +248,7 @@ def _repeated(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         if new_gram.any():
             at = int(np.flatnonzero(new_gram)[-1])
             waiting = None if lead[at] else (gram[at], doc[at], hashed[at], pos[at])
-        last = gram[-1], context[-1], doc[-1], hashed[-1], pos[-1]
+        last = gram[-1], context[-1], other[-1], doc[-1], hashed[-1], pos[-1]
         for row in rows:
             yield _intervals(*row)
 
@@ -250,7 +300,7 @@ def _grouped(contexts: DataFrame, length: int) -> DataFrame:
     offset = F.col("offset")
     strings = contexts.select("gram", "doc", "hash", "pos", "before", "after", F.explode(F.sequence(F.lit(0), F.lit(reach))).alias("offset"))
     strings = strings.where((F.octet_length("before") >= offset) & (F.octet_length("after") >= reach - offset)).select(
-        "gram", "offset", F.xxhash64(F.substring("before", F.lit(1), offset), F.substring("after", F.lit(1), reach - offset)).alias("string"),
+        "gram", "offset", F.unhex(F.md5(F.concat(F.substring("before", F.lit(1), offset), F.substring("after", F.lit(1), reach - offset)))).alias("string"),
         F.struct("doc", "hash", "pos").alias("at"))
     first = strings.groupBy("gram", "offset", "string").agg(F.min("at").alias("first"), F.count(F.lit(1)).alias("n")).where("n > 1")
     later = strings.join(first, ["gram", "offset", "string"]).where(F.col("at") != F.col("first"))

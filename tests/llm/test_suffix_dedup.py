@@ -95,3 +95,17 @@ def test_texts_of_one_id_stay_apart(spark):
         want = brute(rows, 100)
         got = [(r["n_bytes"], r["n_removed"], r["n_spans"], bytes(r["text"])) for r in found if r["doc_id"] == id_]
         assert sorted(got) == sorted([want[id_, a], want[id_, b]]) and len(found) == 4
+
+
+def test_anchors_do_not_depend_on_pieces():
+    r = random.Random(3)
+    texts = ["".join(r.choice("abc ") for _ in range(n)).encode() for n in (5, 99, 100, 101, 350, 1_000, 7_777)] + [b"", b"z" * 3_000]
+    want = sd.anchors_of(texts, 100, 1 << 20)
+    for piece in (1, 64, 130, 999):
+        for a, b in zip(want, sd.anchors_of(texts, 100, piece), strict=True):
+            assert np.array_equal(a, b)
+    number, place, *_, before, after = want
+    assert set(number.tolist()) == {2, 3, 4, 5, 6, 8}
+    for i, at in zip(number.tolist(), place.tolist(), strict=True):
+        assert 0 <= at <= len(texts[i]) - 32
+    assert (before <= 68).all() and (after <= 68).all()
