@@ -1,5 +1,7 @@
 """Reading files, joins across files, and the shape of plans."""
 
+import sys
+
 import pyarrow as pa
 import pytest
 from pyspark.sql import datasource, functions as F
@@ -282,3 +284,45 @@ def test_a_cluster_needs_a_shared_folder():
     assert work_dir(Session("yarn", spark_sql_warehouse_dir="hdfs://n/w")) == "hdfs://n/w/_work"
     assert work_dir(Session("yarn", spark_checkpoint_dir="s3a://b/c", spark_sql_warehouse_dir="file:/w")) == "s3a://b/c"
     assert work_dir(Session("local[4]", spark_sql_warehouse_dir="file:/w")) == "file:/w/_work"
+
+
+def test_a_folder_for_parts_of_the_files(spark, monkeypatch):
+    from pathlib import Path
+
+    from workload.queries import QUERIES
+
+    expected = {(r.repo_id, r.rel_path): len(r.content) for r in inputs.source_files(spark, SF).collect()}
+    monkeypatch.setattr(inputs, "FILES_AT_ONCE", 400)
+    held, write = [], inputs.source_folder
+
+    def counted(spark, sf_dir, root, orders):
+        write(spark, sf_dir, root, orders)
+        held.append(sum(1 for root in Path(work_dir(spark)).glob("source-folder-*") for _ in root.rglob("*.py")))
+        return held[-1]
+
+    monkeypatch.setattr(inputs, "source_folder", counted)
+    before = set(Path(work_dir(spark)).glob("source-folder-*"))
+    listed = QUERIES["list_folder"](spark, SF).collect()
+    assert len(listed) == len(expected) and {tuple(r) for r in listed} == set(expected)
+    assert len(held) > 2 and max(held) < len(expected) / 2
+    scanned = QUERIES["scan_folder"](spark, SF).collect()
+    assert {(r.repo_id, r.rel_path): r.n_chars for r in scanned} == expected and len(scanned) == len(expected)
+    assert set(Path(work_dir(spark)).glob("source-folder-*")) == before
+
+
+def test_a_worker_keeps_nothing_of_what_it_has_parsed(spark, files_of, monkeypatch):
+    """Names that were parsed stay in their process; that must not be the worker's, which lives on."""
+    files = files_of({"a.py": ""})
+    monkeypatch.setattr(type(files), "mapInArrow", lambda rows, read, schema: read)
+    read = extract.extract_facts(files, records=["entities"])
+    batch = pa.record_batch([["r"] * 3000, [f"{i}.py" for i in range(3000)], [f"class Only{i}Here: pass" for i in range(3000)]],
+                            names=["repo_id", "rel_path", "raw_code"])
+    before = sys.getunicodeinternedsize()
+    parts = list(read(iter([batch])))
+    assert sum(p.num_rows for p in parts) == 3000 and sys.getunicodeinternedsize() - before < 1000
+    assert [e[0]["name"] for p in parts for e in p.column("entities").to_pylist()] == [f"Only{i}Here" for i in range(3000)]
+
+
+def test_an_error_of_the_reading_process_ends_the_job(spark, files_of):
+    with pytest.raises(Exception, match="SyntaxError"):
+        extract.extract_facts(files_of({"a.py": "def ("}), on_error="fail").collect()
