@@ -109,6 +109,7 @@ def op7_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query
 def op8_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every document without the bytes of 100-byte strings that also start earlier."""
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", 1_000)  # as the pipeline does: little is held beside them
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
     return suffix_dedup.remove_repeats(docs, length=100, whole_characters=False).select(
         "doc_id", "n_bytes", "n_removed", "n_spans", F.sha2("text", 256).alias("kept_sha256"))

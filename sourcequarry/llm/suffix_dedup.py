@@ -44,6 +44,8 @@ SHALLOW_WORDS = 2
 BLOCK, GROUP_LIMIT, HOT_COPIES = 50_000, 100_000, 100
 #: Bytes of text that are hashed at once, and anchors whose repeats a task looks for before they are dealt.
 PIECE, TOGETHER = 1 << 18, 100_000
+#: Bytes of text whose leaders are cut out at once, and contexts that are handed on together.
+CONTEXT_TEXT, CONTEXTS = 1 << 20, 10_000
 
 _LAST = (1 << 63) - 1
 _ANCHORS = "gram bigint, context bigint, other bigint, doc bigint, hash bigint, pos int, before int, after int, repeat boolean"
@@ -270,21 +272,33 @@ def _contexts(at_home: DataFrame, leaders: DataFrame, doc: str, hashed: str, tex
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for part in slices(batch):
-                rows = []
-                columns = (part.column(c).to_pylist() for c in (doc, hashed, text, held))
-                for d, h, value, places in zip(*columns, strict=True):
-                    data = (value or "").encode()
-                    for leader in places:
-                        pos = leader["pos"]
-                        rows.append((leader["gram"], d, h, pos, data[max(0, pos - reach):pos][::-1], data[pos + GRAM:pos + GRAM + reach]))
-                kinds = [pa.int64(), pa.int64(), pa.int64(), pa.int32(), pa.binary(), pa.binary()]
-                yield pa.record_batch([pa.array([r[i] for r in rows], k) for i, k in enumerate(kinds)],
-                                      names=["gram", "doc", "hash", "pos", "before", "after"])
+            for part in slices(batch, CONTEXT_TEXT):
+                yield from contexts_in(*(part.column(c) for c in (doc, hashed, text, held)), reach)
 
     return at_home.join(wanted, [doc, hashed]).mapInArrow(run, _CONTEXTS)
 
 
+def contexts_in(docs: pa.Array, hashes: pa.Array, texts: pa.Array, held: pa.Array, reach: int) -> Iterator[pa.RecordBatch]:
+    """The leaders that texts hold, with what stands before each, backwards, and after it; at most
+    ``CONTEXTS`` of them together, however many the texts have."""
+    counts = pc.list_value_length(held).to_numpy()
+    row = np.repeat(np.arange(len(counts)), counts)
+    gram, pos = held.flatten().flatten()
+    data, of = b"", -1
+    for first in range(0, len(row), CONTEXTS):
+        rows = row[first:first + CONTEXTS]
+        before, after = [], []
+        for r, p in zip(rows.tolist(), pos[first:first + CONTEXTS].to_pylist(), strict=True):
+            if r != of:
+                data, of = (texts[r].as_py() or "").encode(), r
+            before.append(data[max(0, p - reach):p][::-1])
+            after.append(data[p + GRAM:p + GRAM + reach])
+        yield pa.record_batch(
+            [gram[first:first + CONTEXTS], docs.take(pa.array(rows)), hashes.take(pa.array(rows)), pos[first:first + CONTEXTS],
+             pa.array(before, pa.binary()), pa.array(after, pa.binary())],
+            names=["gram", "doc", "hash", "pos", "before", "after"])
+
+
 def _compare(contexts: DataFrame, length: int, group_limit: int) -> DataFrame:
     """Intervals of leaders that repeat an earlier leader in part."""
     large = materialize(contexts.groupBy("gram").count().where(F.col("count") > group_limit).select("gram"), "large-grams")

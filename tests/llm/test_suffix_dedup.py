@@ -109,3 +109,17 @@ def test_anchors_do_not_depend_on_pieces():
     for i, at in zip(number.tolist(), place.tolist(), strict=True):
         assert 0 <= at <= len(texts[i]) - 32
     assert (before <= 68).all() and (after <= 68).all()
+
+
+def test_contexts_are_handed_on_in_bounded_runs():
+    import pyarrow as pa
+
+    texts = [None, "é" + "a" * 40_000, "b" * 200]
+    places = [[], [{"gram": i, "pos": i} for i in range(30_000)], [{"gram": -1, "pos": 5}]]
+    kind = pa.list_(pa.struct([("gram", pa.int64()), ("pos", pa.int32())]))
+    parts = list(sd.contexts_in(
+        pa.array([7, 8, 9]), pa.array([1, 2, 3]), pa.array(texts), pa.array(places, kind), 68))
+    assert max(p.num_rows for p in parts) <= sd.CONTEXTS
+    rows = [tuple(r.values()) for p in parts for r in p.to_pylist()]
+    assert len(rows) == 30_001 and rows[-1] == (-1, 9, 3, 5, b"b" * 5, b"b" * 68)
+    assert rows[3] == (3, 8, 2, 3, b"a" + "é".encode()[::-1], b"a" * 68)
