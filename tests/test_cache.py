@@ -163,6 +163,15 @@ def test_a_stored_log_is_not_moved(spark, entries, tmp_path):
         spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
 
 
+def test_texts_that_are_not_wanted_are_not_read(spark, entries, tmp_path):
+    log = stored(spark, entries, str(tmp_path / "log"))
+    for asked in (asked_for(spark, "p7", "p8", "nowhere"), asked_for(spark, *[f"p{i}" for i in range(20, 90)])):
+        answers = cache.cache_entries(log, asked, 4, texts=("response_b64",))
+        assert "response_b64:string" in plan_of(answers) and "prompt_b64" not in plan_of(answers)
+        whole = cache.cache_entries(log, asked, 4)
+        assert sorted(map(str, whole.select(answers.columns).collect())) == sorted(map(str, answers.collect()))
+
+
 def test_appends_from_elsewhere_are_seen(spark, entries, tmp_path):
     path = str(tmp_path / "it's a log")
     stored(spark, entries, path, 5)

@@ -154,6 +154,23 @@ def test_bucketed_texts_stay_where_they_are(spark):
         spark.sql("DROP TABLE bucketed_files")
 
 
+def test_files_keep_their_tasks_when_they_meet_their_excerpts(spark):
+    files = inputs.source_files(spark, SF)  # few, so that a plan may think of broadcasting them
+    placed = prompts.with_tree_excerpts(files, partitions=6, targets=file_source.eligible_files(files))
+    first_join = next(line for line in plan(placed).splitlines() if "Join" in line)
+    assert "SortMergeJoin" in first_join
+    assert placed.rdd.getNumPartitions() == 6 and placed.count() == files.count()
+
+
+def test_who_asks_for_hashes_of_prompts_reads_no_text(spark, tmp_path):
+    rows = spark.createDataFrame([(1, "p"), (2, ""), (3, None)], "id int, prompt string").withColumn("prompt_hash", F.sha2("prompt", 256))
+    rows.write.parquet(str(tmp_path / "prompts"))
+    stored = spark.read.parquet(str(tmp_path / "prompts"))
+    kept = prompts.has_prompt(stored).select("id")
+    assert [r.id for r in kept.collect()] == [r.id for r in prompts.has_prompt(stored.drop("prompt_hash")).collect()] == [1]
+    assert "prompt:string" not in plan(kept).split("ReadSchema")[-1]
+
+
 def test_questions_about_single_files_do_not_shuffle(spark, files_of):
     facts = extract.extract_facts(files_of({"m.py": "def f(): g()\n"}))
     for df in (views.entities(facts, with_source=True), views.fact_rows(facts), views.entity_relationships(facts),
