@@ -1,6 +1,7 @@
 """Reading files, joins across files, and the shape of plans."""
 
 import sys
+import time
 
 import pyarrow as pa
 import pytest
@@ -275,6 +276,19 @@ def test_node_map_limit(spark, files_of):
     assert shown.n9.endswith("'ClassDef': ['C']}")
 
 
+def test_node_map_limit_is_looked_for_once_a_file(spark):
+    """Looked for again at each node, ten thousand nodes take a minute."""
+    node = lambda i: F.struct(
+        F.when(i < 9_000, "Import").when(i < 9_500, "ImportFrom").when(i < 9_900, "FunctionDef").otherwise("ClassDef").alias("node_type"),
+        i.alias("node_ordinal"), F.lit("n").alias("name"))
+    rows = spark.range(1).select(F.transform(F.sequence(F.lit(0), F.lit(9_999)), node).alias("node_map"))
+    rows = rows.unionByName(rows.select(F.lit(None).cast(rows.schema["node_map"].dataType).alias("node_map")))
+    start = time.perf_counter()
+    kept = rows.select(F.size(views.limited_node_map("node_map", 3)), F.size(views.limited_node_map("node_map", 5))).collect()
+    assert [tuple(row) for row in kept] == [(9_501, 10_000), (None, None)]
+    assert time.perf_counter() - start < 15
+
+
 class Session:
     """As much of a session on a cluster as choosing a folder asks for."""
 
