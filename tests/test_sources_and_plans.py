@@ -5,10 +5,11 @@ import time
 
 import pyarrow as pa
 import pytest
-from pyspark.sql import datasource, functions as F
+from pyspark.sql import datasource, functions as F, types as T
 
-from sourcequarry.operators import extract, prompts, rollups, skew, views
-from sourcequarry.runtime import work_dir
+from sourcequarry.functions.compact import compact
+from sourcequarry.operators import extract, prompts, report, rollups, skew, views
+from sourcequarry.runtime import materialize, work_dir
 from sourcequarry.sources import files as file_source, folder
 from workload import inputs
 
@@ -289,6 +290,28 @@ def test_node_map_limit_is_looked_for_once_a_file(spark):
     assert time.perf_counter() - start < 15
 
 
+def test_reports_split_a_text_once(spark, files_of):
+    """Split again for each function, a file of twelve thousand takes minutes."""
+    n = 12_000
+    facts = extract.extract_facts(files_of({"m.py": "".join(f"def f{i}():\n    return {i}\n" for i in range(n)), "none.py": None}))
+    facts = materialize(facts, "facts")
+    asked = facts.select(*views.FILE, F.lit("module").alias("entity_type"), F.lit(None).cast("string").alias("owner_qualname"),
+                         F.col("rel_path").alias("name"), F.lit("?").alias("prompt"))
+    said = asked.drop("prompt").withColumns({"initial_analysis": F.lit("!"), "summary": F.lit("s")})
+    reports = report.file_reports(facts, report.nested_answers(asked, said))
+    start = time.perf_counter()
+    got = {r.rel_path: (r.n_functions, r.last, r.prompt) for r in reports.select(
+        "rel_path", "n_functions", F.get_json_object("report", f"$.functions.f{n - 1}.raw_code").alias("last"),
+        F.get_json_object("report", "$.prompt").alias("prompt")).collect()}
+    assert got == {"m.py": (n, f"def f{n - 1}():\n    return {n - 1}", "?"), "none.py": (0, None, "?")}
+    assert time.perf_counter() - start < 20
+
+
+def test_nested_documents_are_made_once():
+    whole = compact({"a": (F.upper("x"), T.StructType([])), "b": (F.lower("x"), T.StringType())})
+    assert str(whole).count("upper") == 1
+
+
 class Session:
     """As much of a session on a cluster as choosing a folder asks for."""
 
