@@ -195,6 +195,50 @@ def test_single_records_equal_the_whole_reading(records):
     assert getattr(part, records[0]) == getattr(whole, records[0])
 
 
+@pytest.mark.parametrize("records", [["entities"], ["scopes"], ["node_map"], ["imports"], ["counts"]])
+def test_records_that_nobody_asked_for_are_not_made(records):
+    part = read(SAMPLE, records=records)
+    assert getattr(part, records[0])
+    assert not any(getattr(part, r) for r in [*RECORDS, "counts"] if r not in records)
+
+
+def test_facts_from_every_kind_of_place():
+    source = """
+@deco(k=opt)
+def f(a: A, /, b: B = dflt, *args: C, kw: D = kwd, **rest: E) -> R:
+    x: Ann = v1
+    with ctx() as w, other:
+        for i in it:
+            y[i].z += v2
+        else:
+            del gone
+    match subject:
+        case Point(x=pat, y=[first, *_]) if guard(first):
+            raise err.Bad from cause
+        case {"k": got}:
+            raise Plain
+    try:
+        pass
+    except* (One, Two):
+        pass
+    except* Three:
+        return lambda q=lq: (yield q if c1 < c2 else {**k1, k2: k3})
+    assert [u async for u in s if u and f"{fmt!r:>{width}}"], not (n := m)
+class K(Base, mod.Other, metaclass=Meta):
+    attr = -sl[lo:hi, *st]
+type Alias[T: Bound] = list[T]
+"""
+    found = scopes(source)
+    assert found["f"]["reads_from"] == sorted(
+        "deco opt A B dflt C D kwd E R Ann v1 ctx other it y i v2 subject Point guard first err cause Plain One Two Three "
+        "lq q c1 c2 k1 k2 k3 u s fmt width m".split())
+    assert found["f"]["writes_to"] == ["i", "n", "u", "w", "x"]
+    assert found["f"]["calls"] == ["ctx", "deco", "guard"] and found["f"]["raises"] == ["Plain"] and found["f"]["catches"] == ["Three"]
+    assert found["K"]["reads_from"] == ["Base", "Meta", "hi", "lo", "mod", "sl", "st"] and found["K"]["writes_to"] == ["attr"]
+    assert found["K"]["inherits_from"] == ["Base", "mod.Other"]
+    assert found[MODULE_SCOPE]["writes_to"] == ["Alias"] and found[MODULE_SCOPE]["reads_from"] == ["Bound", "T", "list"]
+
+
 def test_errors_are_rows():
     reading = read("def (")
     assert "line 1" in reading.error and reading.entities == []
