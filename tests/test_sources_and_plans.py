@@ -1,5 +1,6 @@
 """Reading files, joins across files, and the shape of plans."""
 
+import gc
 import sys
 import time
 
@@ -380,3 +381,12 @@ def test_a_worker_keeps_nothing_of_what_it_has_parsed(spark, files_of, monkeypat
 def test_an_error_of_the_reading_process_ends_the_job(spark, files_of):
     with pytest.raises(Exception, match="SyntaxError"):
         extract.extract_facts(files_of({"a.py": "def ("}), on_error="fail").collect()
+
+
+def test_the_reading_process_does_not_look_through_what_the_worker_holds():
+    def read(texts):
+        yield pa.RecordBatch.from_arrays([pa.array([gc.isenabled()])], names=["collects"])
+
+    found = list(extract._in_own_process(read, pa.RecordBatch.from_arrays([pa.array(["x = 1"])], names=["raw_code"])))
+    assert [batch.to_pydict() for batch in found] == [{"collects": [False]}]
+    assert gc.isenabled()
