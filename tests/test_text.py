@@ -93,6 +93,12 @@ def test_truncate_around_needs_its_target_in_long_texts_only(spark):
         excerpt.truncate_around(rows, "out", "t", "target", 90).collect()
 
 
+def test_truncate_around_of_an_empty_text(spark):
+    rows = spark.createDataFrame([("", ""), (None, ""), ("ab", "b")], "t string, target string")
+    for clean in (True, False):
+        assert [r.out for r in excerpt.truncate_around(rows, "out", "t", "target", 90, clean).collect()] == ["", None, "ab"]
+
+
 def test_hashes_and_base64(spark):
     values = ["", "a", "tab\t, nul\0, line\r\n and 🧭", "x" * 1_000_000]
     rows = spark.createDataFrame([(v,) for v in values], "v string")
