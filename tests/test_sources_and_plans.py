@@ -1,6 +1,7 @@
 """Reading files, joins across files, and the shape of plans."""
 
 import gc
+import hashlib
 import sys
 import time
 
@@ -8,6 +9,7 @@ import pyarrow as pa
 import pytest
 from pyspark.sql import datasource, functions as F, types as T
 
+import __spark_entry__ as entry
 from sourcequarry.functions.compact import compact
 from sourcequarry.operators import extract, prompts, report, rollups, skew, views
 from sourcequarry.runtime import materialize, work_dir
@@ -390,3 +392,17 @@ def test_the_reading_process_does_not_look_through_what_the_worker_holds():
     found = list(extract._in_own_process(read, pa.RecordBatch.from_arrays([pa.array(["x = 1"])], names=["raw_code"])))
     assert [batch.to_pydict() for batch in found] == [{"collects": [False]}]
     assert gc.isenabled()
+
+
+def test_classes_come_with_their_source(spark, files_of, tmp_path):
+    text = "@seal\nclass A(B):\n    x = 1\n\n    class C:\n        pass\n\ny = 2\n"
+    facts = extract.extract_facts(files_of({"a.py": text}), records=["entities"])
+    got = {r.name: r.raw_code for r in views.classes(facts, with_source=True).collect()}
+    assert got == {"A": "class A(B):\n    x = 1\n\n    class C:\n        pass", "C": "    class C:\n        pass"}
+
+    orders = spark.createDataFrame([(7, 3, "O", "5-LOW"), (208, 12, "F", "1-URGENT")], "o_orderkey long, o_custkey long, o_orderstatus string, o_orderpriority string")
+    orders.write.parquet(str(tmp_path / "orders.parquet"))
+    rows = entry.queries()["extract_classes"](spark, str(tmp_path)).collect()
+    files = {r.rel_path: r.content.split("\n") for r in inputs.source_files(spark, str(tmp_path)).collect()}
+    assert {r.rel_path: r.code_md5 for r in rows} == {
+        path: hashlib.md5("\n".join(lines[5:12]).encode()).hexdigest() for path, lines in files.items()}
