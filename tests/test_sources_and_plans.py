@@ -14,7 +14,7 @@ from sourcequarry.functions.compact import compact
 from sourcequarry.operators import extract, prompts, report, rollups, skew, views
 from sourcequarry.runtime import materialize, work_dir
 from sourcequarry.sources import files as file_source, folder
-from workload import inputs
+from workload import inputs, queries
 
 SF = "/root/testdata/sf0.001"
 
@@ -406,3 +406,14 @@ def test_classes_come_with_their_source(spark, files_of, tmp_path):
     files = {r.rel_path: r.content.split("\n") for r in inputs.source_files(spark, str(tmp_path)).collect()}
     assert {r.rel_path: r.code_md5 for r in rows} == {
         path: hashlib.md5("\n".join(lines[5:12]).encode()).hexdigest() for path, lines in files.items()}
+
+
+def test_stored_reports_take_less_disk_than_their_text(spark, tmp_path, monkeypatch):
+    orders = [(k, k % 7, "O", "5-LOW") for k in range(300)]
+    spark.createDataFrame(orders, "o_orderkey long, o_custkey long, o_orderstatus string, o_orderpriority string").write.parquet(str(tmp_path / "orders.parquet"))
+    paths = []
+    monkeypatch.setattr(queries, "new_table_path", lambda spark, label: paths.append(str(tmp_path / label)) or paths[-1])
+    assert entry.queries()["save_report"](spark, str(tmp_path)).count() == 300
+    size = sum(p.stat().st_size for p in (tmp_path / "report").glob("part-*"))
+    text = spark.read.text(paths[0]).agg(F.sum(F.length("value") + 1)).first()[0]
+    assert paths == [str(tmp_path / "report")] and size < text / 2
